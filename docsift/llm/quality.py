@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from docsift.llm.common import Cache, small, stored
 
 BITS = 18
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 6_000
 GRADES = 3
 CACHE = 300_000
 WORD = re.compile(r"[^\W_]+")
@@ -83,10 +83,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, *, bits:
         sizes = np.array([len(s) for s, _ in rows])
         slots, values = (np.concatenate(x) for x in zip(*rows, strict=True))
         used, slots = np.unique(slots, return_inverse=True)
-        owner, starts = np.repeat(np.arange(len(rows)), sizes), np.r_[0, np.cumsum(sizes)[:-1]]
+        slots = slots.astype(np.int32)
+        owner, starts = np.repeat(np.arange(len(rows), dtype=np.int32), sizes), np.r_[0, np.cumsum(sizes)[:-1]]
         w = np.zeros(len(used))
         state = [np.zeros_like(x) for x in (w, w, cut, cut)]
-        above = grades[:, None] >= np.arange(1, n_grades)
         for t in range(1, rounds + 1):
             score = np.add.reduceat(w[slots] * values, starts)
             c = cuts(cut)
@@ -108,7 +108,6 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, *, bits:
                 v *= 0.999
                 v += 0.001 * g * g
                 x -= rate * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        del above
         weights[used] = w
     return Model(weights, cuts(cut), bits)
 
@@ -116,7 +115,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, *, bits:
 def _featurised(batches, bits: int):
     for batch in batches:
         found = [text_features(t, bits) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array([s.tolist() for s, _ in found], pa.list_(pa.int64())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float64()))], ["doc_id", "grade", "slots", "values"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array([s.astype("<i4").tobytes() for s, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], ["doc_id", "grade", "slots", "values"])
 
 
 def train(docs: DataFrame, graded: DataFrame, *, rows: int = TRAIN_ROWS, bits: int = BITS, n_grades: int = GRADES) -> Model:
@@ -129,9 +128,9 @@ def train(docs: DataFrame, graded: DataFrame, *, rows: int = TRAIN_ROWS, bits: i
     clean = graded.where("doc_id is not null and grade is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("grade").cast("int")).alias("grade"))
     chosen = stored(clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "graded")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(chosen), "doc_id")
-    found = texts.mapInArrow(lambda b: _featurised(b, bits), "doc_id long, grade int, slots array<long>, values array<double>").toPandas()
+    found = texts.mapInArrow(lambda b: _featurised(b, bits), "doc_id long, grade int, slots binary, values binary").toPandas()
     found = found.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    pairs = [(np.asarray(s, np.int64), np.asarray(v, float)) for s, v in zip(found["slots"], found["values"], strict=True)]
+    pairs = [(np.frombuffer(s, "<i4"), np.frombuffer(v, "<f4")) for s, v in zip(found["slots"], found["values"], strict=True)]
     return fit(pairs, found["grade"].to_numpy(np.int64), bits=bits, n_grades=n_grades)
 
 
