@@ -1,0 +1,139 @@
+"""Records from cell grids and positioned text spans.
+
+A cell that serves as a value can't serve again, so the scan of a document has
+an order; each document is one group of bounded size.
+"""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+RIGHT, DOWN, PROBE, LABEL_CHARS = 4, 2, 15, 60
+ROW_TOLERANCE, NEIGHBOURS = 3.0, 6
+FOUND = "doc_id string, field_key string, raw_value string, raw_label string, page int, source_locator string, confidence double, note string"
+
+
+def _norm(text) -> str:
+    return re.sub("[^0-9A-Z]+", "", str(text or "").upper())
+
+
+def _letters(col: int) -> str:
+    out = ""
+    while col:
+        col, rest = divmod(col - 1, 26)
+        out = chr(65 + rest) + out
+    return out
+
+
+def label_names(labels: list[dict]) -> dict[str, tuple[str, float]]:
+    """Normal label -> (field, confidence) of those that name one field, names before aliases."""
+    found: dict[str, list[dict]] = {}
+    for row in sorted(labels, key=lambda r: r["ord"]):
+        found.setdefault(_norm(row["label"]), []).append(row)
+    single = lambda rows: len({r["field_key"] for r in rows}) == 1 or rows[0]["matched_on"] == "name"
+    return {n: (rows[0]["field_key"], rows[0]["confidence"]) for n, rows in found.items() if single(rows)}
+
+
+def grid_records(cells: DataFrame, labels: list[dict], units: list[str]) -> DataFrame:
+    """Fields of cell grids (doc_id, page, sheet, row, col, right, bottom, value, is_string).
+
+    ``right`` and ``bottom`` are the ends of the cell's merged range, else its
+    own place. A value is sought up to four columns to the right of a label,
+    then two rows below; units and claimed cells are skipped, and another label
+    ends the search. Rows with a null field_key are labels without a field.
+    """
+    names = label_names(labels)
+    skip = {_norm(u) for u in units} - {""}
+
+    def unit(text):
+        return _norm(text) in skip or str(text).strip().upper() in {u.upper() for u in units}
+
+    def scan(frame: pd.DataFrame) -> pd.DataFrame:
+        out, seen = [], set()
+        for (page, sheet), part in frame.groupby(["page", "sheet"], sort=True):
+            grid = {(int(r), int(c)): v for r, c, v in zip(part["row"], part["col"], part["value"], strict=True) if str(v).strip()}
+            claimed = set()
+            rows = sorted(part.to_dict("records"), key=lambda x: (x["row"], x["col"]))
+            asks = [x for x in rows if x["is_string"] and len(str(x["value"])) <= LABEL_CHARS and re.search(r"[^\W\d_]", str(x["value"]))]
+            # known labels choose first
+            for known in (True, False):
+                for x in asks:
+                    name = names.get(_norm(x["value"]))
+                    at = (int(x["row"]), int(x["col"]))
+                    if (name is not None) != known or at in claimed:
+                        continue
+                    lines = [[(at[0], int(x["right"]) + k) for k in range(1, RIGHT + 1)], [(int(x["bottom"]) + k, at[1]) for k in range(1, DOWN + 1)]]
+                    value = None
+                    for below, line in enumerate(lines):
+                        for spot in line:
+                            text = grid.get(spot)
+                            if text is None or spot in claimed or unit(text):
+                                continue
+                            owns = below and any((spot[0], c) in grid for c in range(spot[1] + 1, spot[1] + PROBE + 1))
+                            if _norm(text) in names or owns:
+                                break
+                            value = spot
+                            break
+                        if value:
+                            break
+                    key = name[0] if name else None
+                    if value is None or key in seen:
+                        continue
+                    claimed.add(value)
+                    if key:
+                        seen.add(key)
+                    out.append((x["doc_id"], key, str(grid[value]), str(x["value"]), int(page), f"{sheet}!{_letters(value[1])}{value[0]}", name[1] if name else None, None if name else "UNMAPPED"))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
+
+    return cells.groupBy("doc_id").applyInPandas(scan, FOUND)
+
+
+def text_rows(spans: list[dict]) -> list[list[dict]]:
+    """Upright spans as lines: a line takes spans whose top is near its first one's."""
+    lines: list[list[dict]] = []
+    for s in sorted((s for s in spans if abs(s["dir_y"]) < 0.5), key=lambda s: (round(s["y0"], 1), s["x0"])):
+        if lines and abs(s["y0"] - lines[-1][0]["y0"]) <= ROW_TOLERANCE:
+            lines[-1].append(s)
+        else:
+            lines.append([s])
+    return [sorted(line, key=lambda s: s["x0"]) for line in lines]
+
+
+def span_records(spans: DataFrame, labels: list[dict], units: list[str]) -> DataFrame:
+    """Fields of positioned spans (doc_id, page, x0, y0, x1, y1, text, dir_x, dir_y).
+
+    ``Label : value`` in one span, else the nearest of six spans to the right;
+    units are skipped, and another label ends the search.
+    """
+    names = label_names(labels)
+    skip = {_norm(u) for u in units} - {""}
+
+    def scan(frame: pd.DataFrame) -> pd.DataFrame:
+        out, seen = [], set()
+        for page, part in frame.groupby("page", sort=True):
+            for n, line in enumerate(text_rows(part.to_dict("records"))):
+                taken = set()
+                for k, s in enumerate(line):
+                    label, colon, rest = str(s["text"]).partition(":")
+                    name = names.get(_norm(label))
+                    if name is None or k in taken or name[0] in seen:
+                        continue
+                    value, place = (rest.strip(), k) if colon and rest.strip() else (None, None)
+                    for j in range(k + 1, min(k + 1 + NEIGHBOURS, len(line))) if value is None else ():
+                        text = str(line[j]["text"]).strip().lstrip(":").strip()
+                        if not text or j in taken or _norm(text) in skip:
+                            continue
+                        if _norm(text.partition(":")[0]) not in names:
+                            value, place = text, j
+                        break
+                    if value is None:
+                        continue
+                    taken.add(place)
+                    seen.add(name[0])
+                    out.append((s["doc_id"], name[0], value, label.strip(), int(page), f"p{page}:L{n}:c{place}", name[1], None))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
+
+    return spans.groupBy("doc_id").applyInPandas(scan, FOUND)
