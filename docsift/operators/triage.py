@@ -40,6 +40,10 @@ def looks_like_spec(text: Column, headers: list[str], report_headers: list[str],
     return F.coalesce((F.length(text) >= TEXT_LAYER) & (has(headers) | (has(report_headers) & (count >= least))), F.lit(False))
 
 
+def _marked(mark: str):
+    return lambda p: p["mark"] == mark
+
+
 def pick_latest(pages: DataFrame) -> DataFrame:
     """The one page of each document that the rules can name, else none: (doc_id, page, rule).
 
@@ -78,7 +82,7 @@ def pick_latest(pages: DataFrame) -> DataFrame:
         .when((F.size("newest") > 1) & sure & (F.size("best") == 1), name(one("best"), "LATEST_DATE"))
     )
     for mark in MARK_ORDER:
-        hit = F.filter("rest", lambda p, m=mark: p["mark"] == m)
+        hit = F.filter("rest", _marked(mark))
         rule = rule.when(F.size(hit) == 1, name(one(hit), mark))
     return per.select("doc_id", rule.otherwise(name(none, "UNDECIDED")).alias("pick")).select("doc_id", "pick.page", "pick.rule")
 

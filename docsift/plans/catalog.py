@@ -28,14 +28,28 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[f.__name__] = sql.replace("FROM lineitem", f"FROM {LINEITEM_SQL}").replace("JOIN (SELECT * FROM lineitem", f"JOIN (SELECT * FROM {LINEITEM_SQL}")
         return f
 
     return add
 
 
+MODES = ("AIR", "MAIL", "RAIL", "SHIP", "TRUCK")
+INSTRUCTIONS = ("DELIVER IN PERSON", "COLLECT COD", "HOLD", "TAKE BACK RETURN")
+#: One line for each order and line number, with two more columns of words.
+LINEITEM_SQL = f"""(SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity, min(l_discount) AS l_discount, min(l_tax) AS l_tax,
+  min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, {list(MODES)}[min(l_partkey) % 5 + 1] AS l_shipmode, {list(INSTRUCTIONS)}[min(l_suppkey) % 4 + 1] AS l_shipinstruct
+  FROM lineitem GROUP BY l_orderkey, l_linenumber) AS lineitem"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name != "lineitem":
+        return found
+    word = lambda words, n: F.element_at(F.array(*[F.lit(w) for w in words]), (n + 1).cast("int"))
+    least = [F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")]
+    one = found.groupBy("l_orderkey", "l_linenumber").agg(*least)
+    return one.withColumns({"l_shipmode": word(MODES, F.col("l_partkey") % 5), "l_shipinstruct": word(INSTRUCTIONS, F.col("l_suppkey") % 4)})
 
 
 #: Rules for the fields f1 to f7 that lineitem's line numbers stand for.
@@ -76,10 +90,10 @@ e AS (
   LEFT JOIN e ON e.doc_id = o_orderkey AND e.field_key = f.field_key
 ), n AS (
   SELECT *, CASE WHEN raw_value IS NULL THEN 'NONE'
-      WHEN field_key = 'f2' AND upper(trim(raw_value)) IN ('CLASS 1', 'CLASS 2') THEN 'ALIAS'
+      WHEN field_key = 'f2' AND upper(trim(raw_value)) IN ('CLASS 1', 'CLASS 2', '.1', '.2') THEN 'ALIAS'
       WHEN raw_value LIKE '.%' THEN 'NUMBER' ELSE 'RAW' END AS how,
-    CASE WHEN field_key = 'f2' AND upper(trim(raw_value)) = 'CLASS 1' THEN '1#'
-      WHEN field_key = 'f2' AND upper(trim(raw_value)) = 'CLASS 2' THEN '2#'
+    CASE WHEN field_key = 'f2' AND upper(trim(raw_value)) IN ('CLASS 1', '.1') THEN '1#'
+      WHEN field_key = 'f2' AND upper(trim(raw_value)) IN ('CLASS 2', '.2') THEN '2#'
       WHEN raw_value LIKE '.%' THEN '0' || raw_value ELSE trim(raw_value) END AS value
   FROM c
 ), v AS (
@@ -291,8 +305,8 @@ def q17_filename_classify(spark, sf_dir):
 
 @query(
     """
-SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(CASE o_orderkey % 4 WHEN 3 THEN 0 ELSE month(o_orderdate) END AS INT) AS m,
-  CAST(CASE o_orderkey % 4 WHEN 3 THEN 0 ELSE day(o_orderdate) END AS INT) AS d,
+SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(CASE WHEN o_orderkey % 4 = 3 THEN 0 WHEN o_orderkey % 4 = 2 AND day(o_orderdate) <= 12 THEN day(o_orderdate) ELSE month(o_orderdate) END AS INT) AS m,
+  CAST(CASE WHEN o_orderkey % 4 = 3 THEN 0 WHEN o_orderkey % 4 = 2 AND day(o_orderdate) <= 12 THEN month(o_orderdate) ELSE day(o_orderdate) END AS INT) AS d,
   o_orderkey % 4 = 2 AND day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) AS ambiguous FROM orders
 """
 )
@@ -300,7 +314,6 @@ def q18_doc_date_parse(spark, sf_dir):
     day, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
     raw = F.when(k == 0, F.date_format(day, "yyyy-MM-dd")).when(k == 1, F.date_format(day, "MMM d, yyyy")).when(k == 2, F.date_format(day, "dd/MM/yyyy")).otherwise(F.concat(F.lit("issued "), F.date_format(day, "yyyy")))
     got = tags.parse_date(raw)
-    # a day over 12 comes first either way; up to 12 the form reads month first when only that fits
     return table(spark, sf_dir, "orders").select("o_orderkey", *[got[c].alias(c) for c in ("y", "m", "d", "ambiguous")])
 
 
@@ -505,7 +518,7 @@ def q30_vocab_candidates(spark, sf_dir):
 @query()
 def q31_nearest_value(spark, sf_dir):
     values = table(spark, sf_dir, "part").select(F.col("p_type").alias("value"))
-    return vocabulary.nearest(values, ["STANDARD PLATED TIN", "SMALL BRUSHED BRASS", "ECONOMY POLISHED STEEL"]).groupBy("value", "nearest").agg(F.count("*").alias("n"))
+    return vocabulary.nearest(values, ["STANDARD GRADE", "ECONOMIC", "PROMOTION"]).groupBy("value", "nearest").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -603,16 +616,16 @@ def q37_sign_test(spark, sf_dir):
     return evaluate.sign_test(rows.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("field_key"), F.lit(1).alias("rep"), "variant", ok.alias("ok")))
 
 
-@query("SELECT fmt, file FROM (SELECT p_mfgr AS fmt, p_name || p_partkey AS file, row_number() OVER (PARTITION BY p_mfgr ORDER BY sha256(p_name || p_partkey), p_name || p_partkey) AS r FROM part) WHERE r <= 3")
+@query("SELECT fmt, file FROM (SELECT p_brand AS fmt, p_name || p_partkey AS file, row_number() OVER (PARTITION BY p_brand ORDER BY sha256(p_name || p_partkey), p_name || p_partkey) AS r FROM part) WHERE r <= 3")
 def q38_quota_sample_by_hash(spark, sf_dir):
-    files = table(spark, sf_dir, "part").select(F.col("p_mfgr").alias("fmt"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("file"))
+    files = table(spark, sf_dir, "part").select(F.col("p_brand").alias("fmt"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("file"))
     quotas = files.select("fmt").distinct().withColumn("quota", F.lit(3))
     return evaluate.quota_sample(files, quotas).select("fmt", "file")
 
 
-@query("SELECT upper(replace(p_container, ' ', '')) AS norm, count(*) AS n, count(DISTINCT p_brand) AS files, min(p_container) AS label FROM part GROUP BY 1")
+@query("SELECT upper(replace(p_name, ' ', '')) AS norm, count(*) AS n, count(DISTINCT p_brand) AS files, min(p_name) AS label FROM part GROUP BY 1")
 def q39_unmapped_label_stats(spark, sf_dir):
-    labels = table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), F.col("p_container").alias("label"))
+    labels = table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), F.col("p_name").alias("label"))
     return vocabulary.label_stats(labels, RuleSet().labels(spark))
 
 
@@ -642,10 +655,11 @@ SELECT p_partkey, round(p_size * 2.0 + 10, 6) AS x0, round(5 + p_size * 3.0, 6)
 def q42_bbox_affine(spark, sf_dir):
     m = geometry.matrix(*[F.lit(x) for x in (2.0, 0.0, 10.0, 0.0, 3.0, 5.0)])
     size = F.col("p_size").cast("double")
-    there = geometry.map_box(m, geometry.box(size, size, size + 4, size + 8))
+    rows = table(spark, sf_dir, "part").select("p_partkey", geometry.box(size, size, size + 4, size + 8).alias("own"), m.alias("m"))
     # out and back again is the box itself, so the shown box has been through both
-    shown = geometry.map_box(m, geometry.map_box(geometry.invert(m), there))
-    return table(spark, sf_dir, "part").select("p_partkey", *[F.round(shown[c], 6).alias(c) for c in geometry.CORNERS])
+    rows = rows.withColumn("inverse", geometry.invert(F.col("m"))).withColumn("there", geometry.map_box(F.col("m"), F.col("own")))
+    rows = rows.withColumn("back", geometry.map_box(F.col("inverse"), F.col("there"))).withColumn("shown", geometry.map_box(F.col("m"), F.col("back")))
+    return rows.select("p_partkey", *[F.round(F.col("shown")[c], 6).alias(c) for c in geometry.CORNERS])
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 THEN round(1.156 * l_quantity * sqrt(1 / l_discount), 6) END AS cv FROM lineitem")
