@@ -20,6 +20,8 @@ from docsift.llm.common import Cache, small, stored
 BITS = 18
 TRAIN_ROWS = 6_000
 GRADES = 3
+#: Features of fewer documents aren't learned from.
+LEAST_DOCS = 4
 CACHE = 300_000
 WORD = re.compile(r"[^\W_]+")
 _features: dict[int, Cache] = {}
@@ -48,11 +50,16 @@ def text_features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     shapes, counts = np.unique(np.array([s for _, s in own], np.int64), return_counts=True)
     n = max(1, len(pieces))
     repeats = sum(a == b for a, b in zip(pieces, pieces[1:], strict=False))
-    extra = np.array([_slot("x:repeats", bits), _slot("x:variety", bits), _slot("x:short", bits)])
+    extra = _dense(bits)
     values = np.array([4 * repeats / n, len({*pieces}) / n, 1 / (1 + len(pieces))])
     return np.concatenate([words, shapes, extra]), np.concatenate([np.ones(len(words)), 4 * counts / n, values])
 
 
+def _dense(bits: int) -> np.ndarray:
+    """Slots of the shares that every text has."""
+    return np.array([_slot("x:" + name, bits) for name in ("repeats", "variety", "short")])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -72,7 +79,7 @@ class Model:
         return _sigmoid(np.array(scores, float).reshape(-1, 1) - self.cuts)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, *, bits: int = BITS, n_grades: int = GRADES, rounds: int = 150, rate: float = 0.05, penalty: float = 1e-4) -> Model:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, *, bits: int = BITS, n_grades: int = GRADES, rounds: int = 150, rate: float = 0.05, penalty: float = 1e-3) -> Model:
     """Maximum likelihood by Adam over all rows; the order of thresholds is kept by summing positive gaps.
 
     Without rows every grade is equally likely.
@@ -82,6 +89,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, *, bits:
     if rows:
         sizes = np.array([len(s) for s, _ in rows])
         slots, values = (np.concatenate(x) for x in zip(*rows, strict=True))
+        # a feature's scale is how unevenly it splits the grades, so that a few telling words outweigh many others
+        seen = np.bincount(slots, minlength=1 << bits)
+        top = np.bincount(slots[np.repeat(grades == n_grades - 1, sizes)], minlength=1 << bits)
+        n_top = max(1, int((grades == n_grades - 1).sum()))
+        odds = np.abs(np.log((top + 1) / (n_top + 2)) - np.log((seen - top + 1) / (len(rows) - min(n_top, len(rows)) + 2)))
+        scale = np.where(seen >= LEAST_DOCS, np.minimum(odds, 4.0), 0.0)
+        scale[_dense(bits)] = 1.0
+        values = values * scale[slots]
         used, slots = np.unique(slots, return_inverse=True)
         slots = slots.astype(np.int32)
         owner, starts = np.repeat(np.arange(len(rows), dtype=np.int32), sizes), np.r_[0, np.cumsum(sizes)[:-1]]
@@ -108,7 +123,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, *, bits:
                 v *= 0.999
                 v += 0.001 * g * g
                 x -= rate * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        weights[used] = w
+        weights[used] = w * scale[used]
     return Model(weights, cuts(cut), bits)
 
 
