@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions import geometry, tags, text
-from docsift.operators import crosscheck, evaluate, lookup, resolve, triage, vocabulary
+from docsift.operators import crosscheck, evaluate, gold, lookup, resolve, triage, vocabulary
 from docsift.rules import RuleSet, _field
 from docsift.sources.files import export_table
 from docsift.streaming import events as stream
@@ -441,10 +441,10 @@ sc AS (
 def _scored(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
     keys = F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("field_key")
-    gold = line.select(*keys, F.col("l_shipmode").alias("cls"), F.when(F.col("l_tax") == 0, "N/A").otherwise(F.col("l_shipinstruct")).alias("truth"), F.col("l_linenumber").alias("page"), F.lit(None).cast("boolean").alias("numeric"))
+    truths = line.select(*keys, F.col("l_shipmode").alias("cls"), F.when(F.col("l_tax") == 0, "N/A").otherwise(F.col("l_shipinstruct")).alias("truth"), F.col("l_linenumber").alias("page"), F.lit(None).cast("boolean").alias("numeric"))
     got = F.when(F.col("l_returnflag") == "A", F.lit(None)).when(F.col("l_returnflag") == "N", F.lower("l_shipinstruct")).otherwise(F.col("l_shipmode"))
     values = line.select(*keys, got.alias("got"), F.when(F.col("l_linestatus") == "F", "NONE").otherwise(F.col("l_shipinstruct")).alias("raw"), F.when(F.col("l_discount") == 0.1, 9).alias("page"))
-    return evaluate.score(gold, values)
+    return evaluate.score(truths, values)
 
 
 @query(GOLD_SQL + "SELECT verdict, count(*) AS n, count(*) FILTER (strict) AS strict FROM scored GROUP BY verdict")
@@ -727,3 +727,73 @@ def q50_header_carry_forward(spark, sf_dir):
     place = F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row")
     cells = line.select(*place, F.lit(1).alias("col"), F.when(head, "Max").otherwise(F.col("l_shipmode")).alias("value")).unionByName(line.select(*place, (2 + F.col("l_linenumber")).cast("int").alias("col"), F.when(head, "Normal").otherwise(F.col("l_returnflag")).alias("value")))
     return lookup.carry_header(cells, ["doc_id"])
+
+
+@query(
+    """
+SELECT field_key, label, count(*) AS n, count(DISTINCT doc_id) AS docs, label IN ('Nozzle', 'Tag No') AS collides FROM (
+  SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber % 2 = 0 THEN 'tag' ELSE 'model' END AS field_key,
+    CASE l_shipmode WHEN 'AIR' THEN 'Tag No' WHEN 'MAIL' THEN 'Nozzle' WHEN 'RAIL' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'Position Code' ELSE 'Type Code' END ELSE '' END AS label FROM lineitem)
+WHERE label <> '' AND NOT (label = 'Tag No' AND field_key = 'tag') GROUP BY ALL
+"""
+)
+def q51_label_candidates(spark, sf_dir):
+    mode, even = F.col("l_shipmode"), F.col("l_linenumber") % 2 == 0
+    label = F.when(mode == "AIR", "Tag No").when(mode == "MAIL", "Nozzle").when(mode == "RAIL", F.when(even, "Position Code (as printed here)").otherwise("Type Code")).otherwise("")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.when(even, "tag").otherwise("model").alias("field_key"), label.alias("raw_label"))
+    rules = RuleSet()
+    return gold.label_candidates(rows, rules.labels(spark), rules.composites(spark))
+
+
+@query(
+    """
+WITH a AS (SELECT o_orderkey AS doc_id, o_orderstatus AS truth FROM orders WHERE o_orderkey % 3 <> 0),
+b AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS truth FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, 'f' AS field_key, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change,
+  a.truth AS before, b.truth AS after FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.truth <> b.truth
+"""
+)
+def q52_gold_changes(spark, sf_dir):
+    orders, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    side = lambda n, truth: orders.where(k % n != 0).select(k.alias("doc_id"), F.lit("f").alias("field_key"), truth.alias("truth"))
+    status = F.col("o_orderstatus")
+    return gold.gold_changes(side(3, status), side(7, F.when(k % 5 == 0, "X").otherwise(status)))
+
+
+@query(
+    """
+SELECT field_key, value, count(*) AS n FROM (SELECT CASE WHEN p_size % 2 = 0 THEN 'rating' ELSE 'maker' END AS field_key,
+  CASE WHEN p_size % 2 = 0 THEN ['CLASS 150', 'cl 300', '450#'][p_partkey % 3 + 1] ELSE ['Northgate', 'WESTEND', 'EASTVALE'][p_partkey % 3 + 1] END AS value FROM part)
+WHERE value IN ('450#', 'WESTEND') GROUP BY ALL
+"""
+)
+def q53_unreachable_values(spark, sf_dir):
+    even, k = F.col("p_size") % 2 == 0, (F.col("p_partkey") % 3 + 1).cast("int")
+    pick = lambda *words: F.element_at(F.array(*[F.lit(w) for w in words]), k)
+    rows = table(spark, sf_dir, "part").select(F.when(even, "rating").otherwise("maker").alias("field_key"), F.when(even, pick("CLASS 150", "cl 300", "450#")).otherwise(pick("Northgate", "WESTEND", "EASTVALE")).alias("truth"))
+    rules = RuleSet()
+    return gold.unreachable(rows, rules.vocabulary(spark), rules.aliases(spark))
+
+
+@query(
+    """
+WITH r AS (SELECT l_orderkey AS doc_id, 'f' || l_linenumber AS field_key, 1 - l_discount AS c, CASE WHEN l_shipmode <> 'AIR' THEN l_shipmode END AS value, l_linenumber <= 2 AS required,
+  CASE WHEN l_orderkey % 2 = 0 THEN ['MAIL', 'RAIL'] END AS tags FROM lineitem),
+w AS (SELECT *, concat_ws(' | ', CASE WHEN c < 0.95 THEN 'LOW_CONFIDENCE' END, CASE WHEN required AND value IS NULL THEN 'MISSING' END,
+  CASE WHEN field_key = 'f1' AND tags IS NOT NULL AND NOT list_contains(tags, value) THEN 'TAG_MISMATCH' END) AS why FROM r)
+SELECT why, count(*) AS n FROM w WHERE why <> '' GROUP BY why
+"""
+)
+def q54_escalation_reasons(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("field_key"), (1 - F.col("l_discount")).alias("confidence"), F.lit(0.95).alias("threshold"),
+        F.nullif(F.col("l_shipmode"), F.lit("AIR")).alias("value"), (F.col("l_linenumber") <= 2).alias("required"),
+    )
+    tagged = rows.select("doc_id").distinct().where("doc_id % 2 = 0").withColumn("tags", F.array(F.lit("MAIL"), F.lit("RAIL")))
+    return gold.escalations(rows, tagged, "f1").groupBy("why").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN p_size % 7 = 0 THEN 'unknown' WHEN p_size % 5 = 0 THEN 'regulator' ELSE 'valve' END AS cls, count(*) AS n FROM part GROUP BY 1")
+def q55_equipment_class(spark, sf_dir):
+    name = F.when(F.col("p_size") % 7 == 0, "  ").when(F.col("p_size") % 5 == 0, F.concat("p_name", F.lit(" self operated"))).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").groupBy(gold.equipment_class(name).alias("cls")).agg(F.count("*").alias("n"))
