@@ -89,13 +89,23 @@ def folded(text: str | None) -> str:
 def places(words: str, phrase: str) -> list[int]:
     """Word numbers at which the phrase's words stand consecutively."""
     padded, sought, out = f" {words} ", f" {phrase} ", []
-    at = padded.find(sought)
+    at, seen, n = padded.find(sought), 0, 0
     while at >= 0:
-        out.append(padded.count(" ", 0, at))
+        n, seen = n + padded.count(" ", seen, at), at
+        out.append(n)
         at = padded.find(sought, at + 1)
     return out
 
 
+def word_numbers(words: str, spots: list[int]) -> dict[int, int]:
+    """The number of the word that stands at each spot of the text, counted in one pass."""
+    out, seen, n = {}, 0, 0
+    for at in sorted(set(spots)):
+        n, seen = n + words.count(" ", seen, at), at
+        out[at] = n
+    return out
+
+
 KIND = "doc_id long, n_words long, phrases array<struct<label:string,word:bigint>>, matches array<struct<label:string,first_word:bigint,last_word:bigint,edits:int,score:double>>"
 
 
@@ -110,12 +120,9 @@ def _scan(batches, phrases, notices, chars_per_edit: int):
             words = folded(text)
             counts.append(words.count(" ") + 1 if words else 0)
             exact.append([{"label": label, "word": w} for phrase, label in phrases if phrase in words for w in places(words, phrase)])
-            fuzzy.append(
-                [
-                    {"label": label, "first_word": words.count(" ", 0, lo), "last_word": words.count(" ", 0, hi), "edits": edits, "score": max(0.0, 1 - edits / max(least, hi - lo))}
-                    for label, lo, hi, edits in search.find(words)
-                ]
-            )
+            found = search.find(words)
+            number = word_numbers(words, [at for _, lo, hi, _ in found for at in (lo, hi)])
+            fuzzy.append([{"label": label, "first_word": number[lo], "last_word": number[hi], "edits": edits, "score": max(0.0, 1 - edits / max(least, hi - lo))} for label, lo, hi, edits in found])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(exact, kind.field("phrases").type), pa.array(fuzzy, kind.field("matches").type)], schema=kind)
 
 
