@@ -24,7 +24,6 @@ GRADES = 3
 LEAST_DOCS = 4
 CACHE = 300_000
 WORD = re.compile(r"[^\W_]+")
-_features: dict[int, Cache] = {}
 
 
 def _slot(name: str, bits: int) -> int:
@@ -37,12 +36,13 @@ def _shape(piece: str) -> str:
     return core[:8]
 
 
-def text_features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def text_features(text: str | None, bits: int, known: Cache) -> tuple[np.ndarray, np.ndarray]:
     """(slots, values): which words a text has, and the shares of its shapes and of repeats.
 
-    Words count once, whatever the length of the text; shares do not depend on it either.
+    Words count once, whatever the length of the text; shares do not depend on
+    it either. ``known`` serves one task and goes with it, so that a worker
+    holds no memory for stages that come later.
     """
-    known = _features.setdefault(bits, Cache(CACHE))
     pieces = (text or "").split()
     known.fill({*pieces}, lambda new: [([_slot("w:" + w.lower(), bits) for w in WORD.findall(p)], _slot("s:" + _shape(p), bits)) for p in new])
     own = [known.new[p] for p in pieces]
@@ -70,11 +70,11 @@ class Model:
     def __init__(self, weights: np.ndarray, cuts: np.ndarray, bits: int):
         self.weights, self.cuts, self.bits = weights, cuts, bits
 
-    def tails(self, texts: list[str | None]) -> np.ndarray:
+    def tails(self, texts: list[str | None], known: Cache | None = None) -> np.ndarray:
         """P(grade >= k) for k = 1 .. K-1, a row for each text."""
-        scores = []
+        scores, known = [], known or Cache(CACHE)
         for t in texts:
-            slots, values = text_features(t, self.bits)
+            slots, values = text_features(t, self.bits, known)
             scores.append(float(self.weights[slots] @ values))
         return _sigmoid(np.array(scores, float).reshape(-1, 1) - self.cuts)
 
@@ -128,8 +128,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, *, bits:
 
 
 def _featurised(batches, bits: int):
+    known = Cache(CACHE)
     for batch in batches:
-        found = [text_features(t, bits) for t in batch.column("text").to_pylist()]
+        found = [text_features(t, bits, known) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array([s.astype("<i4").tobytes() for s, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], ["doc_id", "grade", "slots", "values"])
 
 
@@ -150,9 +151,9 @@ def train(docs: DataFrame, graded: DataFrame, *, rows: int = TRAIN_ROWS, bits: i
 
 
 def _scored(batches, sent):
-    model = sent.value
+    model, known = sent.value, Cache(CACHE)
     for batch in batches:
-        tails = model.tails(batch.column("text").to_pylist())
+        tails = model.tails(batch.column("text").to_pylist(), known)
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], ["row", "expected_grade", "tail_probability"])
 
 
