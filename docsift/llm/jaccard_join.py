@@ -192,13 +192,17 @@ def search(sets: list[np.ndarray], threshold: float) -> Forest:
     """The components of a block's similar sets, as far as they follow from links within it.
 
     Each set probes the lists of the others; connected sets aren't compared.
-    Once many of the listed sets are one component, the lists are made anew
-    without it: its sets still probe the others, so no pair is lost.
+    Once many of the listed sets are one component, they move to a shelf of
+    their own: they still probe the listed sets, and the shelves of other
+    components too. So of two sets that aren't connected one has probed the
+    other, whenever either moved. A shelf gets lists when it is first probed.
     """
-    forest, listed = Forest(), list(range(len(sets)))
+    forest, listed, shelves = Forest(), list(range(len(sets))), []
+    moved = np.zeros(len(sets), bool)
     lists, look = Lists(sets, listed), 1
-    for i, probe in enumerate(sets):
-        near = lists.reach(probe, threshold)
+
+    def probe(i: int, lists: Lists) -> None:
+        near = lists.reach(sets[i], threshold)
         if near is not None:
             found, have, want, rest = near
             home = forest.root(i)
@@ -206,16 +210,28 @@ def search(sets: list[np.ndarray], threshold: float) -> Forest:
             found = found[apart]
             for own in found[lists.reaching(found, have[apart], want[apart], rest)].tolist():
                 forest.join(i, int(lists.members[own]))
+
+    for i in range(len(sets)):
+        if listed:
+            probe(i, lists)
+        for shelf in shelves if moved[i] else ():
+            if forest.root(i) != forest.root(shelf[0][0]):
+                if shelf[1] is None:
+                    shelf[1] = Lists(sets, shelf[0])
+                probe(i, shelf[1])
         if i + 1 == look:
             look = min(2 * look, look + 64)
             roots = [forest.root(j) for j in listed]
-            main, n = Counter(roots).most_common(1)[0]
+            main, n = Counter(roots).most_common(1)[0] if listed else (None, 0)
             if n > 16 and n > min(len(listed) // 2, max(200, len(listed) // 20)):
+                shelves.append([[j for j, r in zip(listed, roots, strict=True) if r == main], None])
+                moved[shelves[-1][0]] = True
                 listed = [j for j, r in zip(listed, roots, strict=True) if r != main]
-                if not listed:
-                    break
-                lists = near = None  # before the new ones take room
-                lists = Lists(sets, listed)
+                lists = None  # before the new ones take room
+                if listed:
+                    lists = Lists(sets, listed)
+            if not listed and len({forest.root(held[0]) for held, _ in shelves}) == 1:
+                break
     return forest
 
 

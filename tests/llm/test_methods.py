@@ -153,6 +153,46 @@ def test_search_without_lists_of_the_main_component():
     assert pairs == {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if want.root(i) == want.root(j)}
 
 
+def same_components(sets, threshold):
+    """The components by search() and by comparing all pairs."""
+    want, got = components.Forest(), jaccard_join.search(sets, threshold)
+    own = [set(s.tolist()) for s in sets]
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(own[a] & own[b])
+            if both >= threshold * (len(own[a]) + len(own[b]) - both) - 1e-9:
+                want.join(a, b)
+    return [[f.root(i) for i in range(len(sets))] for f in (got, want)]
+
+
+def test_search_of_two_families_with_one_bridge():
+    """Both families are taken out of the lists before the two sets of the bridge have probed."""
+    rng = np.random.default_rng(3)
+    new = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    base, apart = new(100), new(24)
+    other = np.r_[base[:76], apart]  # 76 of 124 elements: no link between the families' bodies
+    families = [[np.unique(np.r_[body[rng.random(100) > 0.01], new(1)]) for _ in range(300)] for body in (base, other)]
+    # each end is near one body (93 of 107, 92 of 108) and the other end (91 of 109)
+    ends = [np.unique(np.r_[base[:93], apart[:7]]), np.unique(np.r_[base[:84], apart[:16]])]
+    sets = [s for pair in zip(*families, strict=True) for s in pair]
+    for bridge in (ends, []):
+        got, want = same_components([*sets, *bridge], 0.8)
+        assert got == want
+        assert len(set(want)) == (1 if bridge else 2)
+
+
+def test_search_of_long_chains():
+    """Pieces of a chain grow apart and meet by single links."""
+    rng = np.random.default_rng(6)
+    for step in (2, 4):
+        chains = [rng.integers(0, 2**63, 40 + 1500 * step, dtype=np.uint64) for _ in range(2)]
+        sets = [np.unique(c[i : i + 40]) for c in chains for i in range(0, 1500 * step, step)]
+        order = rng.permutation(len(sets))
+        got = jaccard_join.search([sets[i] for i in order], 0.8)
+        roots = {c: {got.root(k) for k, i in enumerate(order) if i // 1500 == c} for c in (0, 1)}
+        assert len(roots[0]) == len(roots[1]) == 1 and roots[0] != roots[1]
+
+
 def test_components_of_a_path(spark):
     path = list(range(60))
     random.Random(3).shuffle(path)
