@@ -2,13 +2,16 @@
 
 Exact copies are one class. In each pass the classes of a label are ordered
 lexicographically by concatenated random hyperplane hashes, and each vector is
-compared with a bounded window of its neighbours in that order. Pairs that
-verify are united across passes, so a group need not fit a window. Then every
-member of a united group is compared with the whole group, in blocks, to count
-its links; pairs are never listed.
-
-The number of passes follows the number of vectors, so that a pair at the
-threshold is missed with a probability of at most ``miss``.
+compared with a bounded window of its neighbours in that order. Vectors that
+share the first bits of their hash are a run; one longer than the window, as in
+a crowd, is compared whole, but for vectors that are connected already, and a
+very long one in pairs of blocks. Pairs that verify are united across passes.
+Then every member of a united group is compared with the whole group, in
+blocks, to count its links; pairs are never listed.
+
+The bits and the number of passes follow the number of vectors, so that a pair
+at the threshold shares no run with a probability of at most ``miss``, however
+the vectors lie.
 """
 
 from __future__ import annotations
@@ -26,19 +29,25 @@ from docsift.llm.components import Forest, components
 
 KEY_BITS = 62
 BLOCK = 2_048
+RUN_ROWS = 512
 
 
 def passes_needed(vectors: int, threshold: float, window: int, miss: float) -> int:
-    """Passes until a pair at the threshold was in one window, but for a share ``miss``.
+    """Passes until a pair at the threshold was in one run, but for a share ``miss``.
 
-    A window holds a pair if the first log2(vectors / window) hash bits agree,
-    each with probability 1 - angle / pi.
+    A run holds a pair if the first log2(vectors / window) hash bits, or fewer,
+    agree, each with probability 1 - angle / pi.
     """
     bits = max(1.0, math.log2(max(2, vectors) / window))
     once = (1 - math.acos(threshold) / math.pi) ** bits
     return max(4, math.ceil(math.log(miss) / math.log1p(-min(once, 0.999))))
 
 
+def run_bits(vectors: int, window: int) -> int:
+    """The hash bits that the vectors of a run share; never more than passes_needed() reckons with."""
+    return max(1, int(math.log2(max(2, vectors) / window)))
+
+
 def _unit(vectors) -> np.ndarray:
     x = np.array(vectors, np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -64,34 +73,85 @@ def _keys(batches, passes: int, seed: int):
             )
 
 
-def _windows(batches, threshold: float, window: int):
-    """Forest edges of the verified pairs of a sorted partition."""
+def _filled(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, filled up with zeros to one length, and their own lengths."""
+    widths = np.array([len(r) for r in rows], np.int64)
+    x = np.zeros((len(rows), widths.max(initial=0)))
+    for i, r in enumerate(rows):
+        x[i, : len(r)] = r
+    return (x / np.linalg.norm(x, axis=1, keepdims=True) if len(rows) else x), widths
+
+
+def _unite_windows(forest: Forest, x, vec, marks, threshold: float, window: int) -> None:
+    """Unites linked vectors that stand up to ``window`` places apart and agree in each of ``marks``."""
+    for step in range(1, min(window, len(vec) - 1) + 1):
+        near = np.einsum("ij,ij->i", x[:-step], x[step:]) >= threshold
+        for m in marks:
+            near &= m[:-step] == m[step:]
+        for i in np.flatnonzero(near).tolist():
+            forest.join(int(vec[i]), int(vec[i + step]))
+
+
+def _unite_run(forest: Forest, x, vec, widths, threshold: float) -> None:
+    """Unites all linked vectors of a run; those of its largest component aren't compared with each other."""
+    roots = np.array([forest.root(v) for v in vec.tolist()])
+    names, sizes = np.unique(roots, return_counts=True)
+    rest = np.flatnonzero(roots != names[sizes.argmax()])
+    for lo in range(0, len(rest), RUN_ROWS):
+        rows = rest[lo : lo + RUN_ROWS]
+        names, place = np.unique([forest.root(v) for v in vec.tolist()], return_inverse=True)
+        near = (x[rows] @ x.T >= threshold) & (widths[rows][:, None] == widths) & (place[rows][:, None] != place)
+        one, two = np.nonzero(near)
+        for pair in np.unique(place[rows][one] * len(names) + place[two]).tolist():
+            forest.join(int(names[pair // len(names)]), int(names[pair % len(names)]))
+
+
+def _windows(batches, threshold: float, window: int, shift: int):
+    """Forest edges of the verified pairs of a sorted partition, which holds its runs whole."""
     forest, tail = Forest(), None
+
+    def runs(turn, label, run, vec, widths, x, ended: bool) -> int:
+        """Unites the runs, but for the last one if it may go on; returns its start."""
+        starts = np.flatnonzero(np.r_[True, (turn[1:] != turn[:-1]) | (label[1:] != label[:-1]) | (run[1:] != run[:-1])])
+        for lo, hi in zip(starts, np.r_[starts[1:], len(vec)], strict=True):
+            if hi - lo > window + 1 and (ended or hi < len(vec)):
+                _unite_run(forest, x[lo:hi], vec[lo:hi], widths[lo:hi], threshold)
+        return int(starts[-1])
+
     for batch in batches:
-        turn, label, vec = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("turn", "label", "vec"))
-        rows = batch.column("embedding").to_pylist()
-        widths = np.array([len(r) for r in rows])
+        if not len(batch):
+            continue
+        turn, label, code, vec = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("turn", "label", "code", "vec"))
         # vectors of one label and other lengths are no pairs: zeros fill them up and the mark tells them apart
-        x = np.zeros((len(rows), widths.max(initial=0)))
-        for i, r in enumerate(rows):
-            x[i, : len(r)] = r
-        if len(rows):
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x, widths = _filled(batch.column("embedding").to_pylist())
+        now = turn, label, code >> shift, vec, widths
         if tail is not None:
-            full = max(x.shape[1], tail[3].shape[1])
+            full = max(x.shape[1], tail[-1].shape[1])
             grow = lambda m: np.pad(m, ((0, 0), (0, full - m.shape[1])))
-            turn, label, vec, widths = (np.r_[t, n] for t, n in zip((*tail[:3], tail[4]), (turn, label, vec, widths), strict=True))
-            x = np.vstack([grow(tail[3]), grow(x)])
-        for step in range(1, min(window, len(vec) - 1) + 1):
-            near = np.einsum("ij,ij->i", x[:-step], x[step:]) >= threshold
-            near &= (turn[:-step] == turn[step:]) & (label[:-step] == label[step:]) & (widths[:-step] == widths[step:])
-            for i in np.flatnonzero(near).tolist():
-                forest.join(int(vec[i]), int(vec[i + step]))
-        tail = turn[-window:], label[-window:], vec[-window:], x[-window:], widths[-window:]
+            now = tuple(np.r_[t, n] for t, n in zip(tail[:-1], now, strict=True))
+            x = np.vstack([grow(tail[-1]), grow(x)])
+        turn, label, run, vec, widths = now
+        _unite_windows(forest, x, vec, (turn, label, widths), threshold, window)
+        # what remains of the run before the last is no longer than the window and was compared
+        keep = max(0, min(runs(*now, x, False), len(vec) - window))
+        tail = *(m[keep:] for m in now), x[keep:]
+    if tail is not None:
+        runs(*tail, True)
     found = forest.edges()
     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
+def _long_run(frame: pd.DataFrame, threshold: float, window: int) -> pd.DataFrame:
+    """Forest edges of the verified pairs within two blocks of one run."""
+    frame, forest = frame.sort_values(["code", "vec"]), Forest()
+    vec = frame["vec"].to_numpy(np.int64)
+    x, widths = _filled(frame["embedding"].tolist())
+    _unite_windows(forest, x, vec, (widths,), threshold, window)
+    _unite_run(forest, x, vec, widths, threshold)
+    found = forest.edges()
+    return pd.DataFrame({"a": pd.Series([a for a, _ in found], dtype="int64"), "b": pd.Series([b for _, b in found], dtype="int64")})
+
+
 def _count(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Copies linked to each class of block a, among those of block b, for all groups of a bundle."""
     out = []
@@ -129,8 +189,19 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, window: int = 3
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     passes = passes_needed(largest, threshold, window, miss)
     keyed = classes.mapInArrow(lambda b: _keys(b, passes, seed), "turn int, code long, label long, vec long, embedding array<double>")
-    keyed = keyed.repartitionByRange("turn", "label", "code", "vec").sortWithinPartitions("turn", "label", "code", "vec")
-    pairs = stored(keyed.mapInArrow(lambda b: _windows(b, threshold, window), "a long, b long"), "vector-links")
+    shift = KEY_BITS - run_bits(largest, window)
+    run = ["turn", "label", "run"]
+    keyed = keyed.withColumn("run", F.shiftright("code", shift))
+    crowds = stored(keyed.groupBy(*run).count().where(f"count > {BLOCK}"), "crowds")
+    short = keyed if crowds.isEmpty() else keyed.join(F.broadcast(crowds), run, "left_anti")
+    short = short.repartitionByRange(*run).sortWithinPartitions("turn", "label", "code", "vec")
+    pairs = short.mapInArrow(lambda b: _windows(b, threshold, window, shift), "a long, b long")
+    if not crowds.isEmpty():
+        blocks = F.ceil(F.col("count") / BLOCK)
+        dealt = keyed.join(F.broadcast(crowds), run).withColumn("own", F.pmod(F.xxhash64("vec"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        dealt = dealt.select(*run, F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), "code", "vec", "embedding")
+        pairs = pairs.unionByName(dealt.groupBy(*run, "block_a", "block_b").applyInPandas(lambda f: _long_run(f, threshold, window), "a long, b long"))
+    pairs = stored(pairs, "vector-links")
 
     united = stored(components(pairs, "a", "b").select(F.col("node").alias("vec"), "component"), "united")
     sizes = united.groupBy("component").agg(F.count("*").alias("members"))

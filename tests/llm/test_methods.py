@@ -218,6 +218,23 @@ def test_near_vectors_equal_brute_force(spark):
     assert near.sum() > 5000
 
 
+@pytest.mark.parametrize("block", [2048, 100])
+def test_pairs_in_a_crowd_below_the_threshold(spark, monkeypatch, block):
+    """Vectors with one link each beside a thousand that are nearly linked; runs whole and in blocks."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal(64) + 0.37 * rng.standard_normal((1500, 64))
+    x = np.vstack([x, x[:80] + 0.32 * rng.standard_normal((80, 64))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    forest = components.Forest()
+    for a, b in np.argwhere(np.triu(near, 1)).tolist():
+        forest.join(a, b)
+    docs = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(docs).collect()}
+    assert got == {i: (int(near[i].sum()) - 1, forest.root(i)) for i in range(len(x))}
+
+
 def test_license_spans():
     find = license_scan.Notices(license_scan.NOTICES, license_scan.CHARS_PER_EDIT).find
     text = license_scan.folded("Foo, RELEASED under teh MIT-License. Licensed under the Apache Licence, Version 2.0; the mit licence alone")
