@@ -140,6 +140,13 @@ def unscored_reasons(skipped: DataFrame) -> DataFrame:
     return skipped.groupBy(reason.alias("reason")).agg(F.count("*").alias("docs"), F.array_join(F.sort_array(F.collect_list(F.col("doc_id").cast("string"))), ",").alias("doc_ids"))
 
 
+def unscored_documents(skipped: DataFrame) -> DataFrame:
+    """A row (reason, docs, doc_id) for each document, with the number of documents of its reason; none are gathered in one value."""
+    rows = skipped.select(F.trim(F.substring_index(F.substring_index("reason", ":", 1), "(", 1)).alias("reason"), "doc_id")
+    counts = rows.groupBy(F.col("reason").alias("of")).agg(F.count("*").alias("docs"))
+    return rows.join(counts, F.col("reason").eqNullSafe(F.col("of"))).select("reason", "docs", "doc_id")
+
+
 def quota_sample(files: DataFrame, quotas: DataFrame) -> DataFrame:
     """The first files of each format by the sha256 of their names, as many as the format's quota."""
     order = Window.partitionBy("fmt").orderBy(F.sha2("file", 256), "file")

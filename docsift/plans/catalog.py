@@ -647,6 +647,21 @@ def q41_pivot_export(spark, sf_dir):
     return export_table(rows, ["f1", "f2"], ["value", "state"])
 
 
+ALL_FIELDS = [f"f{k}" for k in range(1, 8)]
+
+
+@query(
+    "".join(
+        f"{'' if a == 'value' else ' UNION ALL '}SELECT l_orderkey AS doc_id, '{a}' AS attribute, " + ", ".join(f"max({c}) FILTER (l_linenumber = {f[1:]}) AS {f}" for f in ALL_FIELDS) + " FROM lineitem GROUP BY l_orderkey"
+        for a, c in (("value", "l_shipmode"), ("state", "l_returnflag"))
+    )
+)
+def q41b_pivot_export_all(spark, sf_dir):
+    """The export of q41 with all fields."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("field_key"), F.col("l_shipmode").alias("value"), F.col("l_returnflag").alias("state"))
+    return export_table(rows, ALL_FIELDS, ["value", "state"])
+
+
 @query(
     """
 SELECT p_partkey, round(p_size * 2.0 + 10, 6) AS x0, round(5 + p_size * 3.0, 6) AS y0, round((p_size + 4) * 2.0 + 10, 6) AS x1, round(5 + (p_size + 8) * 3.0, 6) AS y1 FROM part
@@ -694,6 +709,13 @@ def q46_unscored_reasons(spark, sf_dir):
     return evaluate.unscored_reasons(table(spark, sf_dir, "orders").where("o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("doc_id"), reason.alias("reason")))
 
 
+@query("SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'no page' ELSE 'read error' END AS reason, count(*) OVER (PARTITION BY o_orderpriority = '1-URGENT') AS docs, o_orderkey AS doc_id FROM orders")
+def q46b_unscored_documents(spark, sf_dir):
+    """The reasons of q46 for all documents, a row each."""
+    reason = F.when(F.col("o_orderpriority") == "1-URGENT", "no page (scan)").otherwise(F.concat(F.lit("read error: "), F.col("o_orderpriority")))
+    return evaluate.unscored_documents(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), reason.alias("reason")))
+
+
 @query(RUNS_SQL + f"SELECT count(*) FILTER ({RANK_SQL.format('a')} > {RANK_SQL.format('b')}) AS better, count(*) FILTER ({RANK_SQL.format('a')} < {RANK_SQL.format('b')}) AS worse, count(*) FILTER (a = b) AS same, count(*) FILTER ({RANK_SQL.format('a')} > {RANK_SQL.format('b')}) - count(*) FILTER ({RANK_SQL.format('a')} < {RANK_SQL.format('b')}) AS net FROM t")
 def q47_escalation_effect(spark, sf_dir):
     before, after = _runs(spark, sf_dir)
