@@ -78,9 +78,19 @@ class Notices:
         for k in sorted(windows):
             label, _, _, pattern = self.notices[k]
             for lo, hi in windows[k]:
-                found += [(label, m.start(), m.end(), sum(m.fuzzy_counts)) for m in pattern.finditer(text, lo, hi)]
+                found += sorted((label, m.start(), m.end(), sum(m.fuzzy_counts)) for m in self._matches(k, text, lo, hi))
         return found
 
+    def _matches(self, k: int, text: str, lo: int, hi: int):
+        """The best match of the stretch, then those before and behind it, as long as a match fits in."""
+        _, length, edits, pattern = self.notices[k]
+        stretches = [(lo, hi)]
+        while stretches:
+            lo, hi = stretches.pop()
+            if hi - lo >= length - edits and (m := pattern.search(text, lo, hi)):
+                yield m
+                stretches += [(lo, m.start()), (m.end(), hi)]
+
 
 def folded(text: str | None) -> str:
     return b" ".join((text or "").encode().translate(FOLD).split()).decode()

@@ -249,6 +249,15 @@ def test_license_spans():
             assert label in {f[0] for f in find(f"some words {''.join(edited)} and more")}
 
 
+def test_notices_next_to_each_other():
+    """The better match stands behind, before and between others of one window."""
+    find = license_scan.Notices(license_scan.NOTICES, license_scan.CHARS_PER_EDIT).find
+    good, bad = "licensed under the apache license version 2 0", "licensed under the apach license version 2 0"
+    for row in ([bad, good], [good, bad], [bad, good, bad], [bad, bad, good, good]):
+        text = " ".join(row)
+        assert [(text[a:b].strip(), e) for _, a, b, e in find(text)] == [(n, int(n == bad)) for n in row]
+
+
 def test_phrases(spark):
     docs = spark.createDataFrame([(1, "The MIT-license mit license, Apache\nLICENSE x general public license permit license mit license"), (2, "mitlicense")], "doc_id long, text string")
     got = {r.doc_id: [(p.label, p.word) for p in r.phrases] for r in license_scan.scan_licenses(docs).collect()}
