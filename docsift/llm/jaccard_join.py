@@ -334,16 +334,8 @@ def _search_blocks(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"a": pd.Series([names[x] for x, _ in found], dtype="int64"), "b": pd.Series([names[y] for _, y in found], dtype="int64")})
 
 
-def similar_groups(docs: DataFrame, *, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest doc_id reachable over links.
-
-    Two documents link when their shingle sets' Jaccard similarity is at least
-    ``threshold``. Words are runs other than ASCII blanks, with A-Z folded. A
-    null, empty or blank text has no shingles and no links. Rows with one
-    doc_id each get a row; a null doc_id keeps a null component and links with
-    nothing. Whole texts count, whatever their length. Other columns of
-    ``docs`` are left alone. An empty table gives an empty result.
-    """
+def _grouped(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The rows of similar_groups() with the class of their set."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     profiles = stored(plain.mapInArrow(lambda b: _profiles(b, n), "kind int, doc long, n_shingles long, class long"), "profiles")
@@ -387,13 +379,39 @@ def similar_groups(docs: DataFrame, *, n: int = 5, threshold: float = 0.8) -> Da
     lowest = named.groupBy("root").agg(F.min("doc").alias("component"))
     named = named.join(lowest, "root").select("class", "component")
     own = classes.join(named, "class", "left").select("class", F.coalesce("component", "doc").alias("component"))
-    lone = F.col("doc").alias("doc_id"), "n_shingles"
+    lone = F.col("doc").alias("doc_id"), "class", "n_shingles"
     some, none = told.where("class is not null and doc is not null"), told.where("class is null or doc is null")
     return some.join(own, "class").select(*lone, F.col("component").alias("component_id")).unionByName(none.select(*lone, F.col("doc").alias("component_id")))
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose document has the smallest id of its group; rows of a null doc_id stay."""
-    found = similar_groups(docs, **how)
-    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.alias("kept").join(small(gone).alias("gone"), F.col("kept.doc_id") == F.col("gone.doc_id"), "left_anti")
+def similar_groups(docs: DataFrame, *, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the smallest doc_id reachable over links.
+
+    Two documents link when their shingle sets' Jaccard similarity is at least
+    ``threshold``. Words are runs other than ASCII blanks, with A-Z folded. A
+    null, empty or blank text has no shingles and no links. Rows with one
+    doc_id each get a row; a null doc_id keeps a null component and links with
+    nothing. Whole texts count, whatever their length. Other columns of
+    ``docs`` are left alone. An empty table gives an empty result.
+    """
+    return _grouped(docs, n, threshold).drop("class")
+
+
+def keep_one(docs: DataFrame, *, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose document has the smallest id of its group; rows of a null doc_id stay.
+
+    Of rows that share a doc_id but not their set, each is judged by its own
+    group.
+    """
+    found = _grouped(docs, n, threshold).withColumn("other", F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False)))
+    judged = stored(found.groupBy("doc_id").agg(F.bool_and("other").alias("every"), F.bool_or("other").alias("some")).where("some"), "gone")
+    kept = docs.alias("kept").join(small(judged.where("every")).alias("gone"), F.col("kept.doc_id") == F.col("gone.doc_id"), "left_anti")
+    mixed = judged.where("not every").select("doc_id")
+    if mixed.isEmpty():
+        return kept
+    named = F.pandas_udf(lambda texts: pd.Series([_class(s) if len(s := shingle_set(t, n)) else None for t in texts], dtype="Int64"), "long")
+    gone = found.where("other").join(mixed, "doc_id").select("doc_id", "class").distinct()
+    gone = stored(gone, "gone-sets").alias("gone")
+    asked = kept.alias("kept").join(mixed.alias("mixed"), F.col("kept.doc_id") == F.col("mixed.doc_id"), "left_semi").select(F.struct(*docs.columns).alias("row"), named("text").alias("set"))
+    stays = asked.join(gone, (F.col("row.doc_id") == F.col("gone.doc_id")) & (F.col("set") == F.col("gone.class")), "left_anti").select("row.*")
+    return kept.alias("kept").join(mixed.alias("mixed"), F.col("kept.doc_id") == F.col("mixed.doc_id"), "left_anti").unionByName(stays)

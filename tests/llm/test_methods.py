@@ -114,6 +114,15 @@ def test_similar_groups_equal_brute_force(spark, n, threshold):
     assert got == {i: forest.root(i) for i in range(len(texts))}
 
 
+def test_keep_one_judges_rows_of_one_id_by_their_text(spark):
+    some, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, some, "x"), (5, some, "y"), (5, other, "z"), (5, "", "blank"), (7, other, "w"), (None, some, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    got = jaccard_join.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.mark for r in got.collect()) == ["blank", "v", "x", "z"]
+
+
 def test_signatures_meet_for_similar_sets():
     rng = np.random.default_rng(5)
     for t in (0.8, 0.85):
