@@ -3,8 +3,10 @@
 Each byte is mapped to a character of its own, each token of the vocabulary to
 the piece of those characters, scored by its negative rank. The model has no
 normalisation and adds nothing, so sentencepiece merges the best-ranked
-neighbours first, as a rank file asks. Pre-tokens are encoded one by one and
-ids are decoded by the inverse mapping.
+neighbours first, as a rank file asks. Pre-tokens are encoded one by one, but
+for those that are in the vocabulary as a whole: the library that the ranks
+come from gives these their own id, whatever merges lead to. Ids are decoded by
+the inverse mapping.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,8 @@ from docsift.llm.common import Cache, slices
 
 #: From here the 256 byte characters stand in a row; none of them is a blank or sentencepiece's own mark.
 FIRST = 0x4E00
-CACHE = 700_000
+#: Bytes of each of the two caches of a task.
+CACHE = 24 << 20
 #: Unicode white space, as the pattern's \s has it.
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 BLANK_ENDS = {*BLANKS}
@@ -85,6 +89,10 @@ class Coder:
         self.to_char = {b: chr(FIRST + b) for b in range(256)}
         self.decimal = [str(i) for i in range(len(self.tokens))]
         self.chunks = re.compile(f" ?[^{BLANKS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]")
+        self.forget()
+
+    def forget(self) -> None:
+        """Start with empty caches, as each task does."""
         self.spaced, self.pretokens = Cache(CACHE), Cache(CACHE)
 
     def _learn(self, pretokens: list[str]) -> list[bytes]:
@@ -103,8 +111,7 @@ class Coder:
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         parts = [self._split(c) for c in chunks]
-        self.pretokens.fill({p for c in parts for p in c}, self._learn)
-        known = self.pretokens.new
+        known = self.pretokens.fill({p for c in parts for p in c}, self._learn)
         return [b"".join([known[p] for p in c]) for c in parts]
 
     def _spaced(self, words: list[str]) -> list[bytes]:
@@ -116,8 +123,7 @@ class Coder:
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         for part in slices(texts):
             split = [(t or "").split(" ") for t in part]
-            self.spaced.fill({w for words in split for w in words[1:]}, self._spaced)
-            known = self.spaced.new
+            known = self.spaced.fill({w for words in split for w in words[1:]}, self._spaced)
             for text, words in zip(part, split, strict=True):
                 found = [known[w] for w in words[1:]]
                 if b"" in found or words[0][-1:] in BLANK_ENDS:
@@ -129,23 +135,29 @@ class Coder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def coder(path: str, pattern: str) -> Coder:
+@contextmanager
+def coder(path: str, pattern: str) -> Iterator[Coder]:
+    """The worker's coder; its caches go when the task ends."""
     if (path, pattern) not in _coders:
         _coders[path, pattern] = Coder(path, pattern)
-    return _coders[path, pattern]
+    use = _coders[path, pattern]
+    try:
+        yield use
+    finally:
+        use.forget()
 
 
 def _encode(batches, path: str, pattern: str):
-    use = coder(path, pattern)
-    for batch in batches:
-        ids = [i.astype(np.int32) for i in use.encode(batch.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+    with coder(path, pattern) as use:
+        for batch in batches:
+            ids = [i.astype(np.int32) for i in use.encode(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
 def _decode(batches, path: str, pattern: str):
-    use = coder(path, pattern)
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([use.decode(i or ()) for i in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "decoded"])
+    with coder(path, pattern) as use:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([use.decode(i or ()) for i in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "decoded"])
 
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -165,14 +177,14 @@ def decode_documents(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
 def _digests(batches, path: str, pattern: str):
     """Both ways on one batch, as passing the ids on between them would copy each of them."""
-    use = coder(path, pattern)
-    for batch in batches:
-        n, coded, back = [], [], []
-        for ids in map(np.ndarray.tolist, use.encode(batch.column(1).to_pylist())):
-            n.append(len(ids))
-            coded.append(hashlib.sha256(" ".join(map(use.decimal.__getitem__, ids)).encode()).hexdigest())
-            back.append(hashlib.sha256(use.decode(ids)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    with coder(path, pattern) as use:
+        for batch in batches:
+            n, coded, back = [], [], []
+            for ids in map(np.ndarray.tolist, use.encode(batch.column(1).to_pylist())):
+                n.append(len(ids))
+                coded.append(hashlib.sha256(" ".join(map(use.decimal.__getitem__, ids)).encode()).hexdigest())
+                back.append(hashlib.sha256(use.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:

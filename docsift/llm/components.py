@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import stored
+from docsift.llm.common import dropped, stored
 
 
 class Forest:
@@ -65,7 +65,8 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         if tuple(seen) == mark or not seen[0]:
             break
         mark = tuple(seen)
-        now = stored(_star(_star(now, False), True), "edges")
+        before, now = now, stored(_star(_star(now, False), True), "edges")
+        dropped(before)
     # at the end every edge points from a node to the smallest node of its star
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -7,10 +7,11 @@
    than that, they share a whole part. Hashes of parts are shuffled, packed, and
    classes that share one are connected to candidate groups.
 3. Only classes of candidate groups send their sets: small groups together, large
-   ones cut into blocks; each pair of blocks is one search. In it a set's shortest
-   inverted lists are merged and the long ones are probed by binary search for
-   the documents that can still reach the required overlap T. Sets that are
-   connected already needn't be compared again, so no pairs are listed.
+   ones cut into blocks by size and hash; each pair of blocks is one search. In it
+   the T-occurrence problem is solved by DivideSkip: a set's short inverted lists
+   are merged by a heap that skips what can't reach T, and the long ones are
+   probed by binary search for the sets that still can. Sets that are connected
+   already needn't be compared again, so no pairs are listed.
 4. The links found are united to components.
 
 All counts are exact on 64-bit hashes of shingles and of sets.
@@ -19,33 +20,36 @@ All counts are exact on 64-bit hashes of shingles and of sets.
 from __future__ import annotations
 
 import math
+from array import array
+from bisect import bisect_left
 from collections import Counter
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import LOWER, UPPER, small, stored
+from docsift.llm.common import LOWER, UPPER, Cache, small, stored
 from docsift.llm.components import Forest, components
 
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Odd multipliers for the words of a shingle and for mixing.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
-BLOCK_SHINGLES = 1_500_000
-BLOCK_SETS = 4_000
+BLOCK_SHINGLES = 600_000
+BLOCK_SETS = 1_000
 BUCKET_ENTRIES = 1_000_000
 FILED_ROWS = 4_000
 ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("owner", "<u2")])
 #: A shingle is common if so many of a batch's documents hold it, and half that share of all documents.
 COMMON_SHARE, COMMON_LEAST = 0.0005, 4
-#: So many candidates make merging the long lists cheaper than probing them.
-MERGE_FROM = 6
+#: The most common shingles that are told apart; a shingle beyond them is dealt like a rare one, which is right as well.
+COMMON_MOST = 1_000_000
+#: DivideSkip's weight of a binary search in a long list against a step of the heap.
+DIVIDE = 0.0085
 PROFILE = ["kind", "doc", "n_shingles", "class"]
-CACHE_WORDS = 300_000
-_words: dict[bytes, int] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -54,21 +58,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles; all words as one if there are fewer; none without words."""
+def shingle_set(text: str | None, n: int, known: Cache | None = None) -> np.ndarray:
+    """Sorted distinct hashes of the n-word shingles; all words as one if there are fewer; none without words.
+
+    ``known`` holds hashes of words for the length of a task.
+    """
     words = (text or "").encode().translate(FOLD).split()
     if not words:
         return np.empty(0, np.uint64)
-    known = _words
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    hashed = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        hashed.append(h)
-    ids = np.array(hashed, np.uint64)
+    hashed = (known or Cache()).fill({*words}, lambda new: map(xxhash.xxh3_64_intdigest, new))
+    ids = np.fromiter(map(hashed.__getitem__, words), np.uint64, len(words))
     width = min(n, len(ids))
     total = np.full(len(ids) - width + 1, width, np.uint64)
     for k in range(width):
@@ -139,12 +138,13 @@ class Lists:
         del order
         self.starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
         self.terms, self.ends = flat[self.starts], np.r_[self.starts[1:], len(flat)]
+        self.steps = array("i", self.owners.tobytes())
 
     def reach(self, probe: np.ndarray, t: float):
-        """(sets, wanted, count, long lists): the sets that may reach the overlap T with the probe.
+        """(sets, count, wanted, long lists) of those that may reach the overlap T with the probe; None if no set can.
 
-        The |lists| - T + 1 shortest lists are merged; a set in none of them
-        can't reach T. The long ones are left to be probed. None if no set can.
+        The L longest lists are left to be probed, L by DivideSkip's rule; a
+        set in fewer than T - L of the others can't reach T.
         """
         at = np.searchsorted(self.terms, probe)
         at[at == len(self.terms)] = 0
@@ -152,40 +152,58 @@ class Lists:
         least = math.ceil(t * len(probe) - 1e-9)
         if len(at) < least:
             return None
-        at = at[np.argsort(self.ends[at] - self.starts[at], kind="stable")]
-        short = len(at) - least + 1
-        merged = np.sort(self._merged(at[:short]))
-        heads = np.flatnonzero(np.r_[True, merged[1:] != merged[:-1]])
-        found, count = merged[heads], np.diff(np.r_[heads, len(merged)])
+        sizes = self.ends[at] - self.starts[at]
+        at = at[np.argsort(sizes, kind="stable")]
+        held = min(least - 1, int(least / (DIVIDE * math.log2(max(2, int(sizes.max()))) + 1)))
+        short = len(at) - held
+        found, count = self._merged(at[:short].tolist(), least - held)
         need = np.ceil(t / (1 + t) * (len(probe) + self.sizes[found]) - 1e-9).astype(int)
-        fits = (self.sizes[found] >= least) & (self.sizes[found] * t <= len(probe) + 1e-9) & (count + (len(at) - short) >= need)
+        fits = (self.sizes[found] >= least) & (self.sizes[found] * t <= len(probe) + 1e-9) & (count + held >= need)
         return found[fits], count[fits], need[fits], at[short:]
 
-    def _merged(self, lists: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.owners[self.starts[i] : self.ends[i]] for i in lists])
-
-    def reaching(self, found: np.ndarray, have: np.ndarray, want: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        """Which of the sets do reach their overlap.
+    def _merged(self, lists: list[int], least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sets, count) of the sets in at least so many of the lists.
 
-        A few are sought in the long lists by binary search, until the outcome
-        is sure; for many it is cheaper to merge those lists as well.
+        A heap holds the head of each list. If the lowest set heads too few
+        lists, the next ones are taken off as well until one more list would
+        do, and all of them skip to the set that then is lowest.
         """
-        if not len(rest):
-            return have >= want
-        if len(found) > MERGE_FROM:
-            return have + np.bincount(self._merged(rest), minlength=len(self.sizes))[found] >= want
-        out = np.zeros(len(found), bool)
-        for k, (own, n, least) in enumerate(zip(found.tolist(), have.tolist(), want.tolist(), strict=True)):
-            left = len(rest)
-            for i in rest:
-                if n >= least or n + left < least:
-                    break
-                lo, hi = self.starts[i], self.ends[i]
-                pos = lo + self.owners[lo:hi].searchsorted(np.int32(own))
-                n += bool(pos < hi and self.owners[pos] == own)
-                left -= 1
-            out[k] = n >= least
-        return out
+        steps, heads = self.steps, [(self.steps[self.starts[i]], int(self.starts[i]), int(self.ends[i])) for i in lists]
+        heapify(heads)
+        found, count = [], []
+        while len(heads) >= least:
+            low, taken = heads[0][0], []
+            while heads and heads[0][0] == low:
+                taken.append(heappop(heads))
+            if len(taken) >= least:
+                found.append(low)
+                count.append(len(taken))
+                for _, pos, end in taken:
+                    if pos + 1 < end:
+                        heappush(heads, (steps[pos + 1], pos + 1, end))
+                continue
+            while heads and len(taken) < least - 1:
+                taken.append(heappop(heads))
+            if not heads:
+                break
+            low = heads[0][0]
+            for _, pos, end in taken:
+                pos = bisect_left(steps, low, pos, end)
+                if pos < end:
+                    heappush(heads, (steps[pos], pos, end))
+        return np.array(found, np.int64), np.array(count, np.int64)
+
+    def reaching(self, found: np.ndarray, have: np.ndarray, want: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Which of the sets do reach their overlap: they are sought in the long lists by binary search, until that is sure."""
+        have, open_ = have.copy(), np.arange(len(found))
+        for left, i in zip(range(len(rest), 0, -1), rest.tolist(), strict=True):
+            open_ = open_[(have[open_] < want[open_]) & (have[open_] + left >= want[open_])]
+            if not len(open_):
+                break
+            own = self.owners[self.starts[i] : self.ends[i]]
+            pos = np.minimum(own.searchsorted(found[open_].astype(np.int32)), len(own) - 1)
+            have[open_] += own[pos] == found[open_]
+        return have >= want
 
 
 def search(sets: list[np.ndarray], threshold: float) -> Forest:
@@ -241,11 +259,11 @@ def _class(s: np.ndarray) -> int:
 
 def _profiles(batches, n: int):
     """(kind 0, doc, n_shingles, class) of each document; (kind 1, documents of the batch, count, shingle) of shingles that many of them hold."""
-    seen = set()
+    seen, known = set(), Cache()
     for batch in batches:
         counts, classes, new = [], [], []
         for text in batch.column(1).to_pylist():
-            s = shingle_set(text, n)
+            s = shingle_set(text, n, known)
             counts.append(len(s))
             classes.append(_class(s) if len(s) else None)
             if len(s) and classes[-1] not in seen:
@@ -262,12 +280,12 @@ def _profiles(batches, n: int):
 
 def _filed(batches, n: int, threshold: float, buckets: int, common):
     """Signatures in packed rows, one for each bucket and slice of a batch: 40 bits of the hash and the place of the class."""
-    sizes, seen, often = Sizes(threshold), set(), common.value
+    sizes, seen, often, known = Sizes(threshold), set(), common.value, Cache()
     for whole in batches:
         for at in range(0, len(whole), FILED_ROWS):
             classes, found = [], []
             for doc, text in zip(*(c.to_pylist() for c in whole.slice(at, FILED_ROWS).columns), strict=True):
-                s = shingle_set(text, n)
+                s = shingle_set(text, n, known)
                 if doc is None or not len(s) or (name := _class(s)) in seen:
                     continue
                 seen.add(name)
@@ -317,8 +335,9 @@ def _candidates(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sets(batches, n: int):
+    known = Cache()
     for batch in batches:
-        sets = [shingle_set(t, n) for t in batch.column("text").to_pylist()]
+        sets = [shingle_set(t, n, known) for t in batch.column("text").to_pylist()]
         right = [i for i, (s, c) in enumerate(zip(sets, batch.column("class").to_pylist(), strict=True)) if len(s) and _class(s) == c]
         yield pa.RecordBatch.from_arrays(
             [batch.column("group").take(pa.array(right, pa.int64())), batch.column("class").take(pa.array(right, pa.int64())), pa.array([len(sets[i]) for i in right], pa.int64()), pa.array([sets[i].tobytes() for i in right], pa.binary())],
@@ -342,8 +361,9 @@ def _grouped(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     told = profiles.where("kind = 0").drop("kind")
     rows, total = told.agg(F.count("*"), F.sum("n_shingles")).first()
     total = total or 0
-    # at most 2 / COMMON_SHARE times the mean size of a set, however many documents there are
-    often = profiles.where("kind = 1").groupBy("class").agg(F.sum("n_shingles").alias("times")).where(F.col("times") >= COMMON_SHARE / 2 * rows).toPandas()
+    # at most 2 / COMMON_SHARE times the mean size of a set, however many documents there are, and COMMON_MOST
+    often = profiles.where("kind = 1").groupBy("class").agg(F.sum("n_shingles").alias("times")).where(F.col("times") >= COMMON_SHARE / 2 * rows)
+    often = often.orderBy(F.desc("times"), "class").limit(COMMON_MOST).toPandas()
     held = often["class"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(held)
     common = spark.sparkContext.broadcast((held[order], often["times"].to_numpy(np.int64)[order]))
@@ -356,12 +376,14 @@ def _grouped(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     chosen = stored(classes.join(groups, "class"), "chosen")
     whole = chosen.groupBy("group").agg(F.sum("size").alias("weight"), F.count("*").alias("n")).withColumn("large", F.expr(f"weight > {BLOCK_SHINGLES} or n > {BLOCK_SETS}"))
     bundles = 1 + 2 * (chosen.agg(F.sum("size")).first()[0] or 0) // BLOCK_SHINGLES + chosen.count() // BLOCK_SETS
-    # small groups share a bundle; large ones are cut by size, so that only blocks of near sizes meet
-    order = Window.partitionBy("group").orderBy("size", "class").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = chosen.join(whole.select("group", "large"), "group")
+    # small groups share a bundle; large ones are cut into bands of sizes, of which only neighbours can be similar, and those by hash
+    band = F.floor(F.log("size") / -math.log(threshold) + 1e-9)
+    known = chosen.join(whole.select("group", "large"), "group").withColumn("band", F.when(F.col("large"), band))
+    bands = known.where("large").groupBy("group", "band").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_SHINGLES, F.count("*") / BLOCK_SETS)).alias("blocks"))
     bundled = known.where("not large").select("class", "doc", "size", F.pmod(F.xxhash64("group"), F.lit(bundles)).alias("bundle"), F.lit(0).cast("long").alias("block"), "large")
-    cut = known.where("large").withColumn("block", F.greatest(F.floor(F.sum("size").over(order) / BLOCK_SHINGLES), F.floor(F.count("*").over(order) / BLOCK_SETS)))
-    places = stored(bundled.unionByName(cut.select("class", "doc", "size", F.col("group").alias("bundle"), "block", "large")), "places")
+    block = F.shiftleft("band", 32) + F.pmod(F.xxhash64("class"), "blocks")
+    cut = known.where("large").join(bands, ["group", "band"]).select("class", "doc", "size", F.col("group").alias("bundle"), block.alias("block"), "large")
+    places = stored(bundled.unionByName(cut), "places")
     spans = places.groupBy("large", "bundle", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     one, two = (spans.select("large", "bundle", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high")]) for k in "ab")
     meets = one.join(two, ["large", "bundle"]).where(f"block_a <= block_b and low_b * {threshold} <= high_a").select("large", "bundle", "block_a", "block_b")
@@ -398,20 +420,23 @@ def similar_groups(docs: DataFrame, *, n: int = 5, threshold: float = 0.8) -> Da
 
 
 def keep_one(docs: DataFrame, *, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose document has the smallest id of its group; rows of a null doc_id stay.
+    """One row of ``docs`` for each group of similar documents: that with the smallest doc_id.
 
-    Of rows that share a doc_id but not their set, each is judged by its own
-    group.
+    Rows that share a doc_id are judged by their own texts. If several of them
+    are in the group they name, repeats or not, the first by set and content
+    stays. Rows without id or without words have no group and stay.
     """
-    found = _grouped(docs, n, threshold).withColumn("other", F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False)))
-    judged = stored(found.groupBy("doc_id").agg(F.bool_and("other").alias("every"), F.bool_or("other").alias("some")).where("some"), "gone")
-    kept = docs.alias("kept").join(small(judged.where("every")).alias("gone"), F.col("kept.doc_id") == F.col("gone.doc_id"), "left_anti")
-    mixed = judged.where("not every").select("doc_id")
+    found = _grouped(docs, n, threshold)
+    judged = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False))).alias("other"))
+    judged = stored(judged.where("rows > 1 and doc_id is not null or other"), "judged")
+    named = F.pandas_udf(lambda texts: pd.Series([_class(s) if len(s := shingle_set(t, n)) else None for t in texts], dtype="Int64"), "long")
+    kept = docs.alias("kept").join(small(judged).alias("gone"), F.col("kept.doc_id") == F.col("gone.doc_id"), "left_anti")
+    mixed = judged.where("rows > 1").select(F.col("doc_id").alias("id"))
     if mixed.isEmpty():
         return kept
-    named = F.pandas_udf(lambda texts: pd.Series([_class(s) if len(s := shingle_set(t, n)) else None for t in texts], dtype="Int64"), "long")
-    gone = found.where("other").join(mixed, "doc_id").select("doc_id", "class").distinct()
-    gone = stored(gone, "gone-sets").alias("gone")
-    asked = kept.alias("kept").join(mixed.alias("mixed"), F.col("kept.doc_id") == F.col("mixed.doc_id"), "left_semi").select(F.struct(*docs.columns).alias("row"), named("text").alias("set"))
-    stays = asked.join(gone, (F.col("row.doc_id") == F.col("gone.doc_id")) & (F.col("set") == F.col("gone.class")), "left_anti").select("row.*")
-    return kept.alias("kept").join(mixed.alias("mixed"), F.col("kept.doc_id") == F.col("mixed.doc_id"), "left_anti").unionByName(stays)
+    own = stored(found.where("class is not null").join(mixed, F.col("doc_id") == F.col("id")).select("id", "class", "component_id").distinct(), "repeated-ids")
+    asked = docs.alias("d").join(small(stored(mixed, "ids")).alias("m"), F.col("d.doc_id") == F.col("m.id"), "left_semi")
+    asked = asked.select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("row"), F.col("d.doc_id").alias("id"), named("d.text").alias("class"))
+    chosen = asked.where("class is not null").join(own, ["id", "class"]).where("id = component_id")
+    chosen = chosen.groupBy("id").agg(F.min_by("row", F.struct("class", F.to_json(F.struct("row")))).alias("row"))
+    return kept.unionByName(asked.where("class is null").select("row.*")).unionByName(chosen.select("row.*"))
