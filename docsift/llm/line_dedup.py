@@ -1,20 +1,19 @@
 """Exact removal of repeated lines with two Bloom filters.
 
-The first pass hashes each document's distinct lines to Bloom positions and
-sums, per position, in how many documents it was set, saturating at two: a
-count of one is the once-seen filter, two the twice-seen filter. The second
-pass probes the twice-seen filter, and only the suspects' 128-bit digests are
-shuffled, to be counted exactly and to choose the document that keeps the line.
-The text itself moves once, to meet the decisions on it.
-
-The twice-seen filter is broadcast with at most ``max_bits`` bits. On a corpus
-with more lines than that it gets less selective, never wrong: more digests
-(16 bytes a line) are then counted exactly.
+The filters are cut into blocks by hash range, so that they grow with the lines
+while a block keeps its size. The first pass hashes each document's distinct
+lines to positions; a task that holds a block's range fills its once-seen bits
+and, where a position was set by an earlier document, its twice-seen bits. The
+second pass probes the twice-seen filter: it is broadcast while it is small;
+beyond that the lines' digests meet the block of their range. Only suspects are
+shuffled as rows, to be counted exactly and to choose the document that keeps
+the line. The text itself moves once, to meet the decisions on it.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,7 +26,9 @@ FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 MIN_CHARS = 20
 MIN_DOCS = 3
 BITS_PER_LINE = 16
-MAX_BITS = 1 << 28
+#: Bits of a block, and the bytes of a twice-seen filter that is broadcast.
+BLOCK_BITS = 1 << 22
+BROADCAST_BYTES = 32 << 20
 NO_ID = -(1 << 63)
 
 
@@ -46,29 +47,108 @@ def digest(key: bytes) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(key), "<i8").tolist())
 
 
-def _spots(pair: tuple[int, int], mask: int) -> tuple[int, int]:
-    return pair[0] & mask, (pair[0] >> 32) & mask
+def _digests(texts: list[str | None], min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, digest as two longs) of each document's distinct keys."""
+    found = [{digest(k) for k in line_keys(t, min_chars) if k} for t in texts]
+    pairs = np.array([p for own in found for p in own], np.int64).reshape(-1, 2)
+    return np.repeat(np.arange(len(found)), [len(own) for own in found]), pairs
 
 
-def _positions(batches, mask: int, min_chars: int):
-    """(position, seen): seen is 2 where two documents of the batch set it."""
+def _places(pairs: np.ndarray, blocks: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each digest, by its second half, and its two positions there, by its first."""
+    first = pairs[:, 0].view(np.uint64)
+    return (pairs[:, 1].view(np.uint64) % np.uint64(blocks)).astype(np.int64), np.stack([first & np.uint64(bits - 1), first >> np.uint64(32) & np.uint64(bits - 1)], 1).astype(np.uint32)
+
+
+def _dealt(block: np.ndarray):
+    """(block, rows of that block) for each block that occurs."""
+    order = np.argsort(block, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0]) if len(block) else []
+    for rows in np.split(order, starts[1:]) if len(block) else ():
+        yield int(block[rows[0]]), rows
+
+
+def _positions(batches, blocks: int, bits: int, min_chars: int):
+    """(block, once, twice): the positions that one document of a batch set, and those that several did."""
     for batch in batches:
-        spots = [list({s for p in {digest(k) for k in line_keys(t, min_chars) if k} for s in _spots(p, mask)}) for t in batch.column(0).to_pylist()]
-        at, n = np.unique(np.array([s for doc in spots for s in doc], np.int64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.minimum(n, 2).astype(np.int32))], ["position", "seen"])
+        row, pairs = _digests(batch.column(0).to_pylist(), min_chars)
+        block, spots = _places(pairs, blocks, bits)
+        out = []
+        for k, rows in _dealt(block):
+            at = np.unique(np.stack([np.repeat(row[rows], 2), spots[rows].ravel()]), axis=1)[1]
+            at, n = np.unique(at.astype(np.uint32), return_counts=True)
+            out.append((k, at[n == 1].tobytes(), at[n > 1].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "once", "twice"])
+
+
+def _filled(frame: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """The twice-seen bits of a block, by way of its once-seen bits."""
+    once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+    for one, more in zip(frame["once"], frame["twice"], strict=True):
+        at = np.frombuffer(one, np.uint32)
+        twice[at[once[at]]] = True
+        once[at] = True
+        at = np.frombuffer(more, np.uint32)
+        once[at] = twice[at] = True
+    return pd.DataFrame({"block": frame["block"].iloc[:1], "bits": [np.packbits(twice, bitorder="little").tobytes()]})
+
+
+def _set(words: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """Which rows of positions are set in a block's bytes."""
+    return (words[spots >> 3] >> (spots & 7).astype(np.uint8) & 1).all(axis=1)
+
 
+SUSPECT = "doc long, h1 long, h2 long"
 
-def _suspects(batches, words, mask: int, min_chars: int):
-    twice = words.value
+
+def _suspects(batches, sent, blocks: int, bits: int, min_chars: int):
+    """Digests whose positions are all in the broadcast filter."""
+    twice = sent.value
+    for batch in batches:
+        row, pairs = _digests(batch.column(1).to_pylist(), min_chars)
+        block, spots = _places(pairs, blocks, bits)
+        hit = (twice[block[:, None], spots >> 3] >> (spots & 7).astype(np.uint8) & 1).all(axis=1) if len(block) else np.zeros(0, bool)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[hit])), pa.array(pairs[hit, 0]), pa.array(pairs[hit, 1])], ["doc", "h1", "h2"])
+
+
+def _filed(batches, blocks: int, bits: int, min_chars: int):
+    """(block, documents, digests) of a batch, packed."""
     for batch in batches:
-        ids, first, second = [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for pair in {digest(k) for k in line_keys(text, min_chars) if k}:
-                if all(twice[s >> 6] >> np.uint64(s & 63) & np.uint64(1) for s in _spots(pair, mask)):
-                    ids.append(doc)
-                    first.append(pair[0])
-                    second.append(pair[1])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["doc", "h1", "h2"])
+        row, pairs = _digests(batch.column(1).to_pylist(), min_chars)
+        docs = np.array(batch.column(0).to_pylist(), np.int64)
+        out = [(k, docs[row[rows]].tobytes(), pairs[rows].tobytes()) for k, rows in _dealt(_places(pairs, blocks, bits)[0])]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "docs", "pairs"])
+
+
+def _met(lines: pd.DataFrame, twice: pd.DataFrame, blocks: int, bits: int) -> pd.DataFrame:
+    """The suspects among the digests of one block's range."""
+    if not len(lines) or not len(twice):
+        return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("doc", "h1", "h2")})
+    words, docs, found = np.frombuffer(twice["bits"].iloc[0], np.uint8), [], []
+    for ids, packed in zip(lines["docs"], lines["pairs"], strict=True):
+        pairs = np.frombuffer(packed, np.int64).reshape(-1, 2)
+        hit = _set(words, _places(pairs, blocks, bits)[1])
+        docs.append(np.frombuffer(ids, np.int64)[hit])
+        found.append(pairs[hit])
+    pairs = np.concatenate(found)
+    return pd.DataFrame({"doc": np.concatenate(docs), "h1": pairs[:, 0], "h2": pairs[:, 1]})
+
+
+def suspects(docs: DataFrame, min_chars: int, block_bits: int, broadcast_bytes: int) -> DataFrame:
+    """(doc, h1, h2) of the lines that the twice-seen filter holds, from rows (doc, text)."""
+    lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
+    bits = min(block_bits, 1 << max(10, (lines * BITS_PER_LINE - 1).bit_length()))
+    blocks = -(-lines * BITS_PER_LINE // bits)
+    placed = docs.select("text").mapInArrow(lambda b: _positions(b, blocks, bits, min_chars), "block long, once binary, twice binary")
+    twice = placed.groupBy("block").applyInPandas(lambda f: _filled(f, bits), "block long, bits binary")
+    if blocks * bits // 8 <= broadcast_bytes:
+        words = np.zeros((blocks, bits // 8), np.uint8)
+        for row in twice.toLocalIterator():
+            words[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+        sent = docs.sparkSession.sparkContext.broadcast(words)
+        return docs.mapInArrow(lambda b: _suspects(b, sent, blocks, bits, min_chars), SUSPECT)
+    filed = docs.mapInArrow(lambda b: _filed(b, blocks, bits, min_chars), "block long, docs binary, pairs binary")
+    return filed.groupBy("block").cogroup(twice.groupBy("block")).applyInPandas(lambda a, b: _met(a, b, blocks, bits), SUSPECT)
 
 
 def _apply(batches, min_chars: int):
@@ -89,20 +169,7 @@ def _apply(batches, min_chars: int):
         yield pa.RecordBatch.from_arrays([rest, pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["row", "kept_text", "n_lines", "n_dropped"])
 
 
-def twice_seen(docs: DataFrame, min_chars: int, max_bits: int) -> tuple[np.ndarray, int]:
-    """The twice-seen filter's words and its position mask; its size follows the number of lines up to max_bits."""
-    lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
-    bits = 1 << min(max_bits.bit_length() - 1, max(10, (lines * BITS_PER_LINE - 1).bit_length()))
-    mask = bits - 1
-    filled = docs.select("text").mapInArrow(lambda b: _positions(b, mask, min_chars), "position long, seen int")
-    filled = filled.groupBy("position").agg(F.sum("seen").alias("seen")).where("seen >= 2")
-    at = filled.groupBy(F.shiftright("position", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(position & 63 as int))")).alias("bits")).toPandas()
-    words = np.zeros(bits >> 6, np.uint64)
-    words[at["word"].to_numpy(np.int64)] = at["bits"].to_numpy(np.int64).view(np.uint64)
-    return words, mask
-
-
-def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_bits: int = MAX_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, block_bits: int = BLOCK_BITS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Drop lines that at least ``min_docs`` documents hold, but for the largest doc_id.
 
     ``docs`` has doc_id and text; a struct column ``row`` carries all its other
@@ -112,18 +179,15 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int =
     A null or empty text is one empty line. Rows with one doc_id are one
     document, and a null doc_id counts as the smallest id. Lines of any length
     count as a whole. Equal keys in the keeping document all stay. An empty
-    table gives an empty result.
+    table gives an empty result. The sizes of blocks and broadcast change the
+    plan, never the result.
     """
-    spark = docs.sparkSession
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    words, mask = twice_seen(plain, min_chars, max_bits)
-    sent = spark.sparkContext.broadcast(words)
-    suspects = plain.mapInArrow(lambda b: _suspects(b, sent, mask, min_chars), "doc long, h1 long, h2 long")
-    suspects = stored(suspects, "suspect-lines")
-    held = suspects.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
+    found = stored(suspects(plain, min_chars, block_bits, broadcast_bytes), "suspect-lines")
+    held = found.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
     repeated = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs)
     repeated = stored(repeated.drop("n"), "repeated-lines")
-    drops = suspects.join(small(repeated), ["h1", "h2"]).where("doc <> keeper")
+    drops = found.join(small(repeated), ["h1", "h2"]).where("doc <> keeper")
     drops = drops.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
     carried = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
     met = carried.join(drops, "doc", "left")

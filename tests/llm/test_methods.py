@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from docsift.llm import byte_bpe, components, embedding_dedup, jaccard_join, license_scan, packing, quality, ring_shards, telephony, url_rules
+from docsift.llm import byte_bpe, components, embedding_dedup, jaccard_join, license_scan, line_dedup, packing, quality, ring_shards, telephony, url_rules
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = [" ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u2003", "'s", "'ll", "a", "B", "é", "ß", "日本", "١", "½", "!", "?!", "_", "😀", "\u0301", "\u200b", "\x00", "Σ", "İ", "word", "<|endoftext|>"]
@@ -368,3 +368,25 @@ def test_ordinal_regression_on_held_out_rows(spark):
     assert (scored["tail_probability"][good] >= 0.5).mean() > 0.95
     means = scored.groupby("grade")["expected_grade"].mean()
     assert means.is_monotonic_increasing
+
+
+@pytest.mark.parametrize("form", [{}, {"block_bits": 1024}, {"block_bits": 1024, "broadcast_bytes": 0}])
+def test_lines_equal_brute_force(spark, form):
+    """One block, several, and several that the digests meet; all give the exact lines."""
+    rng = random.Random(11)
+    pool = [f"line number {i} of the common pool" for i in range(60)] + ["short", "", "  Padded Line Of Twenty Chars "]
+    texts = ["\n".join(rng.choice(pool) if rng.random() < 0.4 else f"own line {rng.random()} of a document" for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(5)
+    holders = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        for k in line_dedup.line_keys(t, 20):
+            holders[k].add(i)
+    gone = lambda k, i: k is not None and len(holders[k]) >= 3 and max(holders[k]) != i
+    want = {i: "\n".join(p for p, k in zip(t.split("\n"), line_dedup.line_keys(t, 20), strict=True) if not gone(k, i)) for i, t in enumerate(texts)}
+    got = {r.row.doc_id: r.kept_text for r in line_dedup.dedup_lines(docs, **form).collect()}
+    assert got == want and want != dict(enumerate(texts))
+
+
+def test_suspects_are_few(spark):
+    docs = spark.createDataFrame([(i, f"a line that document {i // 2 if i < 40 else i} holds alone") for i in range(2000)], "doc long, text string").repartition(4)
+    assert 40 <= line_dedup.suspects(docs, 20, 1 << 12, 0).count() < 100
