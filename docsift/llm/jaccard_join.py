@@ -38,8 +38,10 @@ from docsift.llm.components import Forest, components
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Odd multipliers for the words of a shingle and for mixing.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
-BLOCK_SHINGLES = 600_000
-BLOCK_SETS = 1_000
+BLOCK_SHINGLES = 1_500_000
+BLOCK_SETS = 2_000
+#: Sizes of a band of a large group differ by the threshold to this power at most.
+BAND_STEPS = 4
 BUCKET_ENTRIES = 1_000_000
 FILED_ROWS = 4_000
 ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("owner", "<u2")])
@@ -377,7 +379,7 @@ def _grouped(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     whole = chosen.groupBy("group").agg(F.sum("size").alias("weight"), F.count("*").alias("n")).withColumn("large", F.expr(f"weight > {BLOCK_SHINGLES} or n > {BLOCK_SETS}"))
     bundles = 1 + 2 * (chosen.agg(F.sum("size")).first()[0] or 0) // BLOCK_SHINGLES + chosen.count() // BLOCK_SETS
     # small groups share a bundle; large ones are cut into bands of sizes, of which only neighbours can be similar, and those by hash
-    band = F.floor(F.log("size") / -math.log(threshold) + 1e-9)
+    band = F.floor(F.log("size") / (-BAND_STEPS * math.log(threshold)) + 1e-9)
     known = chosen.join(whole.select("group", "large"), "group").withColumn("band", F.when(F.col("large"), band))
     bands = known.where("large").groupBy("group", "band").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_SHINGLES, F.count("*") / BLOCK_SETS)).alias("blocks"))
     bundled = known.where("not large").select("class", "doc", "size", F.pmod(F.xxhash64("group"), F.lit(bundles)).alias("bundle"), F.lit(0).cast("long").alias("block"), "large")
@@ -386,13 +388,16 @@ def _grouped(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     places = stored(bundled.unionByName(cut), "places")
     spans = places.groupBy("large", "bundle", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     one, two = (spans.select("large", "bundle", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high")]) for k in "ab")
-    meets = one.join(two, ["large", "bundle"]).where(f"block_a <= block_b and low_b * {threshold} <= high_a").select("large", "bundle", "block_a", "block_b")
-    sides = stored(meets.select("*", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block")), "sides")
+    meets = one.join(two, ["large", "bundle"]).where(f"block_a <= block_b and low_b * {threshold} <= high_a and low_a * {threshold} <= high_b")
+    # a set goes to a pair of blocks only if the other block has sizes near its own
+    facing = F.array_distinct(F.array(F.struct(F.col("block_a").alias("block"), F.col("low_b").alias("low"), F.col("high_b").alias("high")), F.struct(F.col("block_b").alias("block"), F.col("low_a").alias("low"), F.col("high_a").alias("high"))))
+    sides = stored(meets.select("large", "bundle", "block_a", "block_b", F.inline(facing)), "sides")
 
     texts = plain.join(small(places), "doc").withColumn("group", F.struct("large", "bundle", "block")).select("group", "class", "text")
     kind = "group struct<large:boolean,bundle:bigint,block:bigint>, class long, size long, elements binary"
-    sets = texts.mapInArrow(lambda b: _sets(b, n), kind).select("group.*", "class", "elements")
-    work = sets.join(small(sides), ["large", "bundle", "block"]).select("large", "bundle", "block_a", "block_b", "class", "elements")
+    sets = texts.mapInArrow(lambda b: _sets(b, n), kind).select("group.*", "class", "size", "elements")
+    near = f"not large or (size * {threshold} <= high + 1e-6 and low * {threshold} <= size + 1e-6)"
+    work = sets.join(small(sides), ["large", "bundle", "block"]).where(near).select("large", "bundle", "block_a", "block_b", "class", "elements")
     links = work.groupBy("large", "bundle", "block_a", "block_b").applyInPandas(lambda f: _search_blocks(f, threshold), "a long, b long")
 
     linked = stored(components(links, "a", "b").select(F.col("node").alias("class"), F.col("component").alias("root")), "linked")

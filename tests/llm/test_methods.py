@@ -98,8 +98,9 @@ def near_texts(seed, n):
     return [" ".join(o) for o in out]
 
 
-@pytest.mark.parametrize(("n", "threshold"), [(4, 0.85), (5, 0.8)])
-def test_similar_groups_equal_brute_force(spark, n, threshold):
+@pytest.mark.parametrize(("n", "threshold", "block"), [(4, 0.85, 2000), (5, 0.8, 2000), (4, 0.85, 5)])
+def test_similar_groups_equal_brute_force(spark, monkeypatch, n, threshold, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
     texts = near_texts(n, 400)
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
     sets = [set(jaccard_join.shingle_set(t, n).tolist()) for t in texts]
