@@ -318,6 +318,19 @@ def test_url_rules_match_like_brute_force(spark):
     assert "block" in got.values() and "allow" in got.values()
 
 
+def test_url_rules_need_pages_and_lift(spark):
+    """Labels that don't depend on the URL give no rule, few pages neither, and long paths don't multiply itemsets."""
+    rng = random.Random(7)
+    deep = "/".join(f"part{c}" for c in "abcdefghijklmno")
+    rows = [(f"http://site{i % 50}.example.com/x/{i}", rng.random() < 0.3) for i in range(1500)] + [(f"http://few.example.org/y/{i}", True) for i in range(15)]
+    plain = spark.createDataFrame(rows, "url string, bad boolean")
+    assert url_rules.mine_rules(plain) == []
+    nested = [(f"http://deep.example.info/{'/'.join(deep.split('/')[: 1 + i % 15])}", True) for i in range(600)]
+    mined = url_rules.mine_rules(spark.createDataFrame(rows + nested, "url string, bad boolean"))
+    assert mined and all(len(r["tokens"]) <= url_rules.MOST_ITEMS and r["lift"] >= url_rules.LEAST_LIFT for r in mined)
+    assert mined[0]["cut_share"] > 0
+
+
 def test_adpcm_follows_a_sine():
     t = np.arange(121)
     wave = (8000 * np.sin(t / 9)).astype(int)
@@ -391,3 +404,26 @@ def test_lines_equal_brute_force(spark, form):
 def test_suspects_are_few(spark):
     docs = spark.createDataFrame([(i, f"a line that document {i // 2 if i < 40 else i} holds alone") for i in range(2000)], "doc long, text string").repartition(4)
     assert 40 <= line_dedup.suspects(docs, 20, 1 << 12, 0).count() < 100
+
+
+@pytest.mark.parametrize("gathered", [False, True])
+def test_recall_of_single_pairs(spark, gathered):
+    """Pairs just above the threshold, each vector with one link; spread evenly and gathered around one direction."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((2500, 64)) + (2.0 if gathered else 0.0) * rng.standard_normal(64)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal(base.shape)
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.vstack([base, 0.935 * base + np.sqrt(1 - 0.935**2) * side])
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    docs = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(8)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(docs, window=64).collect()}
+    assert sum(got.values()) >= 0.999 * near.sum() and all(got[i] <= n for i, n in enumerate(near.sum(axis=1).tolist()))
+
+
+def test_vectors_of_extreme_length(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e-200, 1e-200], 1), (3, [1.0, 1.02], 1), (4, [-1e200, 1.0], 1), (5, [1.0, 0.0], 2), (5, [0.0, 1.0], 2), (6, [0.0, 1.0], 2)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 0, 5), (5, 1, 5), (6, 1, 5)]
