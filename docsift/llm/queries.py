@@ -53,6 +53,7 @@ def op8_jaccard_join(spark, sf_dir):
 
 
 def op9_telephony(spark, sf_dir):
+    """The stored PCM comes with each row as its last column but the errors."""
     return telephony.measure_media(telephony.store_texts(documents(spark, sf_dir)))
 
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.llm.common import slices
+
 RATE, OUT_RATE = 8_000, 16_000
 MU_LAW, A_LAW, ADPCM, PCM = 7, 6, 0x11, 1
 UNIT = 576
@@ -114,6 +116,8 @@ def to_pcm(codec: int, block: int, payload: bytes) -> np.ndarray:
     if codec in EXPAND:
         return EXPAND[codec][raw]
     if codec == ADPCM:
+        if block <= 4:
+            raise ValueError(f"ADPCM blocks of {block} bytes hold no samples")
         return decode_adpcm(raw[: len(raw) // block * block].reshape(-1, block)).ravel()
     if codec == PCM:
         return raw[: len(raw) // 2 * 2].view("<i2")
@@ -134,14 +138,23 @@ def _store(batches):
 
 def _pcm(batches, out_rate: int):
     for batch in batches:
-        out = []
-        for data in batch.column(1).to_pylist():
-            if data is None:
-                out.append(None)
-            else:
-                codec, rate, block, payload = read_wav(data)
-                out.append(resample(to_pcm(codec, block, payload), rate, out_rate).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "pcm"])
+        for part in slices(batch.column(1).to_pylist(), SLICE_BYTES):
+            out, errors = [], []
+            for data in part:
+                pcm, error = None, None
+                if data is not None:
+                    try:
+                        codec, rate, block, payload = read_wav(data)
+                        if not rate:
+                            raise ValueError("a rate of 0")
+                        pcm = resample(to_pcm(codec, block, payload), rate, out_rate).tobytes()
+                    except (ValueError, struct.error) as found:
+                        error = str(found)
+                out.append(pcm)
+                errors.append(error)
+            done = len(part)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(0, done), pa.array(out, pa.binary()), pa.array(errors, pa.string())], ["doc_id", "pcm", "error"])
+            batch = batch.slice(done)
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -154,40 +167,63 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
-def decode_media(stored: DataFrame, *, out_rate: int = OUT_RATE) -> DataFrame:
-    """(doc_id, pcm): 16-bit PCM at ``out_rate`` of mu-law, A-law, IMA ADPCM or PCM mono WAV files; null media give null."""
-    return stored.select("doc_id", "media").mapInArrow(lambda b: _pcm(b, out_rate), "doc_id long, pcm binary")
+def decode_media(media: DataFrame, *, out_rate: int = OUT_RATE) -> DataFrame:
+    """(doc_id, pcm, error): 16-bit PCM at ``out_rate`` of mu-law, A-law, IMA ADPCM or PCM mono WAV files in ``media``.
+
+    Null media give null; bytes that aren't such a file give null and say why
+    in error. Null and repeated doc_ids are kept row by row; a last block or
+    sample that isn't whole is left out; other columns are ignored; an empty
+    table gives an empty result.
+    """
+    return media.select("doc_id", "media").mapInArrow(lambda b: _pcm(b, out_rate), "doc_id long, pcm binary, error string")
 
 
-def _feature(payload: np.ndarray, adpcm: np.ndarray) -> str:
-    """The payload's loudness under each codec and a checksum of its resampled PCM."""
-    counts = np.bincount(payload, minlength=256)
+def _features(payload: np.ndarray, adpcm: np.ndarray, pcm: np.ndarray) -> str:
+    """The payload's loudness under each codec, and zero crossings, length and checksum of its stored resampled PCM."""
     parts = []
-    for name, codec in (("mu", MU_LAW), ("a", A_LAW)):
-        table = EXPAND[codec].astype(np.int64)
-        parts.append(f"{name}_rms={(counts @ (table * table) / len(payload)) ** 0.5:.3f};{name}_peak={np.abs(table[counts > 0]).max()}")
-    wide = adpcm.astype(np.float64)
-    parts.append(f"adpcm_rms={(wide @ wide / len(wide)) ** 0.5:.3f};adpcm_peak={int(np.abs(wide).max())}")
-    pcm = resample(EXPAND[MU_LAW][payload], RATE)
+    if len(payload):
+        counts = np.bincount(payload, minlength=256)
+        for name, codec in (("mu", MU_LAW), ("a", A_LAW)):
+            table = EXPAND[codec].astype(np.int64)
+            parts.append(f"{name}_rms={(counts @ (table * table) / len(payload)) ** 0.5:.3f};{name}_peak={np.abs(table[counts > 0]).max()}")
+    if len(adpcm):
+        wide = adpcm.astype(np.float64)
+        parts.append(f"adpcm_rms={(wide @ wide / len(wide)) ** 0.5:.3f};adpcm_peak={int(np.abs(wide).max())}")
     crossings = int(np.count_nonzero(np.signbit(pcm[1:]) != np.signbit(pcm[:-1])))
-    parts.append(f"crossings={crossings};pcm_bytes={2 * len(pcm)};pcm_crc32={zlib.crc32(pcm)}")
-    return ";".join(parts)
+    return ";".join([*parts, f"crossings={crossings};pcm_bytes={2 * len(pcm)};pcm_crc32={zlib.crc32(pcm)}"])
 
 
 COLUMNS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string())
+
+
+def _opened(media: bytes | None):
+    """(payload, error) of a stored mu-law file."""
+    if media is None:
+        return None, None
+    try:
+        codec, _, _, payload = read_wav(media)
+        if codec != MU_LAW:
+            raise ValueError(f"codec {codec} is not mu-law")
+        return np.frombuffer(payload, np.uint8), None
+    except (ValueError, struct.error) as found:
+        return None, str(found)
 
 
 def _measured(rows: list[tuple]) -> pa.RecordBatch:
-    read = [np.frombuffer(read_wav(media)[3], np.uint8) for _, _, media in rows]
-    blocks = np.concatenate([r.reshape(-1, BLOCK) for r in read])
-    pcm = decode_adpcm(blocks)
-    ends = np.cumsum([len(r) // BLOCK for r in read])
-    out = []
-    for (doc, n, media), payload, end in zip(rows, read, ends, strict=True):
-        own = payload.tobytes()
-        out.append((doc, n, len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-32:]), len(media), hashlib.sha256(media).hexdigest(), _feature(payload, pcm[end - len(payload) // BLOCK : end].ravel())))
-    kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], COLUMNS)
+    """Digests, features and resampled PCM; the ADPCM blocks of all rows are decoded at once."""
+    read = [_opened(media) for _, _, media in rows]
+    whole = [p[: len(p) // BLOCK * BLOCK] if p is not None else np.empty(0, np.uint8) for p, _ in read]
+    adpcm = decode_adpcm(np.concatenate(whole).reshape(-1, BLOCK)) if sum(map(len, whole)) else np.empty((0, 0), np.int16)
+    ends, out = np.cumsum([len(w) // BLOCK for w in whole]), []
+    for (doc, n, media), (payload, error), part, end in zip(rows, read, whole, ends, strict=True):
+        if payload is None:
+            out.append((doc, n, None, None, None, None if media is None else len(media), None if media is None else hashlib.sha256(media).hexdigest(), None, None, error))
+            continue
+        own, pcm = payload.tobytes(), resample(EXPAND[MU_LAW][payload], RATE)
+        feature = _features(payload, adpcm[end - len(part) // BLOCK : end].ravel(), pcm)
+        out.append((doc, n, len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, pcm.tobytes(), None))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), KINDS, strict=True)], [*COLUMNS, "pcm", "error"])
 
 
 def _measure(batches):
@@ -195,7 +231,7 @@ def _measure(batches):
         rows, size = [], 0
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             rows.append(row)
-            size += len(row[2])
+            size += len(row[2] or b"")
             if size >= SLICE_BYTES:
                 yield _measured(rows)
                 rows, size = [], 0
@@ -203,7 +239,15 @@ def _measure(batches):
             yield _measured(rows)
 
 
-def measure_media(stored: DataFrame) -> DataFrame:
-    """Digests and features of what ``store_texts`` stored, read back from the stored bytes."""
-    kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(_measure, kinds)
+def measure_media(media: DataFrame) -> DataFrame:
+    """Digests and features of what ``store_texts`` stored, read back from the stored bytes, with its resampled PCM.
+
+    Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
+    media_bytes, media_sha256, feature, pcm (16-bit at 16 kHz), error. Null
+    media have no digests; bytes that aren't a mu-law file have those of the
+    media alone and say why in error. Whole ADPCM blocks count for its
+    loudness. Repeated rows give equal rows, null doc_ids are kept, an empty
+    table gives an empty result.
+    """
+    kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary, error string"
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_measure, kinds)

@@ -427,3 +427,43 @@ def test_vectors_of_extreme_length(spark):
     rows = [(1, [1e200, 1e200], 1), (2, [1e-200, 1e-200], 1), (3, [1.0, 1.02], 1), (4, [-1e200, 1.0], 1), (5, [1.0, 0.0], 2), (5, [0.0, 1.0], 2), (6, [0.0, 1.0], 2)]
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
     assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 0, 5), (5, 1, 5), (6, 1, 5)]
+
+
+def test_media_equal_plain_python(spark):
+    """Digests, loudness and stored PCM of each row against byte-wise Python."""
+    import hashlib
+    import struct
+    import zlib
+
+    texts = ["", None, "a", "b" * 575, "é" * 288, "\x00\x7f" * 900, "word " * 40_000]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    stored = telephony.store_texts(docs)
+    media = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    for r in telephony.measure_media(stored).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        own = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media[r.doc_id]), hashlib.sha256(media[r.doc_id]).hexdigest()) and own in media[r.doc_id]
+        wide = []
+        for b in own:
+            u = ~b & 255
+            size = ((((u & 15) << 3) + 132) << (u >> 4 & 7)) - 132
+            wide.append(-size if u & 128 else size)
+        pcm = [x for a, b in zip(wide, [*wide[1:], wide[-1]], strict=True) for x in (a, (a + b) >> 1)]
+        assert bytes(r.pcm) == struct.pack(f"<{len(pcm)}h", *pcm) and r.error is None
+        told = dict(p.split("=") for p in r.feature.split(";"))
+        assert told["mu_rms"] == f"{(sum(x * x for x in wide) / len(wide)) ** 0.5:.3f}" and int(told["mu_peak"]) == max(map(abs, wide))
+        assert int(told["crossings"]) == sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:])) and int(told["pcm_crc32"]) == zlib.crc32(bytes(r.pcm))
+
+
+def test_broken_media(spark):
+    good = telephony.wav(b"\x55" * 100, telephony.MU_LAW)
+    bad = telephony.wav(b"\x00" * 128, telephony.ADPCM)
+    no_block = bad[:32] + b"\x00\x00" + bad[34:]
+    rows = [(1, good), (2, None), (3, b"noise"), (4, good[:20]), (5, no_block), (1, good)]
+    media = spark.createDataFrame(rows, "doc_id long, media binary").withColumns({"n_bytes": F.lit(7).cast("long"), "pcm": F.lit(1)})
+    got = sorted((r.doc_id, r.pcm is not None, r.error is not None) for r in telephony.decode_media(media).collect())
+    assert got == [(1, True, False), (1, True, False), (2, False, False), (3, False, True), (4, False, True), (5, False, True)]
+    found = sorted((r.doc_id, r.payload_bytes, r.error is not None) for r in telephony.measure_media(media).collect())
+    assert found == [(1, 100, False), (1, 100, False), (2, None, False), (3, None, True), (4, None, True), (5, None, True)]
+    assert telephony.decode_media(media.limit(0)).count() == telephony.measure_media(media.limit(0)).count() == 0
