@@ -34,8 +34,8 @@ KEY_BITS = 62
 SKETCH_BITS = 256
 BLOCK = 2_048
 ROWS = 512
-#: Passes of the first round; later rounds skip what it united.
-FIRST_PASSES = 2
+#: Passes of the first round; the second skips what it united. Few vectors take one round, which gives the same links.
+FIRST_PASSES, ROUND_ROWS = 2, 20_000
 
 
 def window_bits(vectors: int, window: int) -> int:
@@ -241,7 +241,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, window: int = 5
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     passes, shift = passes_needed(largest, threshold, window, miss), KEY_BITS - window_bits(largest, window)
     most, links, united = sketch_cut(threshold), None, None
-    for turns in (range(min(FIRST_PASSES, passes)), range(FIRST_PASSES, passes)):
+    for turns in (range(FIRST_PASSES), range(FIRST_PASSES, passes)) if largest > ROUND_ROWS else (range(passes),):
         keyed = classes.select("label", "vec", "embedding").mapInArrow(lambda b, t=turns: _keys(b, t, shift, seed), KEYED)
         keyed = stored(keyed, "passes")
         long = stored(keyed.groupBy(*RUN).count().where(f"count > {BLOCK}"), "long-windows")
