@@ -1,18 +1,17 @@
 """Column functions for labels, values and their comparison.
 
-All are built-in expressions but for ``nfkc``, which Spark has no expression
-for. Values are strings; null means that nothing was read.
+All are built-in expressions; ``compat`` stands for NFKC, which Spark has no
+expression for. Values are strings; null means that nothing was read.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: What stands for "none", "unreadable" and "empty" in each of the places that ask.
 NA_TOKENS = ("", "NA", "N/A", "N.A.", "NONE", "-", "—", "없음")
@@ -29,10 +28,28 @@ NUMBER = r"-?\d+(?:\.\d+)?"
 BLANKS = r"[\s\x1c-\x1f\x85\xa0]"
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in parts:
-        yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def _compatible() -> dict[str, str]:
+    """Characters that NFKC replaces, by themselves, and what by."""
+    every = map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000)))
+    return {x: n for x in every if (n := unicodedata.normalize("NFKC", x)) != x}
+
+
+_COMPATIBLE = _compatible()
+_ONE = {x: n for x, n in _COMPATIBLE.items() if len(n) == 1}
+_MORE = {x: n for x, n in _COMPATIBLE.items() if len(n) != 1}
+
+
+def compat(c: Column) -> Column:
+    """NFKC, character by character: full width, superscripts, unit signs and the like as plain characters.
+
+    Unlike NFKC it composes no sequences with combining marks. Texts of ASCII
+    alone pass through.
+    """
+    table = F.from_json(F.lit(json.dumps(_MORE)), "map<string,string>")
+    spread = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    several = "[" + "".join(f"\\x{{{ord(x):X}}}" for x in _MORE) + "]"
+    plain = lambda t: F.translate(t, "".join(_ONE), "".join(_ONE.values()))
+    return F.when(~c.rlike(r"[^\x00-\x7F]"), c).when(c.rlike(several), plain(spread)).otherwise(plain(c))
 
 
 def strip(c: Column) -> Column:
@@ -65,10 +82,9 @@ def bare_label(c: Column) -> Column:
     return F.regexp_replace(c, r"\([^()]*\)", " ")
 
 
-def clean(c: Column, *, unicode: bool = False) -> Column:
-    """Stripped, without one leading question mark; ``unicode`` applies NFKC first. Null gives ''."""
-    text = F.coalesce(c, F.lit(""))
-    return strip(F.regexp_replace(strip(nfkc(text) if unicode else text), r"^\?", ""))
+def clean(c: Column) -> Column:
+    """In compatible characters, stripped, without one leading question mark. Null gives ''."""
+    return strip(F.regexp_replace(strip(compat(F.coalesce(c, F.lit("")))), r"^\?", ""))
 
 
 def _token_in(c: Column, tokens) -> Column:
@@ -105,44 +121,92 @@ def roman_to_arabic(c: Column) -> Column:
 
 def norm_text(cleaned: Column) -> Column:
     """Roman numbers as digits, then ASCII letters and digits and Hangul alone."""
-    return F.regexp_replace(roman_to_arabic(cleaned), "[^A-Z0-9가-힣]+", "")
+    return _plain_text(roman_to_arabic(cleaned))
+
 
+def _plain_text(arabic: Column) -> Column:
+    return F.regexp_replace(arabic, "[^A-Z0-9가-힣]+", "")
 
-def _kept_tokens(cleaned: Column, all_letters: bool) -> Column:
-    tokens = F.regexp_extract_all(roman_to_arabic(cleaned), F.lit(f"({TOKEN})"), 1)
+
+def _kept_tokens(arabic: Column, all_letters: bool) -> Column:
+    tokens = F.regexp_extract_all(arabic, F.lit(f"({TOKEN})"), 1)
     worded = lambda t: t.rlike(r"^[\p{L}°℃℉]")
     gone = worded if all_letters else (lambda t: worded(t) & F.lower(t).isin(*UNITS))
     return F.array_join(F.filter(tokens, lambda t: ~gone(t)), "")
 
 
+def _numbers(kept: Column) -> Column:
+    text = F.regexp_replace(kept, r"(?<=\d)\s*-\s*(?=\d)", " ")
+    return F.transform(F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1), lambda x: x.cast("double"))
+
+
 def numbers(cleaned: Column, *, all_letters: bool = False) -> Column:
     """Numbers of a value as array<double>, without those within units; a hyphen between digits divides."""
-    text = F.regexp_replace(_kept_tokens(cleaned, all_letters), r"(?<=\d)\s*-\s*(?=\d)", " ")
-    return F.transform(F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1), lambda x: x.cast("double"))
+    return _numbers(_kept_tokens(roman_to_arabic(cleaned), all_letters))
+
+
+def _is_numeric(kept: Column) -> Column:
+    return kept.rlike(NUMBER) & ~kept.rlike("[A-Za-z가-힣]")
 
 
 def looks_numeric(cleaned: Column) -> Column:
-    rest = _kept_tokens(cleaned, False)
-    return rest.rlike(NUMBER) & ~rest.rlike("[A-Za-z가-힣]")
+    return _is_numeric(_kept_tokens(roman_to_arabic(cleaned), False))
+
+
+@dataclass(frozen=True)
+class Forms:
+    """A value as comparisons need it: cleaned, with arabic numbers, as plain text, and without units."""
+
+    cleaned: Column
+    arabic: Column
+    text: Column
+    kept: Column
+
+    @classmethod
+    def of(cls, c: Column) -> Forms:
+        cleaned = clean(c)
+        arabic = roman_to_arabic(cleaned)
+        return cls(cleaned, arabic, _plain_text(arabic), _kept_tokens(arabic, False))
+
+
+def with_forms(df: DataFrame, *names: str) -> tuple[DataFrame, list[Forms]]:
+    """``df`` with the forms of the named columns as columns, so that each is computed once a row; drop them by ``FORM``."""
+    step = lambda make: {f"{FORM}{n}_{part}": c for n in names for part, c in make(n).items()}
+    at = lambda n, part: F.col(f"{FORM}{n}_{part}")
+    df = df.withColumns(step(lambda n: {"cleaned": clean(F.col(n))})).withColumns(step(lambda n: {"arabic": roman_to_arabic(at(n, "cleaned"))}))
+    df = df.withColumns(step(lambda n: {"text": _plain_text(at(n, "arabic")), "kept": _kept_tokens(at(n, "arabic"), False)}))
+    return df, [Forms(*(at(n, part) for part in ("cleaned", "arabic", "text", "kept"))) for n in names]
 
 
-def same_value(gold: Column, got: Column, numeric: Column | None = None, *, unicode: bool = False) -> Column:
+FORM = "__form_"
+
+
+def without_forms(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(FORM)])
+
+
+def same_forms(a: Forms, b: Forms, numeric: Column | None = None) -> Column:
     """Whether a read value equals the true one.
 
     Two values for "none" are equal, and two unreadable ones. ``numeric`` true
     compares numbers alone and needs one; false compares text; null compares
     numbers if both values are numbers and units, else text.
     """
-    a, b = clean(gold, unicode=unicode), clean(got, unicode=unicode)
-    text = norm_text(a) == norm_text(b)
-    forced_a, forced_b = numbers(a, all_letters=True), numbers(b, all_letters=True)
-    by_number = (F.size(forced_a) > 0) & (forced_a == forced_b)
-    auto = F.when(looks_numeric(a) & looks_numeric(b), numbers(a) == numbers(b)).otherwise(text)
-    rest = auto if numeric is None else F.when(numeric.isNull(), auto).when(numeric, by_number).otherwise(text)
-    none_a, none_b, blur_a, blur_b = is_na(a), is_na(b), is_unreadable(a), is_unreadable(b)
+    text = a.text == b.text
+    auto = F.when(_is_numeric(a.kept) & _is_numeric(b.kept), _numbers(a.kept) == _numbers(b.kept)).otherwise(text)
+    rest = auto
+    if numeric is not None:
+        forced_a, forced_b = (_numbers(_kept_tokens(x.arabic, True)) for x in (a, b))
+        rest = F.when(numeric.isNull(), auto).when(numeric, (F.size(forced_a) > 0) & (forced_a == forced_b)).otherwise(text)
+    none_a, none_b, blur_a, blur_b = is_na(a.cleaned), is_na(b.cleaned), is_unreadable(a.cleaned), is_unreadable(b.cleaned)
     return F.when(none_a | none_b, none_a & none_b).when(blur_a | blur_b, blur_a & blur_b).otherwise(rest)
 
 
+def same_value(gold: Column, got: Column, numeric: Column | None = None) -> Column:
+    """``same_forms`` of two columns; in plans with several comparisons ``with_forms`` shares their work."""
+    return same_forms(Forms.of(gold), Forms.of(got), numeric)
+
+
 def reason(gold: Column, got: Column, numeric: Column | None = None) -> Column:
     """Why two values differ, '' if they don't: NOT_NONE, NONE, UNREADABLE, NUMBER or TEXT, and both values."""
     a, b = clean(gold), clean(got)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsift.functions.text import EMPTY_VALUES, join_notes, same_value, strip
+from docsift.functions.text import EMPTY_VALUES, compat, join_notes, norm_label, same_forms, strip, with_forms
 
 STATES = ("AGREE", "NOTATION", "CONFLICT", "VLM_ONLY", "TEXT_ONLY", "NEITHER")
 
@@ -23,21 +23,24 @@ def crosscheck(vlm: DataFrame, text: DataFrame, wanted: DataFrame, aliases: Data
     a = vlm.select("doc_id", "field_key", _known(F.col("value")).alias("vlm_value"))
     b = text.select("doc_id", "field_key", _known(F.col("value")).alias("text_value"))
     met = a.join(b, ["doc_id", "field_key"], "full_outer").join(F.broadcast(wanted.select("field_key", "numeric")), "field_key")
-    std_a, std_b = F.col("vlm_value"), F.col("text_value")
+    names = ["vlm_value", "text_value"]
     if aliases is not None:
-        norm = lambda c: F.regexp_replace(F.upper(c), r"[^\p{L}\p{N}/.\-]", "")
+        # unlike the normaliser's, these keys drop all punctuation: FAIL-CLOSE is FAIL CLOSE
+        norm = lambda c: norm_label(compat(c))
         table = aliases.select("field_key", norm(F.col("raw")).alias("norm"), "to", "ord").groupBy("field_key", "norm").agg(F.min_by("to", "ord").alias("to"))
         for side in ("vlm", "text"):
             own = F.broadcast(table.select("field_key", F.col("norm").alias(f"{side}_norm"), F.col("to").alias(f"{side}_std")))
             met = met.withColumn(f"{side}_norm", norm(F.col(f"{side}_value"))).join(own, ["field_key", f"{side}_norm"], "left")
-        std_a, std_b = F.coalesce("vlm_std", "vlm_value"), F.coalesce("text_std", "text_value")
+        met = met.withColumns({f"{side}_std": F.coalesce(f"{side}_std", f"{side}_value") for side in ("vlm", "text")})
+        names += ["vlm_std", "text_std"]
+    met, forms = with_forms(met, *names)
     numeric = F.col("numeric")
     state = (
         F.when(F.col("vlm_value").isNull() & F.col("text_value").isNull(), "NEITHER")
         .when(F.col("text_value").isNull(), "VLM_ONLY")
         .when(F.col("vlm_value").isNull(), "TEXT_ONLY")
-        .when(same_value(F.col("vlm_value"), F.col("text_value"), numeric) | same_value(std_a, std_b, numeric), "AGREE")
-        .when(same_value(F.col("vlm_value"), F.col("text_value"), F.lit(True)), "NOTATION")
+        .when(same_forms(*forms[:2], numeric) | same_forms(*forms[-2:], numeric), "AGREE")
+        .when(same_forms(*forms[:2], F.lit(True)), "NOTATION")
         .otherwise("CONFLICT")
     )
     return met.select("doc_id", "field_key", "vlm_value", "text_value", state.alias("state"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsift.functions.text import clean, is_na, norm_text, same_value
+from docsift.functions.text import Forms, clean, is_na, same_forms, with_forms, without_forms
 
 #: From worst to best.
 VERDICTS = ("FABRICATED", "WRONG", "WRONG_PAGE", "MISSING", "PENDING_NORM", "EXACT")
@@ -14,13 +14,15 @@ DANGEROUS = ("FABRICATED", "WRONG", "PENDING_NORM")
 
 def judge(truth: Column, got: Column, raw: Column, numeric: Column | None = None) -> Column:
     """The verdict on one cell. A raw reading that equals the truth is exact whatever became of it."""
-    none = is_na(clean(truth))
-    norm = norm_text(clean(truth))
-    within = lambda c: (norm_text(clean(c)) != "") & norm.contains(norm_text(clean(c)))
+    return _judge(Forms.of(truth), Forms.of(got), Forms.of(raw), got.isNull(), numeric)
+
+
+def _judge(truth: Forms, got: Forms, raw: Forms, missing: Column, numeric: Column | None) -> Column:
+    within = lambda x: (x.text != "") & truth.text.contains(x.text)
     return (
-        F.when(none, F.when(got.isNull() | is_na(clean(got)), "EXACT").otherwise("FABRICATED"))
-        .when(got.isNull(), "MISSING")
-        .when(same_value(truth, got, numeric) | F.coalesce(same_value(truth, raw, numeric), F.lit(False)), "EXACT")
+        F.when(is_na(truth.cleaned), F.when(missing | is_na(got.cleaned), "EXACT").otherwise("FABRICATED"))
+        .when(missing, "MISSING")
+        .when(same_forms(truth, got, numeric) | same_forms(truth, raw, numeric), "EXACT")
         .when(within(raw) | within(got), "PENDING_NORM")
         .otherwise("WRONG")
     )
@@ -41,9 +43,9 @@ def score(gold: DataFrame, values: DataFrame, *, absent: DataFrame | None = None
         gold = gold.join(lacking, ["cls", "field_key"], "left").where(~(F.coalesce("lacks", F.lit(False)) & is_na(clean(F.col("truth"))))).drop("lacks")
     met = gold.join(values.select("doc_id", "field_key", "got", "raw", F.col("page").alias("got_page")), ["doc_id", "field_key"], "left")
     off = F.col("page").isNotNull() & F.col("got_page").isNotNull() & (F.col("page") != F.col("got_page"))
-    verdict = F.when(off, "WRONG_PAGE").otherwise(judge(F.col("truth"), F.col("got"), F.col("raw"), F.col("numeric")))
-    strict = (F.col("verdict") == "EXACT") & (norm_text(clean(F.col("truth"))) == norm_text(clean(F.col("got"))))
-    return met.withColumn("verdict", verdict).withColumn("strict", strict)
+    met, (truth, got, raw) = with_forms(met, "truth", "got", "raw")
+    verdict = F.when(off, "WRONG_PAGE").otherwise(_judge(truth, got, raw, F.col("got").isNull(), F.col("numeric")))
+    return without_forms(met.withColumn("verdict", verdict).withColumn("strict", (F.col("verdict") == "EXACT") & (truth.text == got.text)))
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -84,12 +86,22 @@ def weak_fields(scored: DataFrame, k: int = 12) -> DataFrame:
 
 def flag_quality(flags: DataFrame, scored: DataFrame) -> DataFrame:
     """How well flags (doc_id, field_key, source) find dangerous cells: one row for each source and one for all."""
-    bad = scored.where(F.col("verdict").isin(*DANGEROUS)).select("doc_id", "field_key", F.lit(1).alias("bad"))
-    scoped = flags.join(scored.select("doc_id", "field_key"), ["doc_id", "field_key"], "left_semi")
-    every = scoped.unionByName(scoped.withColumn("source", F.lit("ALL"))).distinct()
-    hits = every.join(bad, ["doc_id", "field_key"], "left").groupBy("source").agg(F.count("*").alias("flagged"), F.count("bad").alias("hits"))
-    total = bad.agg(F.count("*").alias("bad"))
-    return hits.join(F.broadcast(total), how="cross").select("source", "flagged", "hits", "bad", F.try_divide("hits", "flagged").alias("precision"), F.try_divide("hits", "bad").alias("recall"))
+    raised = flags.groupBy("doc_id", "field_key").agg(F.collect_set("source").alias("sources"))
+    cells = scored.select("doc_id", "field_key", F.col("verdict").isin(*DANGEROUS).alias("bad")).join(raised, ["doc_id", "field_key"], "left")
+    # a null source stands for all scored cells, flagged or not
+    every = F.concat(F.when(F.col("sources").isNull(), F.array().cast("array<string>")).otherwise(F.array_union("sources", F.array(F.lit("ALL")))), F.array(F.lit(None).cast("string")))
+    hits = cells.select("bad", F.explode(every).alias("source")).groupBy("source").agg(F.count("*").alias("flagged"), F.count_if("bad").alias("hits"))
+    # a row for each source from here on
+    total = F.max(F.when(F.col("source").isNull(), F.col("hits"))).over(Window.partitionBy(F.lit(1)))
+    told = hits.withColumn("bad", total).where(F.col("source").isNotNull())
+    return told.select("source", "flagged", "hits", "bad", F.try_divide("hits", "flagged").alias("precision"), F.try_divide("hits", "bad").alias("recall"))
+
+
+def missed_by_field(flags: DataFrame, scored: DataFrame) -> DataFrame:
+    """(field_key, dangerous, missed): dangerous cells of each field and those that no flag of any source names."""
+    raised = flags.select("doc_id", "field_key", F.lit(True).alias("flagged")).distinct()
+    met = scored.where(F.col("verdict").isin(*DANGEROUS)).join(raised, ["doc_id", "field_key"], "left")
+    return met.groupBy("field_key").agg(F.count("*").alias("dangerous"), F.count_if(F.col("flagged").isNull()).alias("missed"))
 
 
 def transitions(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -119,9 +131,10 @@ def stability(runs: DataFrame) -> DataFrame:
 
 def sign_test(runs: DataFrame) -> DataFrame:
     """Pairs of variants (doc_id, field_key, rep, variant int, ok): cells only one has right, z and the decision."""
-    a, b = runs.alias("a"), runs.alias("b")
-    same = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.field_key") == F.col("b.field_key")) & (F.col("a.rep") == F.col("b.rep")) & (F.col("a.variant") < F.col("b.variant"))
-    counted = a.join(b, same).groupBy(F.col("a.variant").alias("first"), F.col("b.variant").alias("second")).agg(F.count_if(F.col("a.ok") & ~F.col("b.ok")).alias("first_only"), F.count_if(~F.col("a.ok") & F.col("b.ok")).alias("second_only"))
+    # the variants of a cell are few: they meet in one group, not in a join of the rows with themselves
+    cells = runs.groupBy("doc_id", "field_key", "rep").agg(F.collect_list(F.struct("variant", "ok")).alias("tried"))
+    pairs = F.flatten(F.transform("tried", lambda a: F.transform(F.filter("tried", lambda b: b["variant"] > a["variant"]), lambda b: F.struct(a["variant"].alias("first"), b["variant"].alias("second"), a["ok"].alias("a"), b["ok"].alias("b")))))
+    counted = cells.select(F.inline(pairs)).groupBy("first", "second").agg(F.count_if(F.col("a") & ~F.col("b")).alias("first_only"), F.count_if(~F.col("a") & F.col("b")).alias("second_only"))
     n = F.col("first_only") + F.col("second_only")
     z = F.try_divide(F.abs(F.col("first_only") - F.col("second_only")).cast("double"), F.sqrt(n))
     return counted.withColumn("z", z).withColumn("decision", F.when(n < 10, "hold").when(F.col("z") >= 2.58, "strong").when(F.col("z") >= 1.96, "win").otherwise("even"))
@@ -134,24 +147,28 @@ def escalation_effect(moved: DataFrame) -> DataFrame:
     return moved.agg(F.count_if(sign > 0).alias("better"), F.count_if(sign < 0).alias("worse"), F.count_if(sign == 0).alias("same"), F.sum(sign).cast("long").alias("net"))
 
 
+def _reason(skipped: DataFrame) -> DataFrame:
+    return skipped.select(F.trim(F.substring_index(F.substring_index("reason", ":", 1), "(", 1)).alias("reason"), "doc_id")
+
+
 def unscored_reasons(skipped: DataFrame) -> DataFrame:
-    """Documents by the reason's text before ':' and '('."""
-    reason = F.trim(F.substring_index(F.substring_index("reason", ":", 1), "(", 1))
-    return skipped.groupBy(reason.alias("reason")).agg(F.count("*").alias("docs"), F.array_join(F.sort_array(F.collect_list(F.col("doc_id").cast("string"))), ",").alias("doc_ids"))
+    """Documents by the reason's text before ':' and '(': their number and the smallest id; ``unscored_documents`` lists them."""
+    return _reason(skipped).groupBy("reason").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
 
 
 def unscored_documents(skipped: DataFrame) -> DataFrame:
     """A row (reason, docs, doc_id) for each document, with the number of documents of its reason; none are gathered in one value."""
-    rows = skipped.select(F.trim(F.substring_index(F.substring_index("reason", ":", 1), "(", 1)).alias("reason"), "doc_id")
+    rows = _reason(skipped)
     counts = rows.groupBy(F.col("reason").alias("of")).agg(F.count("*").alias("docs"))
     return rows.join(counts, F.col("reason").eqNullSafe(F.col("of"))).select("reason", "docs", "doc_id")
 
 
 def quota_sample(files: DataFrame, quotas: DataFrame) -> DataFrame:
     """The first files of each format by the sha256 of their names, as many as the format's quota."""
+    most = quotas.agg(F.max("quota")).first()[0] or 0  # a literal lets Spark cut each format before the shuffle
     order = Window.partitionBy("fmt").orderBy(F.sha2("file", 256), "file")
-    ranked = files.withColumn("rank", F.row_number().over(order)).join(F.broadcast(quotas), "fmt")
-    return ranked.where(F.col("rank") <= F.col("quota"))
+    ranked = files.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return ranked.join(F.broadcast(quotas), "fmt").where(F.col("rank") <= F.col("quota"))
 
 
 def plausibility(sizes: DataFrame, warn: float = 35, suspect: float = 60) -> DataFrame:

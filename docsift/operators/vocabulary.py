@@ -35,10 +35,16 @@ def candidates(rows: DataFrame, min_count: int = 1) -> DataFrame:
     keyed = rows.withColumn("norm_", _norm(F.col("value")))
     # distinct first, so that a frequent value gathers few rows: the first place of each document and label
     docs = keyed.groupBy("field_key", "norm_", "doc_id").agg(F.min("seq").alias("seq"), F.count("*").alias("n"), F.min_by("value", "seq").alias("value"))
-    rank = F.row_number().over(Window.partitionBy("field_key", "norm_").orderBy("seq"))
-    per_doc = docs.withColumn("rank", rank).groupBy("field_key", "norm_").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.min_by("value", "seq").alias("value"), F.array_sort(F.collect_list(F.when(F.col("rank") <= 6, F.struct("seq", "doc_id")))).alias("d"))
-    labels = keyed.groupBy("field_key", "norm_", "label").agg(F.min("seq").alias("seq")).withColumn("rank", rank)
-    per_label = labels.groupBy("field_key", "norm_").agg(F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.struct("seq", "label")))).alias("l"))
+    labels = keyed.groupBy("field_key", "norm_", "label").agg(F.min("seq").alias("seq"))
+    group = ["field_key", "norm_"]
+
+    def first(of: DataFrame, name: str, k: int) -> DataFrame:
+        # the filter on the rank lets Spark cut each group before the shuffle, so a frequent value isn't sorted whole in one task
+        ranked = of.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("seq"))).where(F.col("rank") <= k)
+        return ranked.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("seq", name))).alias(name))
+
+    per_doc = docs.groupBy(*group).agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.min_by("value", "seq").alias("value")).join(first(docs, "doc_id", 6).withColumnRenamed("doc_id", "d"), group)
+    per_label = first(labels, "label", 3).withColumnRenamed("label", "l")
     met = per_doc.where(F.col("n") >= min_count).join(per_label, ["field_key", "norm_"])
     return met.select("field_key", "value", "n", "docs", F.transform("d", lambda x: x["doc_id"]).alias("first_docs"), F.transform("l", lambda x: x["label"]).alias("first_labels")).orderBy(F.desc("n"), "field_key", "value")
 

@@ -283,24 +283,48 @@ def q15_tag_parse(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", tags.parse_tag(raw)["key"].alias("tag"))
 
 
-@query()
+@query(
+    """
+WITH t AS (SELECT l_orderkey, l_linenumber, l_linenumber % 3 AS k, 'A' || (l_suppkey % 90 + 1) || 'FV' AS base, l_partkey % 900 + 100 AS n, (l_partkey % 900 + 100) % 800 + 101 AS m FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE k WHEN 0 THEN concat_ws(',', base || n, base || m) WHEN 1 THEN concat_ws(',', base || n || 'A', base || n || 'B')
+  ELSE concat_ws(',', base || n || 'A', base || m || 'B', base || n || 'C') END AS tags FROM t
+"""
+)
 def q16_tag_list_expand(spark, sf_dir):
-    n = F.col("l_partkey") % 900 + 100
-    raw = F.concat(F.lpad((F.col("l_suppkey") % 90 + 1).cast("string"), 2, "0"), F.lit("-FV-"), n.cast("string"), F.lit("/"), (n % 800 + 101).cast("string"))
+    unit, n, k = F.lpad((F.col("l_suppkey") % 90 + 1).cast("string"), 2, "0"), F.col("l_partkey") % 900 + 100, F.col("l_linenumber") % 3
+    first, second = n.cast("string"), (n % 800 + 101).cast("string")
+    raw = (
+        F.when(k == 0, F.concat(unit, F.lit("-FV-"), first, F.lit("/"), second, F.lit("/12")))
+        .when(k == 1, F.concat(unit, F.lit("ＦＶ"), first, F.lit("A / B")))
+        .otherwise(F.concat(unit, F.lit("-fv-"), first, F.lit("A/"), second, F.lit("B, C")))
+    )
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(tags.find_tags(raw), ",").alias("tags"))
 
 
+NAME_SQL = """
+WITH n AS (SELECT p_partkey, ['DATA SHEET', 'REPAIR REPORT', 'DRAWING', 'INSTRUMENT LIST', NULL][p_partkey % 5 + 1] AS doc_kind,
+  [true, true, false, false, NULL][p_partkey % 5 + 1] AS in_scope, CAST(p_size AS INT) AS revision, 'pdf' AS extension, 'A10FV' || (p_partkey % 900 + 100) AS tag FROM part) """
+
+
+def _names(spark, sf_dir):
+    """File names as people type them."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("Data Sheeet", "REPIAR Report", "General Drawing", "Insturment List", "AB Letter")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    name = F.concat(F.lit("in/10FV"), (F.col("p_partkey") % 900 + 100).cast("string"), F.lit("-"), kind, F.lit("_Rev."), F.col("p_size").cast("int").cast("string"), F.lit(".PDF"))
+    return table(spark, sf_dir, "part").select("p_partkey", tags.parse_filename(name).alias("got"))
+
+
+@query(NAME_SQL + "SELECT * FROM n")
+def q17_filename_classify(spark, sf_dir):
+    return _names(spark, sf_dir).select("p_partkey", *[F.col("got")[c].alias(c) for c in ("doc_kind", "in_scope", "revision", "extension", "tag")])
+
+
 @query(
-    """
-SELECT p_partkey, [ 'data_sheet', 'retrofit_report', 'drawing', 'instrument_list', NULL ][p_partkey % 5 + 1] AS doc_kind,
-  [true, true, false, false, NULL][p_partkey % 5 + 1] AS in_scope, CAST(p_size AS INT) AS revision, 'pdf' AS extension FROM part
-"""
+    NAME_SQL
+    + """SELECT p_partkey, CASE WHEN in_scope = false THEN doc_kind || ': no table of specifications' ELSE '' END AS out_of_scope,
+  CASE WHEN doc_kind = 'REPAIR REPORT' THEN doc_kind || ': fields may be empty, what can''t be read is N/A' ELSE '' END AS caution FROM n"""
 )
-def q17_filename_classify(spark, sf_dir):
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("Data Sheet", "Retrofit Report", "General Drawing", "Instrument List", "Letter")]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    name = F.concat(F.lit("10-FV-001_"), kind, F.lit("_Rev."), F.col("p_size").cast("int").cast("string"), F.lit(".PDF"))
-    got = tags.parse_filename(name)
-    return table(spark, sf_dir, "part").select("p_partkey", got["doc_kind"].alias("doc_kind"), got["in_scope"].alias("in_scope"), got["revision"].alias("revision"), got["extension"].alias("extension"))
+def q17b_scope_notes(spark, sf_dir):
+    return _names(spark, sf_dir).select("p_partkey", tags.scope_notes(F.col("got")).alias("n")).select("p_partkey", "n.*")
 
 
 @query(
@@ -312,7 +336,7 @@ SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(CASE WHEN o_orderke
 )
 def q18_doc_date_parse(spark, sf_dir):
     day, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
-    raw = F.when(k == 0, F.date_format(day, "yyyy-MM-dd")).when(k == 1, F.date_format(day, "MMM d, yyyy")).when(k == 2, F.date_format(day, "dd/MM/yyyy")).otherwise(F.concat(F.lit("issued "), F.date_format(day, "yyyy")))
+    raw = F.when(k == 0, F.date_format(day, "yyyy-MM-dd")).when(k == 1, F.date_format(day, "MMM d, yyyy")).when(k == 2, F.date_format(day, "dd/MM/yyyy")).otherwise(F.concat(F.lit("issued "), F.translate(F.date_format(day, "yyyy"), "0123456789", "０１２３４５６７８９")))
     got = tags.parse_date(raw)
     return table(spark, sf_dir, "orders").select("o_orderkey", *[got[c].alias(c) for c in ("y", "m", "d", "ambiguous")])
 
@@ -397,6 +421,23 @@ def _paths(spark, sf_dir):
     return vlm, read, crosscheck.crosscheck(vlm, read, wanted)
 
 
+@query(
+    """
+WITH v AS (SELECT s_suppkey AS doc_id, ['Fail-Close', 'FAIL CLOSE', 'valve open.', '３００', 'N／Ａ', 'XII'][s_suppkey % 6 + 1] AS vlm_value,
+  ['VALVE CLOSE', 'CLOSE', 'FAIL-OPEN', '300', '12', '12'][s_suppkey % 6 + 1] AS text_value FROM supplier)
+SELECT doc_id, 'action' AS field_key, vlm_value, text_value, CASE WHEN doc_id % 6 IN (1, 4) THEN 'CONFLICT' ELSE 'AGREE' END AS state FROM v
+"""
+)
+def q22b_crosscheck_aliases(spark, sf_dir):
+    """Aliases by label without punctuation, full-width forms and roman numbers; a full-width N/A is no empty reading, but none of the values agrees with it."""
+    k = (F.col("s_suppkey") % 6 + 1).cast("int")
+    pick = lambda *words: F.element_at(F.array(*[F.lit(w) for w in words]), k)
+    side = lambda value: table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.lit("action").alias("field_key"), value.alias("value"))
+    wanted = spark.sql("select 'action' as field_key, cast(null as boolean) as numeric")
+    aliases = spark.sql("select * from values ('action', 'VALVE CLOSE', 'FAIL CLOSE', 1), ('action', 'VALVE OPEN', 'FAIL OPEN', 2) as t(field_key, raw, to, ord)")
+    return crosscheck.crosscheck(side(pick("Fail-Close", "FAIL CLOSE", "valve open.", "３００", "N／Ａ", "XII")), side(pick("VALVE CLOSE", "CLOSE", "FAIL-OPEN", "300", "12", "12")), wanted, aliases)
+
+
 @query(PATH_SQL + "SELECT doc_id, 'f1' AS field_key, vlm_value, text_value, state FROM s")
 def q22_crosscheck_full_outer(spark, sf_dir):
     return _paths(spark, sf_dir)[2]
@@ -495,6 +536,30 @@ def q29_flag_precision_recall(spark, sf_dir):
     return evaluate.flag_quality(flags, scored)
 
 
+@query(
+    GOLD_SQL
+    + """SELECT field_key, count(*) AS dangerous, count(*) FILTER (cls NOT IN ('AIR', 'RAIL')) AS missed FROM scored WHERE verdict IN ('FABRICATED', 'WRONG', 'PENDING_NORM') GROUP BY field_key"""
+)
+def q29b_missed_by_field(spark, sf_dir):
+    scored = _scored(spark, sf_dir)
+    return evaluate.missed_by_field(scored.where(F.col("cls").isin("AIR", "RAIL")).select("doc_id", "field_key", F.lit("VOCAB").alias("source")), scored)
+
+
+@query(
+    """
+SELECT s_suppkey AS doc_id, ['EXACT', 'EXACT', 'EXACT', 'WRONG', 'EXACT', 'FABRICATED'][s_suppkey % 6 + 1] AS verdict FROM supplier
+"""
+)
+def q25b_judge_compatible_forms(spark, sf_dir):
+    """Full-width, superscript and roman readings."""
+    k = (F.col("s_suppkey") % 6 + 1).cast("int")
+    pick = lambda *words: F.element_at(F.array(*[F.lit(w) for w in words]), k)
+    keys = F.col("s_suppkey").alias("doc_id"), F.lit("f").alias("field_key")
+    truths = table(spark, sf_dir, "supplier").select(*keys, pick("300 m³/h", "N/A", "CLASS IV", "300", "12 mm", "n/a").alias("truth"), F.lit(1).alias("page"), F.lit(None).cast("boolean").alias("numeric"))
+    values = table(spark, sf_dir, "supplier").select(*keys, pick("３００", "Ｎ／Ａ", "ｃｌａｓｓ 4", "３０１", "12 ㎜", "？１２").alias("got"), F.lit(None).cast("string").alias("raw"), F.lit(1).alias("page"))
+    return evaluate.score(truths, values).select("doc_id", "verdict")
+
+
 @query(
     """
 WITH r AS (SELECT l_orderkey AS doc_id, 'f' || (l_linenumber % 2) AS field_key, CASE WHEN l_linenumber % 3 = 0 THEN lower(l_shipinstruct) ELSE l_shipinstruct END AS value, l_shipmode AS label, l_orderkey * 10 + l_linenumber AS seq FROM lineitem),
@@ -637,13 +702,13 @@ def q40_unpivot_gold(spark, sf_dir):
 
 @query(
     """
-WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber AS k, l_shipmode AS value, l_returnflag AS state FROM lineitem WHERE l_linenumber <= 2)
+WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber AS k, l_shipmode AS value, l_returnflag AS state FROM lineitem)
 SELECT doc_id, 'value' AS attribute, max(value) FILTER (k = 1) AS f1, max(value) FILTER (k = 2) AS f2 FROM r GROUP BY doc_id
 UNION ALL SELECT doc_id, 'state', max(state) FILTER (k = 1), max(state) FILTER (k = 2) FROM r GROUP BY doc_id
 """
 )
 def q41_pivot_export(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("field_key"), F.col("l_shipmode").alias("value"), F.col("l_returnflag").alias("state"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("field_key"), F.col("l_shipmode").alias("value"), F.col("l_returnflag").alias("state"))
     return export_table(rows, ["f1", "f2"], ["value", "state"])
 
 
@@ -664,7 +729,7 @@ def q41b_pivot_export_all(spark, sf_dir):
 
 @query(
     """
-SELECT p_partkey, round(p_size * 2.0 + 10, 6) AS x0, round(5 + p_size * 3.0, 6) AS y0, round((p_size + 4) * 2.0 + 10, 6) AS x1, round(5 + (p_size + 8) * 3.0, 6) AS y1 FROM part
+SELECT p_partkey, round(CAST(p_size AS DOUBLE) * 2 + 10, 6) AS x0, round(5 + CAST(p_size AS DOUBLE) * 3, 6) AS y0, round(CAST(p_size + 4 AS DOUBLE) * 2 + 10, 6) AS x1, round(5 + CAST(p_size + 8 AS DOUBLE) * 3, 6) AS y1 FROM part
 """
 )
 def q42_bbox_affine(spark, sf_dir):
@@ -695,7 +760,10 @@ def q44_event_counters(spark, sf_dir):
 @query("SELECT 'run' AS run_id, event_type AS counter, count(*) AS n FROM events GROUP BY event_type")
 def q45_events_stream_equals_batch(spark, sf_dir):
     """The counters by a stream over the log's files, read until none is left."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docsift-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = folder or tempfile.mkdtemp(prefix="docsift-")
     name = f"counters_{abs(hash(sf_dir)) % 10**8}"
     schema = table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -703,17 +771,20 @@ def q45_events_stream_equals_batch(spark, sf_dir):
     return stream.drain(stream.counters(log), name, f"{folder}/{name}-{uuid.uuid4().hex}")
 
 
-@query("SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'no page' ELSE 'read error' END AS reason, count(*) AS docs, array_to_string(list_sort(list(CAST(o_orderkey AS VARCHAR))), ',') AS doc_ids FROM orders WHERE o_orderkey % 50 = 1 GROUP BY 1")
-def q46_unscored_reasons(spark, sf_dir):
+def _skipped(spark, sf_dir):
     reason = F.when(F.col("o_orderpriority") == "1-URGENT", "no page (scan)").otherwise(F.concat(F.lit("read error: "), F.col("o_orderpriority")))
-    return evaluate.unscored_reasons(table(spark, sf_dir, "orders").where("o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("doc_id"), reason.alias("reason")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), reason.alias("reason"))
+
+
+@query("SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'no page' ELSE 'read error' END AS reason, count(*) AS docs, min(o_orderkey) AS first_doc FROM orders GROUP BY 1")
+def q46_unscored_reasons(spark, sf_dir):
+    return evaluate.unscored_reasons(_skipped(spark, sf_dir))
 
 
 @query("SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'no page' ELSE 'read error' END AS reason, count(*) OVER (PARTITION BY o_orderpriority = '1-URGENT') AS docs, o_orderkey AS doc_id FROM orders")
 def q46b_unscored_documents(spark, sf_dir):
-    """The reasons of q46 for all documents, a row each."""
-    reason = F.when(F.col("o_orderpriority") == "1-URGENT", "no page (scan)").otherwise(F.concat(F.lit("read error: "), F.col("o_orderpriority")))
-    return evaluate.unscored_documents(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), reason.alias("reason")))
+    """The documents of the reasons of q46, a row each."""
+    return evaluate.unscored_documents(_skipped(spark, sf_dir))
 
 
 @query(RUNS_SQL + f"SELECT count(*) FILTER ({RANK_SQL.format('a')} > {RANK_SQL.format('b')}) AS better, count(*) FILTER ({RANK_SQL.format('a')} < {RANK_SQL.format('b')}) AS worse, count(*) FILTER (a = b) AS same, count(*) FILTER ({RANK_SQL.format('a')} > {RANK_SQL.format('b')}) - count(*) FILTER ({RANK_SQL.format('a')} < {RANK_SQL.format('b')}) AS net FROM t")

@@ -20,7 +20,7 @@ SAME = [
 
 def test_same_value(spark):
     rows = spark.createDataFrame([(i, *r) for i, r in enumerate(SAME)], "i int, gold string, got string, numeric boolean, want boolean")
-    got = rows.select("i", text.same_value(F.col("gold"), F.col("got"), F.col("numeric"), unicode=True).alias("same")).collect()
+    got = rows.select("i", text.same_value(F.col("gold"), F.col("got"), F.col("numeric")).alias("same")).collect()
     assert {r.i: r.same for r in got} == {i: r[3] for i, r in enumerate(SAME)}
 
 
@@ -46,15 +46,30 @@ def test_small_functions(spark):
 
 
 def test_tags(spark):
-    cases = {"10-FV-001": "A10FV001", "b 010 fv 12a": "B10FV12A", "1E7924": None, "Quote No. 85-1874": None, "": None}
+    cases = {"10-FV-001": "A10FV001", "b 010 fv 12a": "B10FV12A", "1E7924": None, "Quote No. 85-1874": None, "": None, "１０－ＦＶ－００１": "A10FV001"}
     rows = spark.createDataFrame([*cases.items()], "t string, want string").select("t", tags.parse_tag(F.col("t"))["key"].alias("key"))
     assert {r.t: r.key for r in rows.collect()} == cases
-    runs = spark.createDataFrame([("10-FV-012/013/014",), ("10FV012A/B",), (None,)], "t string").select(tags.find_tags("t").alias("k")).collect()
-    assert [list(r.k) for r in runs] == [["A10FV012", "A10FV013", "A10FV014"], ["A10FV012A", "A10FV012B"], []]
+    runs = spark.createDataFrame([("10-FV-012/013/014",), ("10FV012A/B",), (None,), ("10-FV-012A/013B/C",), ("10-FV-012A/013/B",), ("10-FV-011 / 2003",), ("10-FV-011/012 20-PV-1A, B",)], "t string").select(tags.find_tags("t").alias("k")).collect()
+    assert [list(r.k) for r in runs] == [["A10FV012", "A10FV013", "A10FV014"], ["A10FV012A", "A10FV012B"], [], ["A10FV012A", "A10FV013B", "A10FV012C"], ["A10FV012A", "A10FV013", "A10FV012B"], ["A10FV011"], ["A10FV011", "A10FV012"]]
+
+
+def test_file_names(spark):
+    cases = {"10FV012-AB CALC_REV0.pdf": (None, None, "A10FV012", 0), "x/B10PV018-REPIAR REPORT_REV1.xlsx": ("REPAIR REPORT", True, "B10PV018", 1), "DATA SHEEET.tif": ("DATA SHEET", True, None, None), "20LV009_INSTURMENT LIST.pdf": ("INSTRUMENT LIST", False, "A20LV009", None)}
+    rows = spark.createDataFrame([(c,) for c in cases], "t string").select("t", tags.parse_filename(F.col("t")).alias("n")).collect()
+    assert {r.t: (r.n.doc_kind, r.n.in_scope, r.n.tag, r.n.revision) for r in rows} == cases
+
+
+def test_compatible_forms(spark):
+    import unicodedata
+
+    odd = ["plain", "", None, "３００ ㎜", "ｃｍ²", "½ ﬁ ℃", "ﾊﾟ", "판독불가", "①Ⅳ…", "𝟙𝟚"]
+    rows = spark.createDataFrame([(x,) for x in odd], "t string").select("t", text.compat(F.col("t")).alias("c")).collect()
+    folded = lambda x: "".join(unicodedata.normalize("NFKC", ch) for ch in x)
+    assert [r.c for r in rows] == [x if x is None else folded(x) for x in odd]
 
 
 def test_dates_and_marks(spark):
-    cases = [("2003.5.7", (2003, 5, 7, False)), ("AUG 24, 1986", (1986, 8, 24, False)), ("24 AUG 1986", (1986, 8, 24, False)), ("13/02/1999", (1999, 2, 13, False)), ("03/02/1999", (1999, 3, 2, True)), ("rev 1986", (1986, 0, 0, False)), ("no", None)]
+    cases = [("2003.5.7", (2003, 5, 7, False)), ("AUG 24, 1986", (1986, 8, 24, False)), ("24 AUG 1986", (1986, 8, 24, False)), ("13/02/1999", (1999, 2, 13, False)), ("03/02/1999", (1999, 3, 2, True)), ("rev 1986", (1986, 0, 0, False)), ("24-AUG-1986", (1986, 0, 0, False)), ("２００３．５．７", (2003, 5, 7, False)), ("no", None)]
     rows = spark.createDataFrame([(c,) for c, _ in cases], "t string").select(tags.parse_date(F.col("t")).alias("d")).collect()
     assert [None if r.d is None else tuple(r.d) for r in rows] == [w for _, w in cases]
     marks = spark.createDataFrame([("OLD as-built",), ("As Built",), ("GOLD",)], "t string").select(tags.find_mark(F.col("t"))["mark"].alias("m")).collect()
