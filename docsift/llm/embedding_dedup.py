@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import dropped, stored
+from docsift.llm.common import dropped, small, stored
 from docsift.llm.components import Forest, components
 
 KEY_BITS = 62
@@ -270,5 +270,6 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, window: int = 5
     lowest = united.join(ids, "vec").groupBy("component").agg(F.min("low").alias("component_id"))
     told = ids.join(united.join(lowest, "component"), "vec", "left").join(counted, "vec", "left")
     told = told.select("vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "low").alias("component_id"))
-    named = marked.select("vec_id", "vec").join(told, "vec", "left")
+    # copies share a class: while the classes are few they go to the rows, and beyond that Spark splits the frequent ones
+    named = marked.select("vec_id", "vec").join(small(stored(told, "told")), "vec", "left")
     return named.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.col("vec_id").isNotNull() & (F.coalesce("component_id", "vec_id") == F.col("vec_id"))).alias("kept"))
