@@ -29,7 +29,7 @@ from docsift.llm.common import Cache, slices
 #: From here the 256 byte characters stand in a row; none of them is a blank or sentencepiece's own mark.
 FIRST = 0x4E00
 #: Bytes of each of the two caches of a task.
-CACHE = 24 << 20
+CACHE = 64 << 20
 #: Unicode white space, as the pattern's \s has it.
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 BLANK_ENDS = {*BLANKS}
