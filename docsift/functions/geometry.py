@@ -68,3 +68,29 @@ def absolute(b: Column, width: Column, height: Column) -> Column:
     """Page units: a box with no corner over 1 is normalised and scaled."""
     scale = F.greatest(*[b[c] for c in CORNERS]) <= 1
     return F.when(scale, box(b["x0"] * width, b["y0"] * height, b["x1"] * width, b["y1"] * height)).otherwise(b)
+
+
+def crop_box(b: Column, width: Column, height: Column) -> Column:
+    """Pixels around a normalised box to read again: from the left edge, so that the label is in it, with a margin above, below and right.
+
+    Null if a side is shorter than 8 pixels.
+    """
+    whole = lambda c: c.cast("int")
+    top, right, bottom = F.greatest(F.lit(0), whole((b["y0"] - 0.035) * height)), F.least(width, whole((b["x1"] + 0.08) * width)), F.least(height, whole((b["y1"] + 0.035) * height))
+    return F.when((right >= 8) & (bottom - top >= 8), F.struct(F.lit(0).alias("x0"), top.alias("y0"), right.alias("x1"), bottom.alias("y1")))
+
+
+def plan_scale(width: Column, height: Column, target: float, trigger: float = 0.5, most: float = 2.0) -> Column:
+    """The factor that brings a page's long edge to ``target``: larger pages shrink, those of ``trigger`` or less of it grow ``most`` times at most."""
+    edge = F.greatest(width, height)
+    factor = F.lit(float(target)) / edge
+    return F.when(edge > target, factor).when((edge > 0) & (edge <= target * trigger), F.least(F.lit(float(most)), factor)).when(edge > 0, 1.0)
+
+
+def setting(value: str | None, low: float, high: float, default: float, *, off: float | None = None) -> float:
+    """A number from a setting's text; the default where it is none, or out of range and not the value that switches it off."""
+    try:
+        number = float(value)
+    except (TypeError, ValueError):
+        return default
+    return number if low <= number <= high or number == off else default

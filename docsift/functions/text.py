@@ -260,3 +260,19 @@ def flow_coefficient(flow: Column, gravity: Column, drop: Column, factor: float
 def cache_key(content_hash: Column, page: Column, version: Column) -> Column:
     """The key under which a reader's answer is stored: it changes with content, page and reader version."""
     return F.sha2(F.concat(content_hash, F.lit("|p"), page.cast("string"), F.lit("|"), version), 256)
+
+
+#: Why a model gave no value, by the reason it states.
+ABSENCES = {
+    "no_evidence": "no evidence: the document lacks the item",
+    "unreadable": "not read: the item is there, its value can't be read",
+    "checkbox_ambiguous": "not read: no mark, several marks or an unclear one",
+}
+
+
+def absence_note(value: Column, absence: Column, row_text: Column, note: Column) -> Column:
+    """Why there is no value, then the row it was looked for in and the model's own note, joined by ' | '."""
+    table = F.create_map(*[F.lit(x) for pair in ABSENCES.items() for x in pair])
+    why = F.when(value.isNull(), F.coalesce(F.try_element_at(table, strip(absence)), F.lit("not found in the document")))
+    row = F.when(found(row_text), F.concat(F.lit("row: "), strip(row_text)))
+    return F.concat_ws(" | ", why, row, F.when(found(note), strip(note)))

@@ -14,6 +14,19 @@ def _known(c: Column) -> Column:
     return F.when(~F.upper(strip(c)).isin(*EMPTY_VALUES), c)
 
 
+def with_standard(rows: DataFrame, column: str, aliases: DataFrame, name: str | None = None) -> DataFrame:
+    """Adds the standard form of a value by its field's aliases (field_key, raw, to, ord), the value itself where none fits.
+
+    Unlike the normaliser's, the keys drop all punctuation, so FAIL-CLOSE is
+    FAIL CLOSE, and aliases for comparison only count.
+    """
+    name = name or f"{column}_std"
+    norm = lambda c: norm_label(compat(c))
+    table = aliases.select("field_key", norm(F.col("raw")).alias("norm_"), "to", "ord").groupBy("field_key", "norm_").agg(F.min_by("to", "ord").alias(name))
+    met = rows.withColumn("norm_", norm(F.col(column))).join(F.broadcast(table), ["field_key", "norm_"], "left")
+    return met.withColumn(name, F.coalesce(name, column)).drop("norm_")
+
+
 def crosscheck(vlm: DataFrame, text: DataFrame, wanted: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(doc_id, field_key, vlm_value, text_value, state): a full outer join within the fields wanted.
 
@@ -25,13 +38,7 @@ def crosscheck(vlm: DataFrame, text: DataFrame, wanted: DataFrame, aliases: Data
     met = a.join(b, ["doc_id", "field_key"], "full_outer").join(F.broadcast(wanted.select("field_key", "numeric")), "field_key")
     names = ["vlm_value", "text_value"]
     if aliases is not None:
-        # unlike the normaliser's, these keys drop all punctuation: FAIL-CLOSE is FAIL CLOSE
-        norm = lambda c: norm_label(compat(c))
-        table = aliases.select("field_key", norm(F.col("raw")).alias("norm"), "to", "ord").groupBy("field_key", "norm").agg(F.min_by("to", "ord").alias("to"))
-        for side in ("vlm", "text"):
-            own = F.broadcast(table.select("field_key", F.col("norm").alias(f"{side}_norm"), F.col("to").alias(f"{side}_std")))
-            met = met.withColumn(f"{side}_norm", norm(F.col(f"{side}_value"))).join(own, ["field_key", f"{side}_norm"], "left")
-        met = met.withColumns({f"{side}_std": F.coalesce(f"{side}_std", f"{side}_value") for side in ("vlm", "text")})
+        met = with_standard(with_standard(met, "vlm_value", aliases, "vlm_std"), "text_value", aliases, "text_std")
         names += ["vlm_std", "text_std"]
     met, forms = with_forms(met, *names)
     numeric = F.col("numeric")

@@ -47,6 +47,34 @@ def sections_at(points: DataFrame, marks: DataFrame, group: list[str]) -> DataFr
     return met.groupBy("point_id").agg(best.alias("section"))
 
 
+def bands_at(points: DataFrame, marks: DataFrame, group: list[str]) -> DataFrame:
+    """As ``sections_at``, with band: the column of the mark that governs the point. Points of one block share a band, not a section."""
+    met = points.join(marks.select(*group, "section", "lo", "hi", F.col("col").alias("mark_col"), F.col("ord").alias("mark_ord")), group, "left")
+    inside = (F.col("lo") <= F.col("pos")) & (F.col("pos") <= F.col("hi")) & (F.col("mark_col") < F.col("col"))
+    best = F.max_by(F.when(inside, F.struct("section", F.col("mark_col").alias("band"))), F.when(inside, F.struct("mark_col", -F.col("mark_ord"))))
+    return met.groupBy("point_id").agg(best.alias("m")).select("point_id", "m.section", "m.band")
+
+
+def section_marks(cells: DataFrame, merges: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Marks of a sheet: ranges merged over two rows or more whose text names a section.
+
+    (doc_id, page, section, lo, hi, col, ord, row, anchor_col): the rows the
+    range spans, its last column, and its first cell. Ranges within one row are
+    titles, not sections. ``aliases`` has alias and section.
+    """
+    known = F.broadcast(aliases.select(ascii_label(F.col("alias")).alias("norm"), "section").groupBy("norm").agg(F.min("section").alias("section")))
+    tall = merges.where("r1 > r0").withColumns({"row": F.col("r0"), "col": F.col("c0")})
+    met = tall.join(cells.select("doc_id", "page", "row", "col", "value"), ["doc_id", "page", "row", "col"])
+    met = met.withColumn("norm", ascii_label(F.col("value"))).join(known, "norm")
+    return met.select("doc_id", "page", "section", F.col("r0").alias("lo"), F.col("r1").alias("hi"), F.col("c1").alias("col"), (F.col("r0") * 16384 + F.col("c0")).alias("ord"), "row", F.col("c0").alias("anchor_col"))
+
+
+def without_marks(cells: DataFrame, marks: DataFrame) -> DataFrame:
+    """Cells that aren't the anchor of a section's mark, so that a mark is never read as a label."""
+    anchors = marks.select("doc_id", "page", "row", F.col("anchor_col").alias("col"))
+    return cells.join(anchors, ["doc_id", "page", "row", "col"], "left_anti")
+
+
 def section_bands(marks: DataFrame, group: list[str]) -> DataFrame:
     """Marks (centre, height) get lo and hi: the midpoints to their neighbours, mirrored at the outer ends."""
     order = Window.partitionBy(*group).orderBy("centre")

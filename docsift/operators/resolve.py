@@ -155,6 +155,36 @@ def apply_actions(records: DataFrame, actions: DataFrame) -> DataFrame:
     return met.select(*records.columns, undone.alias("action"), F.coalesce(human, F.col("value")).alias("final_value"), (((F.col("state") == "auto") & (F.col("safety") == "normal")) | undone.isNotNull()).alias("resolved"))
 
 
+def bulk_approve(records: DataFrame, actions: DataFrame) -> DataFrame:
+    """New actions that approve the automatic records of normal fields on which nobody has acted; safety and identity fields need a look."""
+    acted = actions.groupBy("doc_id", "field_key").agg(F.max_by("action", "seq").alias("action"), F.max("seq").alias("seq"))
+    met = records.where("state = 'auto' and safety = 'normal'").join(acted, ["doc_id", "field_key"], "left").where(F.col("action").isNull() | (F.col("action") == "undo"))
+    return met.select("doc_id", "field_key", (F.coalesce("seq", F.lit(0)) + 1).alias("seq"), F.lit("approve").alias("action"), F.lit(None).cast("string").alias("human_value"))
+
+
+def on_pages(extractions: DataFrame, picks: DataFrame) -> DataFrame:
+    """Extractions from the pages chosen (doc_id, page); a document for which none was chosen keeps all of its pages."""
+    chosen = picks.where("page is not null").groupBy("doc_id").agg(F.collect_set("page").alias("pages_"))
+    met = extractions.join(chosen, "doc_id", "left")
+    return met.where(F.col("pages_").isNull() | F.array_contains("pages_", F.col("page"))).drop("pages_")
+
+
+def retry(records: DataFrame, second: DataFrame, rules: RuleSet) -> DataFrame:
+    """Records with EXTRACTION failures resolved anew from a second reading (doc_id, field_key, raw_value, raw_label, confidence).
+
+    Adds retry_count and retry_changed; other failures are for people and are
+    not read again, nor is anything where the second reading found nothing.
+    """
+    again = second.select("doc_id", "field_key", *[F.col(c).alias(f"{c}_2") for c in ("raw_value", "raw_label", "confidence")])
+    met = records.join(again, ["doc_id", "field_key"], "left")
+    use = (F.col("failure") == "EXTRACTION") & found(F.col("raw_value_2"))
+    met = met.withColumns({"retry_count": F.when(use, 1).otherwise(0), "retry_changed": use & ~F.col("raw_value").eqNullSafe(F.col("raw_value_2"))})
+    kept = met.where("retry_count = 0").drop("raw_value_2", "raw_label_2", "confidence_2")
+    inputs = met.where("retry_count = 1").withColumns({c: F.col(f"{c}_2") for c in ("raw_value", "raw_label", "confidence")}).drop("raw_value_2", "raw_label_2", "confidence_2", "value", "how", "trace", "violations", "failure", "state")
+    redone = decide(failure(format_violations(normalise(inputs, rules), rules)))
+    return kept.unionByName(redone.select(*kept.columns))
+
+
 def replay(docs: DataFrame, stored: DataFrame) -> DataFrame:
     """Stored extractions of the documents asked for; one without any has an error row."""
     met = docs.select("doc_id").distinct().join(stored, "doc_id", "left")

@@ -748,27 +748,30 @@ def q43_cv_liquid(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(cv, 6).alias("cv"))
 
 
-def _log(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.col("event_id").cast("double").alias("ts"), F.col("event_type").alias("event"), F.lit("run").alias("run_id"), F.col("user_id").cast("string").alias("doc_id"), F.col("props").alias("payload"))
+def _as_log(events):
+    return events.select(F.col("event_id").cast("double").alias("ts"), F.col("event_type").alias("event"), F.lit("run").alias("run_id"), F.col("user_id").cast("string").alias("doc_id"), F.col("props").alias("payload"))
 
 
 @query("SELECT 'run' AS run_id, event_type AS counter, count(*) AS n FROM events GROUP BY event_type")
 def q44_event_counters(spark, sf_dir):
-    return stream.counters(_log(spark, sf_dir))
+    return stream.counters(_as_log(table(spark, sf_dir, "events")))
 
 
-@query("SELECT 'run' AS run_id, event_type AS counter, count(*) AS n FROM events GROUP BY event_type")
-def q45_events_stream_equals_batch(spark, sf_dir):
-    """The counters by a stream over the log's files, read until none is left."""
+def _stream(spark, sf_dir, aggregate, name):
+    """An aggregate by a stream over the files of the events, read until none is left."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = folder or tempfile.mkdtemp(prefix="docsift-")
-    name = f"counters_{abs(hash(sf_dir)) % 10**8}"
-    schema = table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    log = source.select(F.col("event_id").cast("double").alias("ts"), F.col("event_type").alias("event"), F.lit("run").alias("run_id"), F.col("user_id").cast("string").alias("doc_id"), F.col("props").alias("payload"))
-    return stream.drain(stream.counters(log), name, f"{folder}/{name}-{uuid.uuid4().hex}")
+    name = f"{name}_{uuid.uuid4().hex}"
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return stream.drain(aggregate(source), name, f"{folder}/{name}")
+
+
+@query("SELECT 'run' AS run_id, event_type AS counter, count(*) AS n FROM events GROUP BY event_type")
+def q45_events_stream_equals_batch(spark, sf_dir):
+    """The counters by a stream over the log's files."""
+    return _stream(spark, sf_dir, lambda source: stream.counters(_as_log(source)), "counters")
 
 
 def _skipped(spark, sf_dir):

@@ -15,6 +15,8 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsift.functions.text import norm_label
+
 #: What air-action notations stand for. The action on loss of air is the opposite of where air moves the valve.
 FAIL_MAP = (
     (("AIR TO OPEN", "AIR-TO-OPEN", "ATO", "A/O"), "FAIL CLOSE"),
@@ -70,6 +72,18 @@ DEFAULT = {
 }
 
 
+def set_guidance(path: str, key: str, text: str | None, by: str = "", today: str = "") -> str | None:
+    """Write a field's guidance to a YAML file, or remove it where the text is blank; returns what was there."""
+    file = Path(path)
+    doc = (yaml.safe_load(file.read_text(encoding="utf-8")) if file.exists() else None) or {}
+    fields = dict(doc.get("fields") or {})
+    before = fields.pop(key, None) or {}
+    if text and text.strip():
+        fields[key] = {"text": text.strip() + "\n"} | ({"by": by} if by else {}) | ({"updated": today} if today else {})
+    file.write_text(yaml.safe_dump(doc | {"fields": fields}, allow_unicode=True, sort_keys=False), encoding="utf-8")
+    return before.get("text")
+
+
 @dataclass
 class RuleSet:
     """Rules of one run; ``hashes`` tell which files they came from."""
@@ -99,6 +113,16 @@ class RuleSet:
         rows = [(i, f["key"], f["name"], bool(f.get("required")), f.get("safety", "normal"), f.get("source", "document"), bool(f.get("mvp")), float(f.get("threshold", 0.9)), bool(f.get("punctuation")), f.get("numeric")) for i, f in enumerate(self.rules["fields"])]
         return self._table(spark, rows, "ord int, field_key string, name string, required boolean, safety string, source string, mvp boolean, threshold double, punctuation boolean, numeric boolean")
 
+    def fields_of(self, spark: SparkSession, kind: str) -> DataFrame:
+        """The fields that are mvp or required, or that a person must see (human: safety and identity fields)."""
+        return self.fields(spark).where({"mvp": "mvp", "required": "required", "human": "safety <> 'normal'"}[kind])
+
+    def alias_index(self, spark: SparkSession, only_mvp: bool = False) -> DataFrame:
+        """(norm, field_key) of names and aliases; of fields that share one, the first defined has it."""
+        rows = [(i, str(a.get("label") if isinstance(a, dict) else a), f["key"]) for i, f in enumerate(self.rules["fields"]) if f.get("mvp") or not only_mvp for a in (f["name"], *(f.get("aliases") or []))]
+        terms = self._table(spark, rows, "ord int, term string, field_key string")
+        return F.broadcast(terms.groupBy(norm_label(F.col("term")).alias("norm")).agg(F.min_by("field_key", "ord").alias("field_key")))
+
     def labels(self, spark: SparkSession) -> DataFrame:
         """Names (confidence 1) before aliases (0.95), in field order; an alias may be {label, section}."""
         rows = []

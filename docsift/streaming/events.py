@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsift.functions.text import norm_alias
+
 EVENT = "ts double, event string, run_id string, doc_id string, payload string"
 
 
@@ -38,6 +40,28 @@ def last_actions(events: DataFrame) -> DataFrame:
     return action.groupBy("doc_id", "field_key").agg(F.max_by("action", "ts").alias("action"))
 
 
+def vocabulary_queue(events: DataFrame) -> DataFrame:
+    """Values that a stream of readings (ts, field_key, value) brings: n and the first spelling by normal form.
+
+    The state holds a row for each field and normal form, not for each reading.
+    """
+    norm = norm_alias(F.col("value"), F.lit(True))
+    return events.where(F.col("value").isNotNull()).groupBy("field_key", norm.alias("norm")).agg(F.count("*").alias("n"), F.min_by("value", F.struct("ts", "value")).alias("value"))
+
+
+def stage_events(records: DataFrame, run_id: str) -> DataFrame:
+    """The events of resolved records, from what the stages left in them: validation_failed, retry, state_resolved.
+
+    Nothing is emitted from executors; ts is left null for the sink to fill.
+    """
+    has_retry = "retry_count" in records.columns
+    failed = F.when(~F.col("failure").isin("NONE", "NO_EVIDENCE"), F.struct(F.lit("validation_failed").alias("event"), F.to_json(F.struct(F.col("field_key").alias("field"), F.col("failure").alias("kind"))).alias("payload")))
+    again = F.when(F.col("retry_count") > 0, F.struct(F.lit("retry").alias("event"), F.to_json(F.struct(F.col("field_key").alias("field"), F.col("retry_changed").alias("changed"))).alias("payload"))) if has_retry else None
+    state = F.struct(F.lit("state_resolved").alias("event"), F.to_json(F.struct(F.col("field_key").alias("field"), F.col("state"))).alias("payload"))
+    told = F.array_compact(F.array(failed, *([again] if has_retry else []), state))
+    return records.select(F.lit(None).cast("double").alias("ts"), F.col("doc_id").cast("string").alias("doc_id"), F.explode(told).alias("e")).select("ts", "e.event", F.lit(run_id).alias("run_id"), "doc_id", "e.payload")
+
+
 def drain(counted: DataFrame, name: str, checkpoint: str) -> DataFrame:
     """Run a streaming aggregate over what there is and return its complete result."""
     query = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
