@@ -20,8 +20,10 @@ from docsift.llm.common import small, stored
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
-#: Words that the dynamic programme gets, besides the shortest spare length, and the lengths it chooses from: half of them the shortest, half the longest.
-REST, MOST_LENGTHS = 1 << 16, 2048
+#: Words that are left to the dynamic programme, besides the shortest spare length; the second if the first don't do.
+RESTS = (1 << 12, 1 << 16)
+#: Lengths that it chooses from: half of them the shortest, half the longest.
+MOST_LENGTHS = 2048
 #: Rows of one source and length that are ranked together, on average, up to so many cells.
 CELL_ROWS, MOST_CELLS = 1024, 4096
 FITTED = "source string, size long, n long, source_size long, target double, copies int, extra long"
@@ -63,17 +65,28 @@ def nearest_sum(sizes: list[int], spare: list[int], left: int) -> list[int]:
 
 
 def fitted(sizes: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each length (positive, ascending) to take so that their words come nearest to ``budget``, which is below their sum."""
+    """How many documents of each length (positive, ascending) to take so that their words come near to ``budget``, which is below their sum.
+
+    All but the last words are taken in proportion to the counts, so that the
+    lengths keep their shares; more is left to the programme if it can't fit
+    what it has.
+    """
     total = sum(s * n for s, n in zip(sizes, counts, strict=True))
-    taken = [n * budget // total for n in counts]
-    left = budget - sum(s * k for s, k in zip(sizes, taken, strict=True))
-    for i in range(len(sizes) - 1, -1, -1):
-        if left - REST >= sizes[i]:
-            more = min(counts[i] - taken[i], (left - REST) // sizes[i])
-            taken[i] += more
-            left -= more * sizes[i]
-    last = nearest_sum(sizes, [n - k for n, k in zip(counts, taken, strict=True)], left)
-    return [a + b for a, b in zip(taken, last, strict=True)]
+    words = lambda taken: sum(s * k for s, k in zip(sizes, taken, strict=True))
+    tried = []
+    for rest in RESTS:
+        taken = [n * max(0, budget - rest) // total for n in counts]
+        left = budget - words(taken)
+        for i in range(len(sizes) - 1, -1, -1):
+            if left - rest >= sizes[i]:
+                more = min(counts[i] - taken[i], (left - rest) // sizes[i])
+                taken[i] += more
+                left -= more * sizes[i]
+        last = nearest_sum(sizes, [n - k for n, k in zip(counts, taken, strict=True)], left)
+        tried.append([a + b for a, b in zip(taken, last, strict=True)])
+        if words(tried[-1]) == budget or rest >= budget:
+            break
+    return min(tried, key=lambda taken: abs(words(taken) - budget))
 
 
 def _fit(frame: pd.DataFrame) -> pd.DataFrame:
