@@ -356,7 +356,7 @@ def _search_blocks(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def _grouped(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """The rows of similar_groups() with the class of their set."""
+    """The rows of similar_groups() with the class of their set, and the class that names their component: ids may be shared by several."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     profiles = stored(plain.mapInArrow(lambda b: _profiles(b, n), "kind int, doc long, n_shingles long, class long"), "profiles")
@@ -404,11 +404,12 @@ def _grouped(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     # components carry class hashes so far: name each by its smallest document
     named = classes.join(linked, "class").select("class", "root", "doc")
     lowest = named.groupBy("root").agg(F.min("doc").alias("component"))
-    named = named.join(lowest, "root").select("class", "component")
-    own = classes.join(named, "class", "left").select("class", F.coalesce("component", "doc").alias("component"))
+    named = named.join(lowest, "root").select("class", "component", "root")
+    own = classes.join(named, "class", "left").select("class", F.coalesce("component", "doc").alias("component"), F.coalesce("root", "class").alias("root"))
     lone = F.col("doc").alias("doc_id"), "class", "n_shingles"
     some, none = told.where("class is not null and doc is not null"), told.where("class is null or doc is null")
-    return some.join(own, "class").select(*lone, F.col("component").alias("component_id")).unionByName(none.select(*lone, F.col("doc").alias("component_id")))
+    some = some.join(own, "class").select(*lone, F.col("component").alias("component_id"), "root")
+    return some.unionByName(none.select(*lone, F.col("doc").alias("component_id"), F.lit(None).cast("long").alias("root")))
 
 
 def similar_groups(docs: DataFrame, *, n: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -421,15 +422,16 @@ def similar_groups(docs: DataFrame, *, n: int = 5, threshold: float = 0.8) -> Da
     nothing. Whole texts count, whatever their length. Other columns of
     ``docs`` are left alone. An empty table gives an empty result.
     """
-    return _grouped(docs, n, threshold).drop("class")
+    return _grouped(docs, n, threshold).drop("class", "root")
 
 
 def keep_one(docs: DataFrame, *, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row of ``docs`` for each group of similar documents: that with the smallest doc_id.
 
-    Rows that share a doc_id are judged by their own texts. If several of them
-    are in the group they name, repeats or not, the first by set and content
-    stays. Rows without id or without words have no group and stay.
+    Rows that share a doc_id are judged by their own texts: one of them stays
+    for each group that their id names, the first by set and content, so that
+    no text goes that is unlike all others. Rows without id or without words
+    have no group and stay.
     """
     found = _grouped(docs, n, threshold)
     judged = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(False))).alias("other"))
@@ -439,9 +441,9 @@ def keep_one(docs: DataFrame, *, n: int = 5, threshold: float = 0.8) -> DataFram
     mixed = judged.where("rows > 1").select(F.col("doc_id").alias("id"))
     if mixed.isEmpty():
         return kept
-    own = stored(found.where("class is not null").join(mixed, F.col("doc_id") == F.col("id")).select("id", "class", "component_id").distinct(), "repeated-ids")
+    own = stored(found.where("class is not null").join(mixed, F.col("doc_id") == F.col("id")).select("id", "class", "component_id", "root").distinct(), "repeated-ids")
     asked = docs.alias("d").join(small(stored(mixed, "ids")).alias("m"), F.col("d.doc_id") == F.col("m.id"), "left_semi")
     asked = asked.select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("row"), F.col("d.doc_id").alias("id"), named("d.text").alias("class"))
     chosen = asked.where("class is not null").join(own, ["id", "class"]).where("id = component_id")
-    chosen = chosen.groupBy("id").agg(F.min_by("row", F.struct("class", F.to_json(F.struct("row")))).alias("row"))
+    chosen = chosen.groupBy("id", "root").agg(F.min_by("row", F.struct("class", F.to_json(F.struct("row")))).alias("row"))
     return kept.unionByName(asked.where("class is null").select("row.*")).unionByName(chosen.select("row.*"))

@@ -123,6 +123,14 @@ def test_keep_one_judges_rows_of_one_id_by_their_text(spark):
     assert sorted(r.mark for r in got.collect()) == ["blank", "v", "x", "z"]
 
 
+def test_keep_one_keeps_each_text_of_an_id(spark):
+    """Two texts of one id that are unlike all others stay, and so does one of each of its groups."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(5, one, "x"), (5, two, "y"), (6, three, "z"), (9, two, "out"), (5, two + " more", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    assert sorted(r.mark for r in jaccard_join.keep_one(docs).collect()) == ["x", "y", "z"]
+
+
 def test_signatures_meet_for_similar_sets():
     rng = np.random.default_rng(5)
     for t in (0.8, 0.85):
