@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docsift.functions.text import ascii_label, bare_label, strip
+from docsift.functions.text import ascii_label, bare_label, found, strip
+from docsift.rules import RuleSet, plain_label
 
 
 def lookup_labels(labels: DataFrame, index: DataFrame, key: str = "label_id") -> DataFrame:
@@ -35,6 +38,26 @@ def lookup_labels(labels: DataFrame, index: DataFrame, key: str = "label_id") ->
     return first.select(key, "field_key", "confidence", "matched_on")
 
 
+def label_table(spark: SparkSession, rules: RuleSet) -> DataFrame:
+    """(norm, own, field_key, confidence): what each label of the rules names in each section; own is '' where no section is known.
+
+    It has as many rows as labels times sections, whatever the data, so it is
+    worked out once for a rule set and held as a local table.
+    """
+    if rules.label_rows is None:
+        rules.label_rows = [tuple(r) for r in _label_rows(spark, rules).collect()]
+    return spark.createDataFrame(rules.label_rows, "norm string, own string, field_key string, confidence double")
+
+
+def _label_rows(spark: SparkSession, rules: RuleSet) -> DataFrame:
+    allowed = rules.section_allowed()
+    sections = [(None, None), *((s, allowed.get(s)) for s in dict.fromkeys([*rules.section_names(), *allowed]))]
+    options = F.array(*[F.struct(F.lit(s).cast("string").alias("section"), (F.lit(None) if a is None else F.array(*map(F.lit, a))).cast("array<string>").alias("allowed")) for s, a in sections])
+    norms = rules.labels(spark).select(ascii_label(F.col("label")).alias("label")).where("label <> ''").distinct()
+    labels = norms.select("label", F.inline(options)).withColumn("label_id", F.struct(F.col("label").alias("norm"), F.coalesce("section", F.lit("")).alias("own")))
+    return labels.join(lookup_labels(labels, rules.labels(spark), "label_id"), "label_id", "left").select("label_id.*", "field_key", "confidence")
+
+
 def sections_at(points: DataFrame, marks: DataFrame, group: list[str]) -> DataFrame:
     """``points`` (group, pos, col) with the section of the nearest mark to the left whose range holds pos.
 
@@ -76,12 +99,11 @@ def without_marks(cells: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def section_bands(marks: DataFrame, group: list[str]) -> DataFrame:
-    """Marks (centre, height) get lo and hi: the midpoints to their neighbours, mirrored at the outer ends."""
+    """Marks (centre, height) get lo and hi: the midpoints to their neighbours, mirrored at the outer ends, a height off for one alone."""
     order = Window.partitionBy(*group).orderBy("centre")
     up, down = F.lag("centre").over(order), F.lead("centre").over(order)
     before, after = (F.col("centre") - up) / 2, (down - F.col("centre")) / 2
-    half = F.col("height") / 2
-    return marks.withColumns({"lo": F.col("centre") - F.coalesce(before, after, half), "hi": F.col("centre") + F.coalesce(after, before, half)})
+    return marks.withColumns({"lo": F.col("centre") - F.coalesce(before, after, "height"), "hi": F.col("centre") + F.coalesce(after, before, "height")})
 
 
 def longest_prefix(models: DataFrame, prefixes: DataFrame, key: str = "model_id") -> DataFrame:
@@ -92,18 +114,45 @@ def longest_prefix(models: DataFrame, prefixes: DataFrame, key: str = "model_id"
     return met.groupBy(key).agg(F.max_by("to", F.struct(F.length("prefix"), -F.col("ord"))).alias("maker"))
 
 
-def split_composites(values: DataFrame, composites: DataFrame, key: str = "value_id") -> DataFrame:
-    """(key, field_key, piece) of values whose label names several fields.
+PIECES = "array<struct<field_key:string,label:string,piece:string>>"
 
-    The parts must be as many as the fields; a null field drops its part.
+
+def names_composite(label: Column, rules: RuleSet) -> Column:
+    return ascii_label(label).isin(*rules.composite_rules())
+
+
+def composite_pieces(label: Column, value: Column, rules: RuleSet) -> Column:
+    """array<(field_key, label, piece)> of a value whose label names several fields; null where no rule fits it.
+
+    A rule's separator must give as many parts as it has fields, of which a
+    null one drops its part; a rule's pattern must match the whole value, and
+    its named groups are fields. Empty parts go. Rules become literals of one
+    CASE, so that each pattern is compiled once.
     """
-    rules = F.broadcast(composites.where("separator is not null").select(ascii_label(F.col("label")).alias("norm"), "separator", "fields"))
-    met = values.withColumn("norm", ascii_label(F.col("label"))).join(rules, "norm")
-    # a separator is literal text, so it's quoted for the pattern
-    parts = F.transform(F.split(F.col("value"), F.concat(F.lit(r"\Q"), F.col("separator"), F.lit(r"\E"))), strip)
-    pairs = F.arrays_zip(F.col("fields").alias("field_key"), parts.alias("piece"))
-    out = met.where(F.size(parts) == F.size("fields")).select(key, F.inline(pairs).alias("field_key", "piece"))
-    return out.where("field_key is not null and piece <> ''")
+    norm, whole = ascii_label(label), strip(value)
+    case = F.when(F.lit(False), F.array().cast(PIECES))
+    for key, rule in rules.composite_rules().items():
+        piece = lambda field, name, part: F.struct(F.lit(field).alias("field_key"), name.alias("label"), strip(part).alias("piece"))
+        if rule.get("pattern"):
+            # groups by number, as their names may hold what a Java group's can't
+            groups = re.compile(rule["pattern"]).groupindex
+            pattern = "^(?:" + re.sub(r"\(\?P=(\w+)\)", lambda m, g=groups: f"\\{g[m[1]]}", re.sub(r"\(\?P<\w+>", "(", rule["pattern"])) + ")$"
+            fits = whole.rlike(pattern)
+            parts = [piece(f, F.concat(label, F.lit(f" -> {f}")), F.regexp_extract(whole, pattern, i)) for f, i in groups.items()]
+        else:
+            sep, fields = rule.get("separator") or "/", rule.get("fields") or []
+            cut = F.split(value, r"\Q" + sep + r"\E")
+            names = [x.strip() for x in rule["label"].split(sep)]
+            fits = F.size(cut) == len(fields)
+            parts = [piece(f, F.lit(names[i]) if len(names) == len(fields) else label, F.get(cut, F.lit(i))) for i, f in enumerate(fields) if f is not None]
+        case = case.when((norm == key) & fits, F.filter(F.array(*parts).cast(PIECES), lambda p: p["piece"] != ""))
+    return case
+
+
+def split_composites(values: DataFrame, rules: RuleSet, key: str = "value_id") -> DataFrame:
+    """(key, field_key, piece) of values (key, label, value) whose label names several fields."""
+    pieces = composite_pieces(F.col("label"), F.col("value"), rules)
+    return values.select(key, F.inline(F.transform(pieces, lambda p: F.struct(p["field_key"].alias("field_key"), p["piece"].alias("piece")))))
 
 
 def is_unit(value: Column, units: list[str]) -> Column:
@@ -116,18 +165,24 @@ def is_unit(value: Column, units: list[str]) -> Column:
     return F.coalesce(up.isin(*known) | ((norm != "") & norm.isin(*[x for x in loose if x])) | note, F.lit(False))
 
 
-def carry_header(cells: DataFrame, group: list[str]) -> DataFrame:
+def header_kind(value: Column) -> Column:
+    """max, nor, min or design of a column's heading, else null."""
+    up = F.regexp_replace(F.upper(strip(value)), r"\.+$", "")
+    return F.when(up.isin("MAX", "MAXIMUM"), "max").when(up.isin("NOR", "NORM", "NORMAL"), "nor").when(up.isin("MIN", "MINIMUM"), "min").when(up.isin("DESIGN", "DES"), "design")
+
+
+def carry_header(cells: DataFrame, group: list[str], *, until_next: bool = False) -> DataFrame:
     """(group, row, anchor): the column of the last header row above that shows the normal operating value.
 
-    A header row names at least two of maximum, normal, minimum and design.
+    A header row names at least two of maximum, normal, minimum and design. One
+    without a normal column ends the one before it, or with ``until_next`` is
+    no header; a header row itself then has no anchor.
     """
-    up = F.upper(strip(F.col("value")))
-    kind = F.when(up.isin("MAX", "MAXIMUM"), "max").when(up.isin("NOR", "NORM", "NORMAL"), "nor").when(up.isin("MIN", "MINIMUM"), "min").when(up.isin("DESIGN", "DES"), "design")
-    rows = cells.withColumn("kind", kind).groupBy(*group, "row").agg(F.count_distinct("kind").alias("kinds"), F.min(F.when(F.col("kind") == "nor", F.col("col"))).alias("nor"))
-    # a header without a normal column ends the one before: -1 stands for none
-    here = F.when(F.col("kinds") >= 2, F.coalesce("nor", F.lit(-1)))
-    above = F.last(here, ignorenulls=True).over(Window.partitionBy(*group).orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.select(*group, "row", F.nullif(above, F.lit(-1)).alias("anchor"))
+    rows = cells.withColumn("kind", header_kind(F.col("value"))).groupBy(*group, "row").agg(F.count_distinct("kind").alias("kinds"), F.min(F.when(F.col("kind") == "nor", F.col("col"))).alias("nor"))
+    # -1 stands for a header without a normal column
+    here = F.when(F.col("kinds") >= 2, F.col("nor") if until_next else F.coalesce("nor", F.lit(-1)))
+    above = F.nullif(F.last(here, ignorenulls=True).over(Window.partitionBy(*group).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    return rows.select(*group, "row", (F.when(here.isNull(), above) if until_next else above).alias("anchor"))
 
 
 def first_hits(hits: DataFrame, order: list[str]) -> DataFrame:

@@ -7,6 +7,9 @@ document meet.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,11 +64,14 @@ def format_violations(rows: DataFrame, rules: RuleSet) -> DataFrame:
     """Adds violations (array, in rule order) to rows (field_key, value, required): required, numeric, tag, pattern, max_length."""
     formats = F.broadcast(rules.formats(rows.sparkSession))
     text = strip(F.col("value"))
+    # each field's pattern is a literal, so it is compiled once
+    patterns = {k: r["pattern"] for k, r in (rules.rules.get("format_rules") or {}).items() if r.get("pattern")}
+    misfits = reduce(or_, [(F.col("field_key") == k) & ~text.rlike(f"^(?:{p})$") for k, p in patterns.items()], F.lit(False))
     broken = F.array_compact(
         F.array(
             F.when(F.col("need_number") & (~text.rlike(r"\d") | text.rlike("[가-힣]")), "numeric"),
             F.when(F.col("need_tag") & parse_tag(text).isNull(), "tag"),
-            F.when(F.col("pattern").isNotNull() & ~F.regexp_like(text, F.concat(F.lit("^(?:"), F.coalesce("pattern", F.lit("")), F.lit(")$"))), "pattern"),
+            F.when(misfits, "pattern"),
             F.when(F.length(text) > F.col("max_length"), "max_length"),
         )
     )

@@ -252,7 +252,7 @@ FROM v WHERE contains(value, '/')
 def q13_composite_split(spark, sf_dir):
     value = F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit(" / "), F.col("p_size").cast("int").cast("string")))
     values = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("value_id"), F.lit("SIZE/RATING").alias("label"), value.alias("value"))
-    return lookup.split_composites(values, RuleSet().composites(spark))
+    return lookup.split_composites(values, RuleSet())
 
 
 @query(

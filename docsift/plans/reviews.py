@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from docsift.functions import geometry, tags, text
 from docsift.operators import evaluate, lookup, reports, resolve, triage
 from docsift.plans.catalog import GOLD_SQL, LINES, ORACLES, PATH_SQL, RECORDS_SQL, RUNS_SQL, _candidates, _paths, _runs, _stream, line_records, query, table
-from docsift.rules import RuleSet
-from docsift.sources import runlog
+from docsift.rules import DEFAULT, RuleSet
+from docsift.sources import layouts, runlog
 from docsift.streaming import events as stream
 
 
@@ -344,3 +344,92 @@ def q83_retry(spark, sf_dir):
     records = records.withColumn("failure", F.when((F.col("field_key") == "f5") & (F.col("failure") == "FORMAT"), "EXTRACTION").otherwise(F.col("failure")))
     second = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("f5").alias("field_key"), F.when(F.col("o_orderkey") % 2 == 0, "7 bar").otherwise(" ").alias("raw_value"), F.lit("Five").alias("raw_label"), F.lit(0.99).alias("confidence"))
     return resolve.retry(records, second, LINES).select("doc_id", "field_key", "value", "failure", "state", "retry_count", "retry_changed")
+
+
+#: Rules that add a label whose pattern names two fields, the second of them optional.
+PATTERNED = RuleSet(DEFAULT | {"composite_labels": [*DEFAULT["composite_labels"], {"label": "Brand (Type)", "pattern": r"(?P<maker>Brand#\d+)(?: \((?P<type_name>[^()]+)\))?"}]})
+
+
+@query(
+    """
+WITH v AS (SELECT p_partkey AS value_id, p_brand, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN ' ' || p_brand || ' (' || p_type || ')' WHEN 2 THEN p_brand || ' / ' || p_type ELSE p_type END AS value, p_type FROM part)
+SELECT value_id, 'maker' AS field_key, p_brand AS piece FROM v WHERE value_id % 4 < 2
+UNION ALL SELECT value_id, 'type_name', p_type FROM v WHERE value_id % 4 = 1
+"""
+)
+def q13b_composite_pattern(spark, sf_dir):
+    """A rule whose pattern has named groups, one of them optional; values that it doesn't match whole give nothing."""
+    k, brand, kind = F.col("p_partkey"), F.col("p_brand"), F.col("p_type")
+    value = F.when(k % 4 == 0, brand).when(k % 4 == 1, F.concat(F.lit(" "), brand, F.lit(" ("), kind, F.lit(")"))).when(k % 4 == 2, F.concat(brand, F.lit(" / "), kind)).otherwise(kind)
+    return lookup.split_composites(table(spark, sf_dir, "part").select(k.alias("value_id"), F.lit("brand (type)").alias("label"), value.alias("value")), PATTERNED)
+
+
+LABELS = ("Tag No", "Maker", "Rated Cv", "Size / Rating", "Body Size", "Spare part", "Fail Action")
+#: What each line of an order says where its label has the field it names, is split or has none; an order by 2 has a header, by 3 a section.
+SAID_SQL = f"""
+WITH l AS (SELECT l_orderkey AS d, l_linenumber AS k, {list(LABELS)}[l_linenumber] AS label, l_returnflag = 'A' AS unit, l_linenumber = 4 AND l_linestatus = 'O' AS split, l_partkey AS a, l_suppkey AS b,
+  ['tag', 'maker', 'rated_cv', NULL, 'body_size', NULL, 'fail_action'][l_linenumber] AS named, CAST(CASE WHEN l_linenumber < 3 THEN 0.95 ELSE 1.0 END AS DOUBLE) AS sure FROM lineitem),
+m AS (SELECT *, CASE WHEN d % 3 = 0 AND k <> 5 THEN NULL ELSE named END AS field_key, CASE WHEN split THEN a || ' / ' || b ELSE CAST(a AS VARCHAR) END AS va,
+  CASE WHEN split THEN b || ' / ' || a ELSE CAST(b AS VARCHAR) END AS vb, bool_or(split) OVER (PARTITION BY d) AS sized FROM l) """
+
+
+def _said(spark, sf_dir):
+    """Lines with a label and two values, as doc_id, k, label, unit, va, vb."""
+    line, a, b = table(spark, sf_dir, "lineitem"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    split = (F.col("l_linenumber") == 4) & (F.col("l_linestatus") == "O")
+    label = F.element_at(F.array(*map(F.lit, LABELS)), F.col("l_linenumber").cast("int"))
+    both = lambda x, y: F.when(split, F.concat(x, F.lit(" / "), y)).otherwise(x)
+    return line.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("k"), label.alias("label"), (F.col("l_returnflag") == "A").alias("unit"), both(a, b).alias("va"), both(b, a).alias("vb"))
+
+
+@query(
+    SAID_SQL
+    + """, v AS (SELECT *, CASE WHEN d % 2 = 0 THEN vb ELSE va END AS value, CASE WHEN d % 2 = 0 THEN va ELSE vb END AS other, CASE WHEN d % 2 = 0 THEN 'S!E' ELSE 'S!D' END || (k + 1) AS spot FROM m)
+SELECT d AS doc_id, field_key, value AS raw_value, label AS raw_label, sure AS confidence, spot AS source_locator, CASE WHEN d % 2 = 0 THEN 'NORMAL' END AS note FROM v WHERE field_key IS NOT NULL AND NOT (k = 5 AND sized)
+UNION ALL SELECT d, unnest(['body_size', 'rating']), unnest(string_split(value, ' / ')), unnest(['Size', 'Rating']), 0.95, spot, 'SPLIT Size / Rating' FROM v WHERE split
+UNION ALL SELECT d, NULL, value, label, NULL, 'S!B' || (k + 1), 'UNMAPPED' FROM v WHERE field_key IS NULL AND NOT split
+UNION ALL SELECT d, NULL, other, 'mm', NULL, 'S!C' || (k + 1), 'UNMAPPED' FROM v WHERE unit
+UNION ALL SELECT o_orderkey, NULL, 'Nor', 'Max', NULL, 'S!D1', 'UNMAPPED' FROM orders WHERE o_orderkey % 2 = 0
+"""
+)
+def q84_sheet_records(spark, sf_dir):
+    """A sheet for each order: lines as rows with a label, a unit and two columns of values, under a Max/Nor header and within a merged section's mark in some."""
+    cell = lambda row, col, value, string=True: F.struct(F.lit(row).cast("int").alias("row"), F.lit(col).alias("col"), value.alias("value"), F.lit(string).alias("is_string"))
+    page = [F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.lit("S").alias("sheet")]
+    row, d = F.col("k") + 1, F.col("doc_id")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    lines = F.array(cell(row, 2, F.col("label")), cell(row, 3, F.when(F.col("unit"), "mm")), cell(row, 4, F.col("va"), False), cell(row, 5, F.col("vb"), False))
+    head = F.array(cell(1, 4, F.when(d % 2 == 0, "Max")), cell(1, 5, F.when(d % 2 == 0, "Nor")), cell(2, 1, F.when(d % 3 == 0, "Valve body")))
+    cells = _said(spark, sf_dir).select(*page, F.inline(lines)).unionByName(orders.select(*page, F.inline(head))).where("value is not null")
+    merges = orders.where(d % 3 == 0).select(*page[:2], *[F.lit(v).alias(c) for c, v in (("r0", 2), ("c0", 1), ("r1", 8), ("c1", 1))])
+    found = layouts.grid_records(cells, merges, RuleSet())
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "field_key", "raw_value", "raw_label", "confidence", "source_locator", "note")
+
+
+@query(
+    SAID_SQL
+    + """, n AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY k) + CASE WHEN d % 2 = 0 THEN 1 ELSE 0 END AS line, d % 2 = 0 AND d % 3 <> 1 AS normal, CASE WHEN unit THEN 1 ELSE 0 END AS u FROM m),
+v AS (SELECT *, CASE WHEN k = 2 THEN 'M' || a WHEN normal THEN vb ELSE va END AS value, 'p1:L' || line || ':c' AS spot, CASE WHEN normal THEN 3 ELSE 2 END + u AS c FROM n)
+SELECT d AS doc_id, field_key, value AS raw_value, label AS raw_label, sure AS confidence, spot || CASE WHEN k = 2 THEN 1 ELSE c END AS source_locator, CASE WHEN normal AND k <> 2 THEN 'NORMAL' END AS note
+FROM v WHERE field_key IS NOT NULL AND NOT (k = 5 AND sized)
+UNION ALL SELECT d, unnest(['body_size', 'rating']), unnest(string_split(value, ' / ')), unnest(['Size', 'Rating']), 0.95, spot || c, 'SPLIT Size / Rating' FROM v WHERE split
+UNION ALL SELECT d, NULL, value, label, NULL, spot || 1, 'UNMAPPED' FROM v WHERE field_key IS NULL AND NOT split
+UNION ALL SELECT d, NULL, CASE WHEN normal THEN vb ELSE va END, 'mm', NULL, spot || 2, 'UNMAPPED' FROM v WHERE unit
+"""
+)
+def q85_span_records(spark, sf_dir):
+    """A page for each order: labels with values to the right or behind a colon, a header that counts in its own block, and turned text that names a section."""
+    k, d = F.col("k"), F.col("doc_id")
+
+    def span(x, y, text, turned=False):
+        box = [F.lit(float(x)).alias("x0"), F.lit(y).cast("double").alias("y0"), F.lit(x + 20.0).alias("x1"), (F.lit(y) + (170 if turned else 8)).cast("double").alias("y1")]
+        return F.struct(*box, text.alias("text"), F.lit(0.0 if turned else 1.0).alias("dir_x"), F.lit(-1.0 if turned else 0.0).alias("dir_y"))
+
+    page = [d.cast("string").alias("doc_id"), F.lit(1).alias("page")]
+    y, label = 20 * k + 10, F.when(k == 2, F.concat("label", F.lit(" : M"), "va")).otherwise(F.col("label"))
+    lines = F.array(span(90, y, label), span(140, y + 1, F.when(F.col("unit"), "mm")), span(200, y, F.col("va")), span(262, y, F.col("vb")))
+    head = F.array(span(200, 5, F.when(d % 2 == 0, "MAX.")), span(260, 5, F.when(d % 2 == 0, "Normal")), span(57, 0, F.when(d % 3 == 0, "VALVE BODY"), True), span(150, 0, F.when(d % 3 == 1, "ACTUATOR"), True))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    spans = _said(spark, sf_dir).select(*page, F.inline(lines)).unionByName(orders.select(*page, F.inline(head))).where("text is not null")
+    found = layouts.span_records(spans, RuleSet())
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "field_key", "raw_value", "raw_label", "confidence", "source_locator", "note")

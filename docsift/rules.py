@@ -8,6 +8,7 @@ few hundred rows, which is what makes broadcasting them safe.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -39,6 +40,11 @@ TAG_KINDS = {
 }
 
 
+def plain_label(label: object) -> str:
+    """Upper case ASCII letters and digits, as ``functions.text.ascii_label``."""
+    return re.sub("[^0-9A-Z]+", "", str(label or "").upper())
+
+
 def _field(key, name, *, aliases=(), required=False, safety="normal", source="document", mvp=True, threshold=0.9, **more):
     return {"key": key, "name": name, "aliases": list(aliases), "required": required, "safety": safety, "source": source, "mvp": mvp, "threshold": threshold} | more
 
@@ -90,6 +96,7 @@ class RuleSet:
 
     rules: dict = field(default_factory=lambda: DEFAULT)
     hashes: dict = field(default_factory=dict)
+    label_rows: list | None = field(default=None, repr=False, compare=False)
 
     @classmethod
     def load(cls, fields: str, rules: str, guidance: str | None = None) -> RuleSet:
@@ -124,13 +131,19 @@ class RuleSet:
         return F.broadcast(terms.groupBy(norm_label(F.col("term")).alias("norm")).agg(F.min_by("field_key", "ord").alias("field_key")))
 
     def labels(self, spark: SparkSession) -> DataFrame:
-        """Names (confidence 1) before aliases (0.95), in field order; an alias may be {label, section}."""
-        rows = []
+        """Names (confidence 1) before aliases (0.95), in field order; an alias may be {label, section}.
+
+        An alias that begins with a section's name is also, without it, an
+        alias within that section, where three characters or more are left.
+        """
+        rows, prefixes = [], {plain_label(a): s for a, s in self.section_names(by_alias=True).items()}
         for i, f in enumerate(self.rules["fields"]):
             rows.append((f["name"], f["key"], None, 1.0, "name", i * 1000))
             for k, a in enumerate(f.get("aliases") or []):
                 label, section = (a.get("label"), a.get("section")) if isinstance(a, dict) else (a, None)
                 rows.append((label, f["key"], section, 0.95, "alias", 1_000_000 + i * 1000 + k))
+                norm = plain_label(label)
+                rows += [(norm[len(p) :], f["key"], s, 0.95, "alias", 1_000_000 + i * 1000 + k) for p, s in prefixes.items() if p and norm.startswith(p) and len(norm) - len(p) >= 3]
         return self._table(spark, rows, "label string, field_key string, section string, confidence double, matched_on string, ord int")
 
     def aliases(self, spark: SparkSession) -> DataFrame:
@@ -162,19 +175,27 @@ class RuleSet:
         return self._table(spark, rows, "field_key string, value string, correctable boolean")
 
     def composites(self, spark: SparkSession) -> DataFrame:
-        """Of entries with one label the last wins."""
-        last = {}
-        for i, c in enumerate(self.rules.get("composite_labels") or []):
-            last[c["label"]] = (i, c["label"], c.get("separator"), c.get("fields"), c.get("pattern"))
-        return self._table(spark, [*last.values()], "ord int, label string, separator string, fields array<string>, pattern string")
+        return self._table(spark, [(c["label"],) for c in self.composite_rules().values()], "label string")
+
+    def composite_rules(self) -> dict[str, dict]:
+        """Rules for labels of several fields by plain label; of entries with one label the last wins."""
+        return {plain_label(c["label"]): c for c in self.rules.get("composite_labels") or []}
+
+    def section_names(self, by_alias: bool = False):
+        """The sections that aliases name, or the aliases with their sections."""
+        aliases = (self.rules.get("sections") or {}).get("aliases") or {}
+        return dict(aliases) if by_alias else [*dict.fromkeys(aliases.values())]
+
+    def section_allowed(self) -> dict[str, list[str]]:
+        block = self.rules.get("sections") or {}
+        return {k: list(v or []) for k, v in (block.get("allowed") or block.get("fields") or {}).items()}
 
     def section_aliases(self, spark: SparkSession) -> DataFrame:
         return self._table(spark, [*(self.rules["sections"].get("aliases") or {}).items()], "alias string, section string")
 
     def section_fields(self, spark: SparkSession) -> DataFrame:
         """A section without a row allows every field; an empty list allows none."""
-        allowed = self.rules["sections"].get("allowed") or self.rules["sections"].get("fields") or {}
-        return self._table(spark, [(k, list(v or [])) for k, v in allowed.items()], "section string, allowed array<string>")
+        return self._table(spark, [*self.section_allowed().items()], "section string, allowed array<string>")
 
     def derived(self, spark: SparkSession) -> DataFrame:
         block = self.rules.get("derived_fields") or {}

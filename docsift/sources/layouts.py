@@ -1,26 +1,88 @@
 """Records from cell grids and positioned text spans.
 
-A cell that serves as a value can't serve again, so the scan of a document has
-an order; each document is one group of bounded size.
+Joins tell what a cell could be: its section, the field its label names there,
+a label of any kind, a unit, the normal operating column of its row. What is
+left is the choice of values, which has an order, as a cell that serves as a
+value can't serve again; it is made sheet by sheet and page by page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import namedtuple
+from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from docsift.functions.text import ascii_label, bare_label, strip
+from docsift.operators import lookup
+from docsift.operators.triage import has_text_layer
+from docsift.rules import RuleSet
 
 RIGHT, DOWN, PROBE, LABEL_CHARS = 4, 2, 15, 60
-ROW_TOLERANCE, NEIGHBOURS = 3.0, 6
-FOUND = "doc_id string, field_key string, raw_value string, raw_label string, page int, source_locator string, confidence double, note string"
+ROW_TOLERANCE, NEIGHBOURS, COLUMN_TOLERANCE = 3.0, 6, 12.0
+MARK_CHARS, BAND_TOLERANCE = 3, 24.0
+BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
+READING = ("doc_id", "page", "field_key", "raw_value", "raw_label", "confidence", "source_locator", "bbox", "note")
+CHOSEN = "doc_id string, page int, place string, label string, field_key string, confidence double, value string, value_place string, rest boolean, line int, item int, bbox " + BOX + ", normal_used boolean"
+NUMERIC = re.compile(r"^[\d.,/%\s+-]+$")
+
+
+def _scanned(batches, scan):
+    """The rows of ``scan`` for each document and page; both come together, and in order, in a partition."""
+
+    def rows():
+        for batch in batches:
+            row = namedtuple("row", batch.schema.names)
+            yield from map(row._make, zip(*(c.to_pylist() for c in batch.columns), strict=True))
+
+    out = []
+    for _, page in groupby(rows(), key=lambda r: (r.doc_id, r.page)):
+        out += scan([*page])
+        if len(out) >= 10_000:
+            yield _batch(out)
+            out = []
+    if out:
+        yield _batch(out)
+
+
+def _batch(rows: list) -> pa.RecordBatch:
+    text, box = pa.string(), pa.struct([(c, pa.float64()) for c in ("x0", "y0", "x1", "y1")])
+    kinds = [text, pa.int32(), text, text, text, pa.float64(), text, text, pa.bool_(), pa.int32(), pa.int32(), box, pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in CHOSEN[: CHOSEN.index(" bbox")].split(", ") if c] + ["bbox", "normal_used"])
+
 
+def by_page(cells: DataFrame, order: list[str], scan) -> DataFrame:
+    """One pass over the pages of each partition; a page is held at a time."""
+    placed = cells.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", *order)
+    return placed.mapInArrow(lambda b: _scanned(b, scan), CHOSEN)
 
-def _norm(text) -> str:
-    return re.sub("[^0-9A-Z]+", "", str(text or "").upper())
 
+def labelled(cells: DataFrame, text: Column, rules: RuleSet) -> DataFrame:
+    """Adds field_key and confidence of a cell's label in its ``section``, and ``stop`` where the text names a field anywhere.
 
-def _letters(col: int) -> str:
+    The index of labels is resolved for each section beforehand, so that cells
+    meet it by broadcast joins alone. The label without parentheses counts only
+    where the whole isn't in the index.
+    """
+    index = F.broadcast(lookup.label_table(cells.sparkSession, rules))
+    norms = F.broadcast(index.select("norm").distinct())
+    full, bare = ascii_label(text), ascii_label(bare_label(F.coalesce(text, F.lit(""))))
+    met = cells.withColumns({"full": full, "bare": bare}).join(norms.select(F.col("norm").alias("full"), F.lit(True).alias("whole")), "full", "left")
+    met = met.withColumn("norm", F.when(F.col("whole"), F.col("full")).otherwise(F.col("bare")))
+    own = index.where("field_key is not null").select("norm", F.col("own").alias("in_section"), "field_key", "confidence")
+    met = met.withColumn("in_section", F.coalesce("section", F.lit(""))).join(own, ["norm", "in_section"], "left")
+    stops = index.where("own = '' and field_key is not null").select("norm", F.lit(True).alias("stop"))
+    return met.join(stops, "norm", "left").withColumn("stop", F.coalesce("stop", F.lit(False))).drop("norm", "full", "bare", "whole", "in_section")
+
+
+def is_label(text: Column) -> Column:
+    return F.coalesce((F.length(text) <= LABEL_CHARS) & text.rlike(r"\p{L}"), F.lit(False))
+
+
+def letters(col: int) -> str:
     out = ""
     while col:
         col, rest = divmod(col - 1, 26)
@@ -28,112 +90,206 @@ def _letters(col: int) -> str:
     return out
 
 
-def label_names(labels: list[dict]) -> dict[str, tuple[str, float]]:
-    """Normal label -> (field, confidence) of those that name one field, names before aliases."""
-    found: dict[str, list[dict]] = {}
-    for row in sorted(labels, key=lambda r: r["ord"]):
-        found.setdefault(_norm(row["label"]), []).append(row)
-    single = lambda rows: len({r["field_key"] for r in rows}) == 1 or rows[0]["matched_on"] == "name"
-    return {n: (rows[0]["field_key"], rows[0]["confidence"]) for n, rows in found.items() if single(rows)}
+def _value_of(cell, grid: dict, taken: set, normal: int | None):
+    """The place of a label's value: the normal column, then the right, then below."""
+    free = lambda spot: spot not in taken and spot in grid and not grid[spot].unit
+    if normal is not None and normal > cell.right:
+        spot = (cell.row, normal)
+        # a merged cell that only passes through the column is no part of the block
+        if free(spot) and grid[spot].col == normal and not grid[spot].stop:
+            return spot
+    for k in range(1, RIGHT + 1):
+        spot = (cell.row, cell.right + k)
+        if free(spot):
+            if grid[spot].stop:
+                break
+            return spot
+    for k in range(1, DOWN + 1):
+        row, col = spot = (cell.bottom + k, cell.col)
+        if free(spot):
+            beside = [(row, c) for c in (*range(col + 1, col + PROBE + 1), *([normal] if normal is not None and normal > col else []))]
+            # what has a value beside it is the next row's label
+            if grid[spot].stop or any(s in grid and not grid[s].unit for s in beside):
+                break
+            return spot
+    return None
+
 
+def _sheet(cells: list):
+    """The cells of one sheet, in order, that are labels, each with its value."""
+    last, grid, taken = cells[-1].row + DOWN, {}, set()
+    for cell in cells:
+        for r in range(cell.row, min(cell.bottom, last) + 1):
+            for c in range(cell.col, cell.right + 1):
+                grid.setdefault((r, c), cell)
+    normals = {c.row: c.anchor for c in cells}
+    # what is known chooses first
+    for known in (True, False):
+        for cell in cells:
+            at = (cell.row, cell.col)
+            if not cell.ask or bool(cell.known) != known or at in taken or grid[at] is not cell:
+                continue
+            spot = _value_of(cell, grid, taken, normals.get(cell.row))
+            value = grid[spot].text if spot else None
+            if spot:
+                taken.add(spot)
+            name = lambda s, sheet=cell.sheet: f"{sheet}!{letters(s[1])}{s[0]}"
+            yield cell.doc_id, cell.page, name(at), cell.text, cell.field_key, cell.confidence, value, name(spot or at), not known, *at, None, spot is not None and spot[1] == normals.get(cell.row)
 
-def grid_records(cells: DataFrame, labels: list[dict], units: list[str]) -> DataFrame:
-    """Fields of cell grids (doc_id, page, sheet, row, col, right, bottom, value, is_string).
 
-    ``right`` and ``bottom`` are the ends of the cell's merged range, else its
-    own place. A value is sought up to four columns to the right of a label,
-    then two rows below; units and claimed cells are skipped, and another label
-    ends the search. Rows with a null field_key are labels without a field.
+def _readings(chosen: DataFrame, rules: RuleSet) -> DataFrame:
+    """Chosen values as records and, with a null field_key, labels without a field.
+
+    A label of several fields gives a record for each part; parts of fields
+    that the rules lack are told in the note. Of a field's records the first in
+    scan order stays. A label without a value is a record at confidence 0, note
+    EMPTY.
     """
-    names = label_names(labels)
-    skip = {_norm(u) for u in units} - {""}
-
-    def unit(text):
-        return _norm(text) in skip or str(text).strip().upper() in {u.upper() for u in units}
-
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        out, seen = [], set()
-        for (page, sheet), part in frame.groupby(["page", "sheet"], sort=True):
-            grid = {(int(r), int(c)): v for r, c, v in zip(part["row"], part["col"], part["value"], strict=True) if str(v).strip()}
-            claimed = set()
-            rows = sorted(part.to_dict("records"), key=lambda x: (x["row"], x["col"]))
-            asks = [x for x in rows if x["is_string"] and len(str(x["value"])) <= LABEL_CHARS and re.search(r"[^\W\d_]", str(x["value"]))]
-            # known labels choose first
-            for known in (True, False):
-                for x in asks:
-                    name = names.get(_norm(x["value"]))
-                    at = (int(x["row"]), int(x["col"]))
-                    if (name is not None) != known or at in claimed:
-                        continue
-                    lines = [[(at[0], int(x["right"]) + k) for k in range(1, RIGHT + 1)], [(int(x["bottom"]) + k, at[1]) for k in range(1, DOWN + 1)]]
-                    value = None
-                    for below, line in enumerate(lines):
-                        for spot in line:
-                            text = grid.get(spot)
-                            if text is None or spot in claimed or unit(text):
-                                continue
-                            owns = below and any((spot[0], c) in grid for c in range(spot[1] + 1, spot[1] + PROBE + 1))
-                            if _norm(text) in names or owns:
-                                break
-                            value = spot
-                            break
-                        if value:
-                            break
-                    key = name[0] if name else None
-                    if value is None or key in seen:
-                        continue
-                    claimed.add(value)
-                    if key:
-                        seen.add(key)
-                    out.append((x["doc_id"], key, str(grid[value]), str(x["value"]), int(page), f"{sheet}!{_letters(value[1])}{value[0]}", name[1] if name else None, None if name else "UNMAPPED"))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
-
-    return cells.groupBy("doc_id").applyInPandas(scan, FOUND)
-
-
-def text_rows(spans: list[dict]) -> list[list[dict]]:
-    """Upright spans as lines: a line takes spans whose top is near its first one's."""
-    lines: list[list[dict]] = []
-    for s in sorted((s for s in spans if abs(s["dir_y"]) < 0.5), key=lambda s: (round(s["y0"], 1), s["x0"])):
-        if lines and abs(s["y0"] - lines[-1][0]["y0"]) <= ROW_TOLERANCE:
+    keys = [f["key"] for f in rules.rules["fields"]]
+    parts = F.when(lookup.found(F.col("value")), lookup.composite_pieces(F.col("label"), F.col("value"), rules))
+    whole = F.when(F.col("field_key").isNotNull() | F.col("value").isNotNull(), F.array(F.struct("field_key", F.col("label").alias("label"), F.col("value").alias("piece"))))
+    split = F.transform("parts", lambda p: F.struct(F.when(p["field_key"].isin(keys), p["field_key"]).alias("field_key"), p["label"].alias("label"), p["piece"].alias("piece")))
+    unused = F.array_join(F.transform(F.filter("parts", lambda p: ~p["field_key"].isin(keys)), lambda p: F.concat(p["field_key"], F.lit("="), p["piece"])), ", ")
+    note = F.when(F.col("parts").isNotNull(), F.concat(F.lit("SPLIT "), "label", F.when(unused != "", F.concat(F.lit(" | unused "), unused)).otherwise("")))
+    note = note.when(F.col("field_key").isNull(), "UNMAPPED").when(F.col("value").isNull(), "EMPTY").when(F.col("normal_used"), "NORMAL")
+    sure = F.when(F.col("parts").isNotNull(), 0.95).when(F.col("value").isNull(), 0.0).otherwise(F.col("confidence"))
+    told = chosen.withColumn("parts", parts).withColumn("note", note).withColumn("sure", sure)
+    rows = told.select("doc_id", "page", "place", "value_place", "rest", "line", "item", "bbox", "note", "sure", F.col("parts").isNotNull().alias("split"), F.posexplode(F.coalesce(F.when(F.col("parts").isNotNull(), split), whole)).alias("ord", "p"))
+    told = [F.col("p.field_key").alias("field_key"), F.col("p.piece").alias("raw_value"), F.col("p.label").alias("raw_label"), F.when(F.col("p.field_key").isNotNull(), F.col("sure")).alias("confidence")]
+    at = F.when(F.col("p.field_key").isNull() & ~F.col("split"), F.col("place")).otherwise(F.col("value_place")).alias("source_locator")
+    rows = rows.select("doc_id", "page", *told, at, "bbox", F.when(F.col("p.field_key").isNull(), "UNMAPPED").otherwise(F.col("note")).alias("note"), "rest", "line", "item", "ord")
+    first = F.row_number().over(Window.partitionBy("doc_id", "field_key").orderBy("page", "rest", "line", "item", "ord"))
+    return rows.withColumn("first", first).where("first = 1 and field_key is not null or field_key is null and raw_value is not null").select(*READING)
+
+
+def grid_records(cells: DataFrame, merges: DataFrame, rules: RuleSet) -> DataFrame:
+    """Readings of sheets from cells (doc_id, page, sheet, row, col, value, is_string) and merged ranges (doc_id, page, r0, c0, r1, c1).
+
+    Ranges merged over rows that name a section rule the labels to their right.
+    A value is sought in the normal operating column where a header above names
+    one, then up to four columns to the right, then two rows below; units and
+    claimed cells are skipped, and another label ends the search. Labels that
+    name a field choose before the others.
+    """
+    spark = cells.sparkSession
+    place = ["doc_id", "page", "row", "col"]
+    cells = cells.withColumn("text", strip(F.col("value"))).where("text <> ''")
+    marks = lookup.section_marks(cells, merges, rules.section_aliases(spark))
+    ends = merges.groupBy("doc_id", "page", F.col("r0").alias("row"), F.col("c0").alias("col")).agg(F.max("c1").alias("right"), F.max("r1").alias("bottom"))
+    anchors = marks.select("doc_id", "page", "row", F.col("anchor_col").alias("col"), F.lit(True).alias("mark"))
+    at = lookup.sections_at(cells.select(F.struct(*place).alias("point_id"), "doc_id", "page", F.col("row").alias("pos"), "col"), marks, ["doc_id", "page"])
+    grid = cells.join(ends, place, "left").join(anchors, place, "left").join(at.select("point_id.*", "section"), place, "left")
+    grid = grid.withColumns({"right": F.coalesce("right", "col"), "bottom": F.coalesce("bottom", "row")})
+    text = F.col("text")
+    composite = lookup.names_composite(text, rules)
+    grid = labelled(grid, text, rules)
+    grid = grid.withColumns({"unit": lookup.is_unit(text, rules.units()), "ask": F.col("is_string") & is_label(text) & F.col("mark").isNull(), "known": F.col("is_string") & (F.col("field_key").isNotNull() | composite)})
+    headed = lookup.carry_header(cells, ["doc_id", "page"], until_next=True)
+    grid = grid.join(headed, ["doc_id", "page", "row"], "left")
+    grid = grid.select(*place, "sheet", "text", "right", "bottom", "field_key", "confidence", "stop", "unit", "ask", "known", "anchor")
+    return _readings(by_page(grid, ["row", "col"], _sheet), rules)
+
+
+def text_rows(spans: list) -> list[list]:
+    """Spans as lines: a line takes spans whose top is near its first one's."""
+    lines: list[list] = []
+    for s in sorted(spans, key=lambda s: (round(s.y0, 1), s.x0)):
+        if lines and abs(s.y0 - lines[-1][0].y0) <= ROW_TOLERANCE:
             lines[-1].append(s)
         else:
             lines.append([s])
-    return [sorted(line, key=lambda s: s["x0"]) for line in lines]
+    return [sorted(line, key=lambda s: s.x0) for line in lines]
+
+
+def _beside(line: list, k: int, anchor: float | None) -> int | None:
+    """The place of a label's value in its line: near the normal column, else the first to the right."""
+    found = []
+    for j in range(k + 1, min(len(line), k + 1 + NEIGHBOURS)):
+        s = line[j]
+        if not s.worded or s.unit:
+            continue
+        if s.stop:
+            break
+        found.append(j)
+    owns = lambda j: not NUMERIC.match(line[j].text) and any(s.worded and not s.unit for s in line[j + 1 : j + 3])
+    near = [j for j in found if anchor is not None and abs(line[j].x0 - anchor) <= COLUMN_TOLERANCE and not owns(j)]
+    return next(iter(near or found), None)
+
 
+def _page(spans: list):
+    """The spans of one page that are labels, each with its value."""
+    anchor = anchor_band = None
+    for n, line in enumerate(text_rows(spans), 1):
+        heads = {}
+        for s in line:
+            if s.head:
+                heads.setdefault(s.head, s)
+        if len(heads) >= 2 and "nor" in heads:
+            anchor, anchor_band = heads["nor"].x0, heads["nor"].head_band
+            continue
+        taken = set()
+        for k, s in enumerate(line):
+            if k in taken or not s.ask:
+                continue
+            # a header rules only the block it stands in
+            use = anchor if not s.banded or s.band == anchor_band else None
+            spot, value = (k, s.right_text) if s.right_text else (_beside(line, k, use), None)
+            if spot is not None and value is None:
+                taken.add(spot)
+                value = line[spot].text
+            place = lambda j, s=s, n=n: f"p{s.page}:L{n}:c{j + 1}"
+            box = line[k if spot is None else spot]
+            near = use is not None and spot is not None and abs(box.x0 - use) <= COLUMN_TOLERANCE
+            yield s.doc_id, s.page, place(k), s.label, s.field_key, s.confidence, value, place(k if spot is None else spot), False, n, k, {c: getattr(box, c) for c in ("x0", "y0", "x1", "y1")}, near
 
-def span_records(spans: DataFrame, labels: list[dict], units: list[str]) -> DataFrame:
-    """Fields of positioned spans (doc_id, page, x0, y0, x1, y1, text, dir_x, dir_y).
 
-    ``Label : value`` in one span, else the nearest of six spans to the right;
-    units are skipped, and another label ends the search.
+def span_marks(spans: DataFrame, rules: RuleSet) -> DataFrame:
+    """Sections named by turned text: (doc_id, page, section, lo, hi, col, ord).
+
+    Marks that stand in one margin, within 24 points of its first, share it:
+    the bounds between them lie halfway between their centres.
     """
-    names = label_names(labels)
-    skip = {_norm(u) for u in units} - {""}
-
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        out, seen = [], set()
-        for page, part in frame.groupby("page", sort=True):
-            for n, line in enumerate(text_rows(part.to_dict("records"))):
-                taken = set()
-                for k, s in enumerate(line):
-                    label, colon, rest = str(s["text"]).partition(":")
-                    name = names.get(_norm(label))
-                    if name is None or k in taken or name[0] in seen:
-                        continue
-                    value, place = (rest.strip(), k) if colon and rest.strip() else (None, None)
-                    for j in range(k + 1, min(k + 1 + NEIGHBOURS, len(line))) if value is None else ():
-                        text = str(line[j]["text"]).strip().lstrip(":").strip()
-                        if not text or j in taken or _norm(text) in skip:
-                            continue
-                        if _norm(text.partition(":")[0]) not in names:
-                            value, place = text, j
-                        break
-                    if value is None:
-                        continue
-                    taken.add(place)
-                    seen.add(name[0])
-                    out.append((s["doc_id"], name[0], value, label.strip(), int(page), f"p{page}:L{n}:c{place}", name[1], None))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
-
-    return spans.groupBy("doc_id").applyInPandas(scan, FOUND)
+    spark = spans.sparkSession
+    known = F.broadcast(rules.section_aliases(spark).select(ascii_label(F.col("alias")).alias("norm"), "section").groupBy("norm").agg(F.min("section").alias("section")))
+    turned = spans.where("not (dir_x = 1.0 and dir_y = 0.0)").withColumn("text", strip(F.col("text"))).where(F.length("text") >= MARK_CHARS)
+    turned = turned.withColumn("norm", ascii_label(F.col("text"))).join(known, "norm")
+    # few marks stand on a page: its margins are told in one pass over them, from left to right
+    marks = turned.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("x0", "y0", "y1", "section"))).alias("marks"))
+    start = F.struct(F.lit(None).cast("double").alias("first"), F.array().cast("array<double>").alias("firsts"))
+    step = lambda a, m: F.when(m["x0"] - a["first"] <= BAND_TOLERANCE, a["first"]).otherwise(m["x0"])
+    firsts = F.aggregate("marks", start, lambda a, m: F.struct(step(a, m).alias("first"), F.concat(a["firsts"], F.array(step(a, m))).alias("firsts")))["firsts"]
+    marks = marks.select("doc_id", "page", F.inline(F.arrays_zip(F.col("marks").alias("m"), firsts.alias("margin"))))
+    marks = marks.select("doc_id", "page", "margin", "m.section", F.col("m.x0").alias("col"), ((F.col("m.y0") + F.col("m.y1")) / 2).alias("centre"), F.greatest(F.col("m.y1") - F.col("m.y0"), F.lit(1.0)).alias("height"))
+    return lookup.section_bands(marks, ["doc_id", "page", "margin"]).select("doc_id", "page", "section", "lo", "hi", "col", F.col("centre").alias("ord"))
+
+
+def span_records(spans: DataFrame, rules: RuleSet) -> DataFrame:
+    """Readings of pages from positioned spans (doc_id, page, x0, y0, x1, y1, text, dir_x, dir_y).
+
+    ``Label : value`` in one span, else the nearest of six spans to the right,
+    those under a header's normal column first; units are skipped, and another
+    label ends the search. Turned text names sections, whose bands tell where a
+    header counts.
+    """
+    place = ["doc_id", "page", "x0", "y0", "x1", "y1", "text"]
+    marks = span_marks(spans, rules)
+    upright = spans.where("dir_x = 1.0 and dir_y = 0.0").withColumn("text", strip(F.col("text"))).where("text <> ''").select(*place)
+    points = upright.withColumn("point_id", F.struct(*place)).select("point_id", "doc_id", "page", F.col("y0").alias("pos"), F.col("x0").alias("col")).distinct()
+    at = lookup.bands_at(points, marks, ["doc_id", "page"]).select("point_id.*", "section", "band")
+    banded = marks.select("doc_id", "page").distinct().withColumn("banded", F.lit(True))
+    met = upright.join(at, place, "left").join(banded, ["doc_id", "page"], "left").withColumn("banded", F.coalesce("banded", F.lit(False)))
+    text, colon = F.col("text"), F.split("text", r"\s*[:：]\s*", 2)
+    label = F.when(text.rlike("[:：]"), strip(colon[0])).otherwise(text)
+    right = F.when(F.size(colon) > 1, strip(colon[1]))
+    worded = lambda c: F.coalesce(c.rlike(r"[\p{L}\p{N}]"), F.lit(False))
+    met = met.withColumns({"label": label, "right_text": F.when(worded(right), right), "worded": worded(text), "unit": lookup.is_unit(text, rules.units()), "head": lookup.header_kind(text), "head_band": F.col("band")})
+    met = labelled(met, text, rules).drop("field_key", "confidence")
+    met = labelled(met.withColumnRenamed("stop", "whole_stop"), F.col("label"), rules).drop("stop").withColumnRenamed("whole_stop", "stop").withColumn("ask", is_label(F.col("label")))
+    met = met.select(*place, "band", "banded", "head", "head_band", "label", "right_text", "worded", "unit", "stop", "ask", "field_key", "confidence")
+    return _readings(by_page(met, ["y0", "x0"], _page), rules)
+
+
+def scanned(pages: DataFrame) -> DataFrame:
+    """(doc_id, error) of documents none of whose pages (doc_id, page, text) has a text layer; their spans aren't worth reading."""
+    told = pages.groupBy("doc_id").agg(F.max(has_text_layer(F.col("text"))).alias("layer"), F.sum(F.coalesce(F.length(strip(F.col("text"))), F.lit(0))).alias("chars"))
+    return told.where("not layer").select("doc_id", F.concat(F.lit("SCANNED: "), F.col("chars").cast("string"), F.lit(" characters of text")).alias("error"))

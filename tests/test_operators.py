@@ -103,10 +103,8 @@ def test_workbook_to_records(spark, tmp_path):
     (tmp_path / "b.xlsx").write_bytes(b"broken")
     found = files.read_files(spark, str(tmp_path), "*.xlsx")
     cells = files.workbook_cells(found)
-    merges = files.merged_index(files.workbook_merges(found)).select("doc_id", "page", "row", "col", "r1", "c1")
-    grid = cells.join(merges, ["doc_id", "page", "row", "col"], "left").withColumns({"right": F.coalesce("c1", "col"), "bottom": F.coalesce("r1", "row")})
-    labels = [r.asDict() for r in RuleSet().labels(spark).collect()]
-    got = layouts.grid_records(grid, labels, ["mm"]).collect()
+    assert files.merged_index(files.workbook_merges(found)).count() == 2
+    got = layouts.grid_records(cells, files.workbook_merges(found), RuleSet()).collect()
     assert [(r.doc_id, r.field_key, r.raw_value, r.source_locator) for r in got] == [("a", "rating", "Class 300", "SPEC!E2")]
     assert files.page_texts(cells).first().text == "Rating\nmm\nClass 300"
 
@@ -114,8 +112,7 @@ def test_workbook_to_records(spark, tmp_path):
 def test_spans_to_records(spark):
     kind = "doc_id string, page int, x0 double, y0 double, x1 double, y1 double, text string, dir_x double, dir_y double"
     rows = [("d", 1, 10.0, 10.0, 50.0, 20.0, "Tag No : 10-FV-001", 1.0, 0.0), ("d", 1, 10.0, 40.0, 50.0, 50.0, "Maker", 1.0, 0.0), ("d", 1, 90.0, 42.0, 99.0, 50.0, "NORTHGATE", 1.0, 0.0), ("d", 1, 5.0, 40.0, 8.0, 90.0, "BODY", 0.0, 1.0)]
-    labels = [r.asDict() for r in RuleSet().labels(spark).collect()]
-    got = {r.field_key: r.raw_value for r in layouts.span_records(spark.createDataFrame(rows, kind), labels, []).collect()}
+    got = {r.field_key: r.raw_value for r in layouts.span_records(spark.createDataFrame(rows, kind), RuleSet()).collect()}
     assert got == {"tag": "10-FV-001", "maker": "NORTHGATE"}
 
 
