@@ -12,6 +12,10 @@ VERDICTS = ("FABRICATED", "WRONG", "WRONG_PAGE", "MISSING", "PENDING_NORM", "EXA
 DANGEROUS = ("FABRICATED", "WRONG", "PENDING_NORM")
 
 
+#: What an error says that will come again with every document.
+PERMANENT = ("insufficient_quota", "credit_balance_exhausted", "no credits remaining", "authenticationerror", "permissiondenied", "invalid_api_key", "account is not active")
+
+
 def judge(truth: Column, got: Column, raw: Column, numeric: Column | None = None) -> Column:
     """The verdict on one cell. A raw reading that equals the truth is exact whatever became of it."""
     return _judge(Forms.of(truth), Forms.of(got), Forms.of(raw), got.isNull(), numeric)
@@ -28,6 +32,49 @@ def _judge(truth: Forms, got: Forms, raw: Forms, missing: Column, numeric: Colum
     )
 
 
+def choose_rows(rows: DataFrame, *, only: list[str] | None = None, labelers: list[str] | None = None, drafts: str | None = None, limit: int | None = None) -> DataFrame:
+    """Gold documents (ord, doc_id, labeler) to score: those named, those of a labeler and not a machine's draft, the first so many in order."""
+    if only is not None:
+        rows = rows.where(F.col("doc_id").cast("string").isin([str(x) for x in only]))
+    if labelers is not None or drafts is not None:
+        rows = rows.where(F.coalesce(F.trim("labeler"), F.lit("")) != "")
+    if drafts is not None:
+        rows = rows.where(~F.col("labeler").contains(drafts))
+    if labelers is not None:
+        rows = rows.where(F.col("labeler").isin(labelers))
+    return rows if limit is None else rows.orderBy("ord").limit(limit)
+
+
+def document_status(rows: DataFrame, outcomes: DataFrame, holdout: DataFrame | None = None, group: tuple[str, ...] = ()) -> DataFrame:
+    """Adds status and reason to documents (group, ord, doc_id, path, spec_page) by their outcomes (group, doc_id, error, page).
+
+    HOLDOUT, NO_FILE, FAILED, WRONG_PAGE or SCORED. A permanent error ends its
+    run: all documents behind the first one are STOPPED, and held-out ones
+    there aren't told at all. Where the run ends is one number for each run,
+    the least place of such an error, so no run is ordered in one task.
+    """
+    met = rows.join(outcomes.select(*group, "doc_id", "error", F.col("page").alias("got_page")), [*group, "doc_id"], "left")
+    held = F.lit(False)
+    if holdout is not None:
+        met = met.join(holdout.select("doc_id", F.lit(True).alias("held_")).distinct(), "doc_id", "left")
+        held = F.coalesce("held_", F.lit(False))
+    met = met.withColumn("held", held)
+    lasting = F.col("error").rlike("(?i)" + "|".join(x.replace(".", r"\.") for x in PERMANENT))
+    ends = met.where(~F.col("held") & F.col("path").isNotNull() & lasting).groupBy(*group).agg(F.min("ord").alias("end_"))
+    met = met.join(ends, [*group], "left") if group else met.withColumn("end_", F.lit(ends.first()["end_"]).cast(dict(rows.dtypes)["ord"]))
+    behind = F.coalesce(F.col("ord") > F.col("end_"), F.lit(False))
+    off = F.col("spec_page").isNotNull() & F.col("got_page").isNotNull() & (F.col("spec_page") != F.col("got_page"))
+    status = F.when(behind, "STOPPED").when(F.col("held"), "HOLDOUT").when(F.col("path").isNull(), "NO_FILE").when(F.col("error").isNotNull(), "FAILED").when(off, "WRONG_PAGE").otherwise("SCORED")
+    told = met.where(~(behind & F.col("held"))).withColumn("status", status)
+    reason = (
+        F.when(F.col("status") == "STOPPED", "stopped: a permanent error came before")
+        .when(F.col("status") == "FAILED", F.concat(F.lit("failed: "), "error"))
+        .when(F.col("status") == "WRONG_PAGE", F.concat(F.lit("wrong page (true "), F.col("spec_page").cast("string"), F.lit(", read "), F.col("got_page").cast("string"), F.lit(")")))
+    )
+    reason = reason.when(F.col("status") == "HOLDOUT", "held out").when(F.col("status") == "NO_FILE", "no file")
+    return told.withColumn("reason", reason).select(*rows.columns, "status", "reason")
+
+
 def score(gold: DataFrame, values: DataFrame, *, absent: DataFrame | None = None, holdout: DataFrame | None = None) -> DataFrame:
     """Gold cells (doc_id, field_key, truth, page, numeric) with got, raw, verdict and strict.
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from docsift.functions.tags import parse_tag, tag_kind
 from docsift.functions.text import EMPTY_VALUES, found, join_notes, norm_alias, norm_label, norm_number, strip
 from docsift.rules import RuleSet
+from docsift.sources.tables import stored
 
 
 def complete(extractions: DataFrame, docs: DataFrame, fields: DataFrame) -> DataFrame:
@@ -191,6 +192,55 @@ def retry(records: DataFrame, second: DataFrame, rules: RuleSet) -> DataFrame:
     return kept.unionByName(redone.select(*kept.columns))
 
 
+def contract(records: DataFrame) -> DataFrame:
+    """Adds contract, what a record breaks: NO_NOTE (not automatic, yet without a reason) or NA_WITH_VALUE; null if nothing.
+
+    What is broken is told in the note, and so is that an automatic value of a
+    safety or identity field needs a look.
+    """
+    blank = F.coalesce(strip(F.col("note")) == "", F.lit(True))
+    broken = F.when((F.col("state") != "auto") & blank, "NO_NOTE").when((F.col("state") == "na") & ~is_empty(F.col("value")), "NA_WITH_VALUE")
+    look = F.when((F.col("state") == "auto") & (F.col("safety") != "normal"), "a person must look: safety or identity")
+    out = records.withColumn("contract", broken)
+    return out.withColumn("note", join_notes(F.col("note"), look, F.concat(F.lit("broken contract "), "contract")))
+
+
+def escalations(records: DataFrame) -> DataFrame:
+    """(doc_id, field_key, reason) of all records that aren't automatic; a blank reason stays blank, to be counted."""
+    return records.where("state <> 'auto'").select("doc_id", "field_key", F.coalesce(strip(F.col("note")), F.lit("")).alias("reason"))
+
+
+def reread(records: DataFrame, rules: RuleSet, reader, *, rounds: int = 2) -> DataFrame:
+    """Records with EXTRACTION failures read again, up to so many rounds or until none is left, and all checked by ``contract``.
+
+    ``reader(requests, round)`` takes rows (doc_id, field_key, raw_value) and
+    gives rows (doc_id, field_key, raw_value, raw_label, confidence). A field
+    it leaves out is settled as it is, with a note. Each round resolves the
+    failing rows alone; they are stored, so that a later round or a lost
+    executor doesn't ask the reader again. Adds retry_count, retry_changed and
+    retry_values (what stood before and what was read, of the last round).
+    """
+    failing = F.col("failure") == "EXTRACTION"
+    none = F.array().cast("array<string>")
+    marked = records.withColumns({"retry_count": F.lit(0), "retry_changed": F.lit(False), "retry_values": none})
+    done, columns = [marked.where(F.coalesce(~failing, F.lit(True)))], marked.columns
+    left = stored(marked.where(failing), "failing")
+    for k in range(1, rounds + 1):
+        if left.isEmpty():
+            break
+        fresh = reader(left.select("doc_id", "field_key", "raw_value"), k).select("doc_id", "field_key", F.lit(True).alias("read_"), *[F.col(c).alias(f"{c}_2") for c in ("raw_value", "raw_label", "confidence")])
+        met = stored(left.join(fresh, ["doc_id", "field_key"], "left"), f"read-{k}")
+        done.append(met.where("read_ is null").withColumns({"retry_count": F.lit(k), "note": join_notes(F.col("note"), F.lit("can't be read again"))}).select(*columns))
+        same = F.col("raw_value").eqNullSafe(F.col("raw_value_2"))
+        told = met.where("read_").withColumns({"retry_count": F.lit(k), "retry_changed": ~same, "retry_values": F.array("raw_value", "raw_value_2")})
+        told = told.withColumns({c: F.col(f"{c}_2") for c in ("raw_value", "raw_label", "confidence")}).withColumn("note", F.lit(None).cast("string"))
+        inputs = told.drop("read_", "raw_value_2", "raw_label_2", "confidence_2", "value", "how", "trace", "violations", "failure", "state")
+        redone = stored(decide(failure(format_violations(normalise(inputs, rules), rules))).select(*columns), f"round-{k}")
+        done.append(redone.where(~failing))
+        left = redone.where(failing)
+    return contract(reduce(DataFrame.unionByName, [*done, left]))
+
+
 def replay(docs: DataFrame, stored: DataFrame) -> DataFrame:
     """Stored extractions of the documents asked for; one without any has an error row."""
     met = docs.select("doc_id").distinct().join(stored, "doc_id", "left")

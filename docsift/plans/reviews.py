@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docsift.functions import geometry, tags, text
-from docsift.operators import evaluate, lookup, reports, resolve, triage
+from docsift.operators import evaluate, lookup, reports, resolve, triage, vocabulary
 from docsift.plans.catalog import GOLD_SQL, LINES, ORACLES, PATH_SQL, RECORDS_SQL, RUNS_SQL, _candidates, _paths, _runs, _stream, line_records, query, table
 from docsift.rules import DEFAULT, RuleSet
 from docsift.sources import layouts, runlog
@@ -433,3 +433,78 @@ def q85_span_records(spark, sf_dir):
     spans = _said(spark, sf_dir).select(*page, F.inline(lines)).unionByName(orders.select(*page, F.inline(head))).where("text is not null")
     found = layouts.span_records(spans, RuleSet())
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "field_key", "raw_value", "raw_label", "confidence", "source_locator", "note")
+
+
+@query(
+    """
+WITH r AS (SELECT o_orderkey AS k, o_custkey % 20 AS run, o_orderkey % 13 = 0 AS lost, o_orderkey % 11 = 0 AS held,
+  CASE WHEN o_orderkey % 997 = 0 THEN 'AuthenticationError (key)' WHEN o_orderkey % 31 = 0 THEN 'Timeout: read' END AS error, o_orderkey % 3 + 1 AS spec, nullif(o_orderkey % 4, 0) AS page FROM orders),
+e AS (SELECT run, min(k) AS e FROM r WHERE NOT held AND NOT lost AND k % 997 = 0 GROUP BY run)
+SELECT run, k AS doc_id, CASE WHEN k > e THEN 'STOPPED' WHEN held THEN 'HOLDOUT' WHEN lost THEN 'NO_FILE' WHEN error IS NOT NULL THEN 'FAILED' WHEN page <> spec THEN 'WRONG_PAGE' ELSE 'SCORED' END AS status,
+  CASE WHEN k > e THEN 'stopped: a permanent error came before' WHEN held THEN 'held out' WHEN lost THEN 'no file' WHEN error IS NOT NULL THEN 'failed: ' || error
+    WHEN page <> spec THEN 'wrong page (true ' || spec || ', read ' || page || ')' END AS reason
+FROM r LEFT JOIN e USING (run) WHERE NOT coalesce(held AND k > e, false)
+"""
+)
+def q86_document_status(spark, sf_dir):
+    """Twenty runs over the orders, with documents held out, lost, failed and misread; a run ends at its first permanent error."""
+    k, orders = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    place = (F.col("o_custkey") % 20).alias("run"), k.alias("doc_id")
+    rows = orders.select(*place, k.alias("ord"), F.when(k % 13 != 0, "a.pdf").alias("path"), (k % 3 + 1).alias("spec_page"))
+    error = F.when(k % 997 == 0, "AuthenticationError (key)").when(k % 31 == 0, "Timeout: read")
+    outcomes = orders.select(*place, error.alias("error"), F.nullif(k % 4, F.lit(0)).alias("page"))
+    return evaluate.document_status(rows, outcomes, orders.where(k % 11 == 0).select(k.alias("doc_id")), group=("run",)).select("run", "doc_id", "status", "reason")
+
+
+#: Rules by which a reading of HOLD has no value and must be read again.
+HELD = RuleSet(LINES.rules | {"value_aliases": {}, "format_rules": {}, "domain_rules": {f"f{i}": {"map": [{"from": ["HOLD"], "to": ""}]} for i in range(1, 8)}})
+
+
+@query(
+    """
+WITH h AS (SELECT l_orderkey AS doc_id, 'f' || l_linenumber AS field_key, l_orderkey % 3 AS r, l_orderkey % 2 = 0 AS even, l_linenumber = 1 AS safe, CASE WHEN l_linenumber <= 3 THEN ' | required' ELSE '' END AS need FROM lineitem WHERE l_shipinstruct = 'HOLD')
+SELECT doc_id, field_key, CASE WHEN r = 0 THEN 'AIR' WHEN r = 2 THEN '' WHEN even THEN 'RAIL' END AS value, CASE WHEN r = 2 THEN 'EXTRACTION' WHEN r = 1 AND NOT even THEN 'NO_EVIDENCE' ELSE 'NONE' END AS failure,
+  CASE WHEN r = 2 THEN 'review' WHEN r = 1 AND NOT even THEN 'na' ELSE 'auto' END AS state, CASE WHEN r = 1 THEN 2 ELSE 1 END AS retry_count, r <> 2 AS retry_changed,
+  CASE WHEN r = 2 THEN 'extraction' || need || ' | can''t be read again' WHEN r = 1 AND NOT even THEN 'no_evidence' || need WHEN safe THEN 'a person must look: safety or identity' ELSE '' END AS note
+FROM h
+"""
+)
+def q87_reread_rounds(spark, sf_dir):
+    """Fields without a value are read again: a first reader knows a third of them, a second one is asked for what is still open."""
+    line = table(spark, sf_dir, "lineitem")
+    readings = line.select(F.col("l_orderkey").alias("doc_id"), _field_key(), F.col("l_shipinstruct").alias("raw_value"), F.col("l_shipmode").alias("raw_label"), F.lit(0.99).alias("confidence"), F.lit(None).cast("string").alias("note"))
+    records = resolve.resolve(readings, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")), HELD)
+
+    def reader(requests, k):
+        d = F.col("doc_id")
+        value = F.when(d % 3 == 0, "AIR").otherwise("HOLD ON") if k == 1 else F.when(d % 2 == 0, "RAIL")
+        return requests.where(d % 3 != 2).select("doc_id", "field_key", value.alias("raw_value"), F.lit("Again").alias("raw_label"), F.lit(0.99).alias("confidence"))
+
+    return resolve.reread(records, HELD, reader).where("retry_count > 0").select("doc_id", "field_key", "value", "failure", "state", "retry_count", "retry_changed", "note")
+
+
+@query(
+    RECORDS_SQL
+    + """, x AS (SELECT field_key = 'f5' AS mute FROM d WHERE state <> 'auto')
+SELECT 'r1' AS run_id, 'escalate' AS counter, count(*) AS n FROM x UNION ALL SELECT 'r1', 'escalate_without_reason', count(*) FROM x WHERE mute"""
+)
+def q88_escalations(spark, sf_dir):
+    """Records that need a person as events; those of one field have lost their note."""
+    records = line_records(spark, sf_dir)
+    records = records.withColumn("note", F.when(F.col("field_key") == "f5", "  ").otherwise(F.col("note")))
+    return stream.counters(stream.escalation_events(resolve.escalations(records), "r1"))
+
+
+@query(
+    """
+WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber AS k, l_shipmode AS mode, l_shipinstruct AS value FROM lineitem)
+SELECT a.doc_id, 'f1' AS field_key, 'f' || min(b.k) AS source_field, arg_min(b.value, b.k) AS source_value, 'Maker' AS source_label
+FROM r a JOIN r b ON a.doc_id = b.doc_id AND b.k <> 1 AND b.mode = 'RAIL' WHERE a.k = 1 AND a.mode IN ('AIR', 'SHIP') GROUP BY a.doc_id
+"""
+)
+def q32b_better_source(spark, sf_dir):
+    mode = F.col("l_shipmode")
+    label = F.when(mode == "AIR", "Logo").when(mode == "RAIL", "Maker").when(mode == "SHIP", "Maker in the footer").otherwise("Text")
+    said = F.col("l_shipinstruct")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), _field_key(), F.col("l_linenumber").alias("ord"), label.alias("raw_label"), said.alias("raw_value"), said.alias("value"))
+    return vocabulary.better_sources(rows, "f1")

@@ -18,10 +18,11 @@ def read_events(spark: SparkSession, path: str, *, stream: bool = True, per_trig
 
 
 def counters(events: DataFrame) -> DataFrame:
-    """Events by run and name, with changed retries and resolved states as counters of their own."""
+    """Events by run and name, with changed retries, resolved states and escalations without a reason as counters of their own."""
     state = F.get_json_object("payload", "$.state")
     changed = F.get_json_object("payload", "$.changed") == "true"
-    names = F.array_compact(F.array(F.col("event"), F.when((F.col("event") == "retry") & changed, "retry_value_changed"), F.when((F.col("event") == "state_resolved") & state.isNotNull(), F.concat(F.lit("state:"), state))))
+    mute = (F.col("event") == "escalate") & (F.trim(F.coalesce(F.get_json_object("payload", "$.reason"), F.lit(""))) == "")
+    names = F.array_compact(F.array(F.col("event"), F.when(mute, "escalate_without_reason"), F.when((F.col("event") == "retry") & changed, "retry_value_changed"), F.when((F.col("event") == "state_resolved") & state.isNotNull(), F.concat(F.lit("state:"), state))))
     return events.select("run_id", F.explode(names).alias("counter")).groupBy("run_id", "counter").agg(F.count("*").alias("n"))
 
 
@@ -62,6 +63,12 @@ def stage_events(records: DataFrame, run_id: str) -> DataFrame:
     return records.select(F.lit(None).cast("double").alias("ts"), F.col("doc_id").cast("string").alias("doc_id"), F.explode(told).alias("e")).select("ts", "e.event", F.lit(run_id).alias("run_id"), "doc_id", "e.payload")
 
 
+def escalation_events(escalations: DataFrame, run_id: str) -> DataFrame:
+    """An event ``escalate`` for each row (doc_id, field_key, reason)."""
+    payload = F.to_json(F.struct(F.col("field_key").alias("field"), "reason"))
+    return escalations.select(F.lit(None).cast("double").alias("ts"), F.lit("escalate").alias("event"), F.lit(run_id).alias("run_id"), F.col("doc_id").cast("string").alias("doc_id"), payload.alias("payload"))
+
+
 def drain(counted: DataFrame, name: str, checkpoint: str) -> DataFrame:
     """Run a streaming aggregate over what there is and return its complete result."""
     query = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
