@@ -84,7 +84,7 @@ def score(gold: DataFrame, values: DataFrame, *, absent: DataFrame | None = None
     truth is none; gold needs cls then.
     """
     if holdout is not None:
-        gold = gold.join(F.broadcast(holdout.select("doc_id")), "doc_id", "left_anti")
+        gold = gold.join(holdout.select("doc_id"), "doc_id", "left_anti")
     if absent is not None:
         lacking = F.broadcast(absent.select("cls", "field_key", F.lit(True).alias("lacks")))
         gold = gold.join(lacking, ["cls", "field_key"], "left").where(~(F.coalesce("lacks", F.lit(False)) & is_na(clean(F.col("truth"))))).drop("lacks")

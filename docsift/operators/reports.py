@@ -190,7 +190,7 @@ def plausible_range(checked: DataFrame) -> DataFrame:
 def tag_conflicts(gold: DataFrame, holdout: DataFrame | None = None) -> DataFrame:
     """Documents (doc_id, file, truth) whose file name has another tag than the gold; without a tag on either side there is no conflict."""
     if holdout is not None:
-        gold = gold.join(F.broadcast(holdout.select("doc_id")), "doc_id", "left_anti")
+        gold = gold.join(holdout.select("doc_id"), "doc_id", "left_anti")
     told = gold.select("doc_id", parse_filename(F.col("file"))["tag"].alias("file_tag"), strip(F.coalesce("truth", F.lit(""))).alias("truth"))
     told = told.withColumn("gold_tag", parse_tag(F.col("truth"))["key"])
     return told.where((F.col("truth") != "") & F.col("file_tag").isNotNull() & ~F.col("file_tag").eqNullSafe(F.col("gold_tag"))).select("doc_id", "file_tag", "gold_tag")

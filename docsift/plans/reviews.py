@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docsift.functions import geometry, tags, text
@@ -9,6 +11,7 @@ from docsift.operators import evaluate, lookup, reports, resolve, triage, vocabu
 from docsift.plans.catalog import GOLD_SQL, LINES, ORACLES, PATH_SQL, RECORDS_SQL, RUNS_SQL, _candidates, _paths, _runs, _stream, line_records, query, table
 from docsift.rules import DEFAULT, RuleSet
 from docsift.sources import layouts, runlog
+from docsift.sources.tables import shared_folder
 from docsift.streaming import events as stream
 
 
@@ -508,3 +511,16 @@ def q32b_better_source(spark, sf_dir):
     said = F.col("l_shipinstruct")
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), _field_key(), F.col("l_linenumber").alias("ord"), label.alias("raw_label"), said.alias("raw_value"), said.alias("value"))
     return vocabulary.better_sources(rows, "f1")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS doc_id, 'f' || (event_id % 5) AS field_key, nullif(arg_max(CASE WHEN event_id % 7 = 0 THEN 'undo' ELSE event_type END, event_id), 'undo') AS action FROM events GROUP BY 1, 2")
+def q74b_revised_actions(spark, sf_dir):
+    """Last actions with undone ones by a stream with keyed state, whose changes are written batch by batch."""
+    folder = f"{shared_folder(spark)}/docsift/actions-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    k = F.col("event_id")
+    payload = F.to_json(F.struct(F.concat(F.lit("f"), (k % 5).cast("string")).alias("field"), F.when(k % 7 == 0, "undo").otherwise(F.col("event_type")).alias("action")))
+    log = source.select(k.cast("double").alias("ts"), F.lit("human_action").alias("event"), F.lit("run").alias("run_id"), F.col("user_id").cast("string").alias("doc_id"), payload.alias("payload"))
+    stream.write_stream(stream.revised_actions(log, "2024-01-01 00:00:00"), f"{folder}/changes", f"{folder}/checkpoint", "parquet", "update")
+    changes = spark.read.schema(stream.ACTION).option("recursiveFileLookup", "true").parquet(f"{folder}/changes")
+    return stream.current(changes).drop("human_value")

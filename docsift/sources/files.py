@@ -146,7 +146,7 @@ def gold_from_cells(cells: DataFrame, info: dict[int, str], group_row: int = 1,
     columns = columns.withColumn("group", carried)
     body = cells.where(F.col("row") > head_row).withColumn("filled", F.count("value").over(Window.partitionBy("doc_id", "row"))).where("filled > 1")
     about = body.groupBy("doc_id", "row").agg(*[F.max(F.when(F.col("col") == c, F.col("value"))).alias(n) for c, n in info.items()])
-    return body.where(~F.col("col").isin(*info)).join(F.broadcast(columns), ["doc_id", "col"]).join(about, ["doc_id", "row"]).select("doc_id", "row", *info.values(), "group", "head", "value")
+    return body.where(~F.col("col").isin(*info)).join(columns, ["doc_id", "col"]).join(about, ["doc_id", "row"]).select("doc_id", "row", *info.values(), "group", "head", "value")
 
 
 def write_extractions(extractions: DataFrame, path: str) -> None:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsift.functions.text import norm_label, strip
-from docsift.streaming.events import counters
+from docsift.streaming.events import counters, write_batch
+
 
+def append_events(events: DataFrame, path: str, batch: str | None = None) -> None:
+    """Events (ts, event, run_id, doc_id, payload) as JSON lines, beside those that are there.
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Events (ts, event, run_id, doc_id, payload) as JSON lines, beside those that are there."""
-    events.write.mode("append").json(path)
+    A batch of a name that is there already, as after a retry, replaces it;
+    without a name it is a new one.
+    """
+    write_batch(events, path, batch or uuid.uuid4().hex)
 
 
 def write_summary(events: DataFrame, path: str, manifest: dict[str, str]) -> None:
@@ -34,6 +40,7 @@ def new_answers(cache: DataFrame, answers: DataFrame) -> DataFrame:
 
 def put_answers(spark: SparkSession, path: str, answers: DataFrame) -> None:
     """Add to the cache at ``path`` what it lacks; an entry once written stays."""
+    spark.createDataFrame([], "key string, payload string").write.mode("append").json(path)  # so that there is a folder
     there = spark.read.schema("key string, payload string").option("recursiveFileLookup", "true").json(path)
     new_answers(there, answers).write.mode("append").json(path)
 
@@ -88,6 +95,6 @@ def gold_by_labels(cells: DataFrame, index: DataFrame, info: dict[int, str], val
     carried = F.last("name", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("col"))
     named = heads.withColumn("name", strip(carried)).where((F.col("head") == value_head) & (F.col("name") != "")).withColumn("norm", norm_label(F.col("name"))).join(index, "norm", "left")
     about = cells.where(F.col("row") > 2).groupBy("doc_id", "row").agg(*[F.max(F.when(F.col("col") == c, F.col("value"))).alias(n) for c, n in info.items()]).where(strip(F.col("file")) != "")
-    known = F.broadcast(named.where("field_key is not null").select("doc_id", "col", "field_key"))
+    known = named.where("field_key is not null").select("doc_id", "col", "field_key")
     values = cells.where(F.col("row") > 2).join(known, ["doc_id", "col"]).select("doc_id", "row", "field_key", F.col("value").alias("truth"), "is_string")
     return about.join(values, ["doc_id", "row"]), named.where("field_key is null").select("doc_id", "name")

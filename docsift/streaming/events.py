@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +12,21 @@ EVENT = "ts double, event string, run_id string, doc_id string, payload string"
 
 
 def read_events(spark: SparkSession, path: str, *, stream: bool = True, per_trigger: int = 100) -> DataFrame:
-    """JSON lines with one event each; as a stream, new files are read as they come."""
+    """JSON lines with one event each, of all batches below a folder; as a stream, new files are read as they come."""
     if stream:
-        return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", per_trigger).json(path)
-    return spark.read.schema(EVENT).json(path)
+        return spark.readStream.schema(EVENT).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).json(path)
+    return spark.read.schema(EVENT).option("recursiveFileLookup", "true").json(path)
+
+
+def write_batch(rows: DataFrame, path: str, batch: str, form: str = "json") -> None:
+    """One batch in a folder of its own, so that a batch that is written again replaces itself."""
+    rows.write.mode("overwrite").format(form).save(f"{path}/batch-{batch}")
+
+
+def write_stream(rows: DataFrame, path: str, checkpoint: str, form: str = "json", mode: str = "append") -> None:
+    """Write a stream batch by batch until none is left; a batch that is repeated after a failure counts once."""
+    sink = rows.writeStream.foreachBatch(lambda part, k: write_batch(part, path, f"{k:012d}", form)).outputMode(mode)
+    sink.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def counters(events: DataFrame) -> DataFrame:
@@ -41,6 +53,50 @@ def last_actions(events: DataFrame) -> DataFrame:
     return action.groupBy("doc_id", "field_key").agg(F.max_by("action", "ts").alias("action"))
 
 
+ACTION = "doc_id string, field_key string, action string, human_value string, ts double"
+LAST = "ts double, action string, human_value string"
+
+
+def _revise(key, frames, state):
+    """A row where the last action of a document and field has changed; what is behind the watermark is forgotten."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    before = state.get if state.exists else None
+    last = rank = None
+    if before is not None:
+        last, rank = before, (before[0], before[1] or "", before[2] or "")
+    for frame in frames:
+        for ts, action, value in zip(frame["ts"].tolist(), frame["action"].tolist(), frame["human_value"].tolist(), strict=True):
+            if rank is None or (ts, action or "", value or "") > rank:
+                last, rank = (ts, action, value), (ts, action or "", value or "")
+    state.update(last)
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(key[2]) + int(last[0] * 1000)))
+    if before is None or tuple(before) != tuple(last):
+        ts, action, value = last
+        undone = action == "undo"
+        yield pd.DataFrame({"doc_id": [key[0]], "field_key": [key[1]], "action": [None if undone else action], "human_value": [value if action == "override" else None], "ts": [ts]})
+
+
+def revised_actions(events: DataFrame, start: str, late: str = "10 minutes") -> DataFrame:
+    """The stream of changes of each document's and field's last human action, whatever order its events come in.
+
+    An undone action is revised to null, a late one that isn't the last says
+    nothing. State is a row for each document and field that was acted on
+    within ``late``: an older one can't be followed by an earlier action, so it
+    is forgotten without loss. ``current`` gives the state of what was sent.
+    """
+    get = lambda name: F.get_json_object("payload", f"$.{name}").alias(name)
+    acted = with_time(events.where((F.col("event") == "human_action") & F.col("ts").isNotNull()), start, late).select("doc_id", get("field").alias("field_key"), get("action"), get("human_value"), "ts", "at", (F.unix_timestamp(F.lit(start)) * 1000).alias("zero"))
+    return acted.groupBy("doc_id", "field_key", "zero").applyInPandasWithState(_revise, ACTION, LAST, "update", "EventTimeTimeout")
+
+
+def current(changes: DataFrame) -> DataFrame:
+    """The last change of each document and field."""
+    last = F.max_by(F.struct("action", "human_value"), F.struct("ts", F.coalesce("action", F.lit("~"))))
+    return changes.groupBy("doc_id", "field_key").agg(last.alias("a")).select("doc_id", "field_key", "a.action", "a.human_value")
+
+
 def vocabulary_queue(events: DataFrame) -> DataFrame:
     """Values that a stream of readings (ts, field_key, value) brings: n and the first spelling by normal form.
 

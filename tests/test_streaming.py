@@ -1,8 +1,9 @@
 import json
+import random
 
 from docsift.operators import gold, lookup
 from docsift.rules import RuleSet
-from docsift.sources import files
+from docsift.sources import files, runlog
 from docsift.streaming import events
 
 
@@ -42,6 +43,47 @@ def test_gold_sheet_to_long_rows(spark):
     assert sorted((r.file, r.group, r.head, r.value) for r in got.collect()) == [("a.pdf", "Body", "Size", "4"), ("a.pdf", "General", "Tag", "T1")]
 
 
+def test_revised_actions_whatever_the_order(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [{"ts": float(t), "event": "human_action", "run_id": "r", "doc_id": f"d{rng.randrange(4)}", "payload": json.dumps({"field": rng.choice("ab"), "action": rng.choice(["approve", "override", "undo"]), "human_value": str(t)})} for t in range(200)]
+    rows += [{"ts": 1.0, "event": "retry", "run_id": "r", "doc_id": "d0", "payload": "{}"}]
+    want = {}
+    for r in sorted(rows[:200], key=lambda r: r["ts"]):
+        p = json.loads(r["payload"])
+        want[r["doc_id"], p["field"]] = (None if p["action"] == "undo" else p["action"], p["human_value"] if p["action"] == "override" else None)
+    rng.shuffle(rows)
+    folder = tmp_path / "log"
+    folder.mkdir()
+    for k in range(4):
+        (folder / f"{k}.jsonl").write_text("\n".join(json.dumps(r) for r in rows[k::4]))
+    out = str(tmp_path / "changes")
+    log = events.read_events(spark, str(folder), per_trigger=1)
+    events.write_stream(events.revised_actions(log, "2024-01-01 00:00:00"), out, str(tmp_path / "checkpoint"), "parquet", "update")
+    changes = spark.read.schema(events.ACTION).option("recursiveFileLookup", "true").parquet(out)
+    assert {(r.doc_id, r.field_key): (r.action, r.human_value) for r in events.current(changes).collect()} == want
+    assert changes.count() > len(want)  # what was sent early has been revised
+
+
+def test_a_batch_written_twice_counts_once(spark, tmp_path):
+    rows = lambda *ts: spark.createDataFrame([(t, "retry", "r", "d", None) for t in ts], events.EVENT)
+    path = str(tmp_path / "log")
+    runlog.append_events(rows(1.0, 2.0), path, "one")
+    runlog.append_events(rows(1.0, 2.0), path, "one")
+    runlog.append_events(rows(3.0), path)
+    runlog.append_events(rows(4.0), path)
+    assert sorted(r.ts for r in events.read_events(spark, path, stream=False).collect()) == [1.0, 2.0, 3.0, 4.0]
+    copy = str(tmp_path / "copy")
+    for checkpoint in ("a", "b"):  # a second query without the first one's progress repeats its batches
+        events.write_stream(events.read_events(spark, path), copy, str(tmp_path / checkpoint))
+    assert sorted(r.ts for r in events.read_events(spark, copy, stream=False).collect()) == [1.0, 2.0, 3.0, 4.0]
+
+
+def test_cache_makes_its_folder(spark, tmp_path):
+    path = str(tmp_path / "none" / "cache")
+    runlog.put_answers(spark, path, spark.createDataFrame([("a", "1")], "key string, payload string"))
+    assert [tuple(r) for r in spark.read.schema("key string, payload string").json(path).collect()] == [("a", "1")]
+
+
 def test_sections_of_bands(spark):
     marks = spark.createDataFrame([("d", "body", 10.0, 4.0), ("d", "trim", 30.0, 4.0)], "doc_id string, section string, centre double, height double")
     got = {r.section: (r.lo, r.hi) for r in lookup.section_bands(marks, ["doc_id"]).collect()}
