@@ -7,7 +7,9 @@
    than that, they share a whole part. Hashes of parts are shuffled, packed, and
    classes that share one are connected to candidate groups.
 3. Only classes of candidate groups send their sets: small groups together, large
-   ones cut into blocks by size and hash; each pair of blocks is one search. In it
+   ones cut into blocks by size and hash; each pair of blocks is one search. A
+   large group is first rid of the sets that share too few of their elements
+   with all others together. In a search
    the T-occurrence problem is solved by DivideSkip: a set's short inverted lists
    are merged by a heap that skips what can't reach T, and the long ones are
    probed by binary search for the sets that still can. Sets that are connected
@@ -44,6 +46,8 @@ BLOCK_SETS = 2_000
 BAND_STEPS = 4
 BUCKET_ENTRIES = 1_000_000
 FILED_ROWS = 4_000
+#: Elements of large groups that are counted in one slice of a task, and the owner of those that are counted already.
+HELD_ELEMENTS, NOBODY = 1_000_000, 0xFFFF
 ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("owner", "<u2")])
 #: A shingle is common if so many of a batch's documents hold it, and half that share of all documents.
 COMMON_SHARE, COMMON_LEAST = 0.0005, 4
@@ -336,6 +340,94 @@ def _candidates(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pd.Series([x for x, _ in found], dtype="int64"), "b": pd.Series([y for _, y in found], dtype="int64")})
 
 
+def _held(batches, n: int, buckets: int):
+    """Elements of the sets of large groups in packed rows, one for each bucket and slice of a batch.
+
+    An element that several sets of a slice hold is counted for them there and
+    sent once, without an owner, so that one that all hold is in no one's way.
+    """
+    known = Cache()
+
+    def packed(names: list[int], sets: list[np.ndarray]):
+        flat = np.concatenate(sets)
+        bucket = (flat >> np.uint64(40)) % np.uint64(buckets)
+        order = np.lexsort((flat, bucket))
+        owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(x) for x in sets])[order]
+        flat, bucket, names = flat[order], bucket[order], np.array(names, np.int64)
+        first = np.r_[True, flat[1:] != flat[:-1]]
+        times = np.diff(np.r_[np.flatnonzero(first), len(flat)])
+        several = np.repeat(times > 1, times)
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        table, counts, entries = [], [], []
+        for lo, hi in zip(cuts, np.r_[cuts[1:], len(flat)], strict=True):
+            used, place = np.unique(owner[lo:hi], return_inverse=True)
+            counts.append(np.bincount(place[several[lo:hi]], minlength=len(used)).astype(np.int32).tobytes())
+            table.append(names[used].tobytes())
+            place[several[lo:hi]] = NOBODY
+            sent, one = flat[lo:hi][first[lo:hi]], np.empty(first[lo:hi].sum(), ENTRY)
+            one["low"], one["high"], one["owner"] = sent.astype(np.uint32), (sent >> np.uint64(32)).astype(np.uint8), place[first[lo:hi]]
+            entries.append(one.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int64)), *[pa.array(x, pa.binary()) for x in (table, counts, entries)]], ["bucket", "classes", "counts", "entries"])
+
+    for batch in batches:
+        names, sets, size = [], [], 0
+        for group, name, text in zip(*(batch.column(c).to_pylist() for c in ("group", "class", "text")), strict=True):
+            s = shingle_set(text, n, known)
+            if len(s) and _class(s) == name:
+                names.append(name)
+                sets.append(_mixed(s ^ np.uint64(group & 0xFFFFFFFFFFFFFFFF)))
+                size += len(s)
+            if size > HELD_ELEMENTS or len(sets) >= FILED_ROWS:
+                yield packed(names, sets)
+                names, sets, size = [], [], 0
+        if sets:
+            yield packed(names, sets)
+
+
+def _shared(frame: pd.DataFrame) -> pd.DataFrame:
+    """How many elements of one bucket each class shares with any other of its group."""
+    keys, owners, names, counts, at = [], [], [], [], 0
+    for table, own, packed in zip(frame["classes"], frame["counts"], frame["entries"], strict=True):
+        rows, table = np.frombuffer(packed, ENTRY), np.frombuffer(table, np.int64)
+        keys.append(rows["low"].astype(np.uint64) | rows["high"].astype(np.uint64) << np.uint64(32))
+        owners.append(np.where(rows["owner"] == NOBODY, -1, at + rows["owner"].astype(np.int64)))
+        names.append(table)
+        counts.append(np.frombuffer(own, np.int32))
+        at += len(table)
+    keys, owners, names, counts = map(np.concatenate, (keys, owners, names, counts))
+    order = np.argsort(keys, kind="stable")
+    keys, owners = keys[order], owners[order]
+    times = np.diff(np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)])
+    met = owners[np.repeat(times > 1, times) & (owners >= 0)]
+    return pd.DataFrame({"class": names, "shared": counts + np.bincount(met, minlength=at)}).groupby("class", as_index=False)["shared"].sum()
+
+
+def _likely(plain: DataFrame, chosen: DataFrame, n: int, threshold: float) -> DataFrame:
+    """``chosen`` without those classes of large groups that can't have a link.
+
+    A link takes ``threshold`` of a set's elements at least, so a set goes if it
+    shares fewer with all others of its group together. Each element of a large
+    group is shuffled once for that; else sets that only share passages would
+    be sent to each block of their group. Elements are told by hashes and a
+    class that comes twice counts as two, so a count is never too low.
+    """
+    large = chosen.join(_weights(chosen).where("large").select("group"), "group")
+    crowd = stored(large, "crowd")
+    weight = crowd.agg(F.sum("size")).first()[0]
+    if not weight:
+        return chosen
+    buckets = 1 + weight // BUCKET_ENTRIES
+    texts = plain.join(small(crowd), "doc").select("group", "class", "text")
+    held = texts.mapInArrow(lambda b: _held(b, n, buckets), "bucket long, classes binary, counts binary, entries binary")
+    shared = held.groupBy("bucket").applyInPandas(_shared, "class long, shared long").groupBy("class").agg(F.sum("shared").alias("shared"))
+    alone = crowd.join(shared, "class", "left").where(F.coalesce("shared", F.lit(0)) < threshold * F.col("size") - 1e-6).select("class")
+    return stored(chosen.join(stored(alone, "alone"), "class", "left_anti"), "chosen")
+
+
+def _weights(chosen: DataFrame) -> DataFrame:
+    return chosen.groupBy("group").agg(F.sum("size").alias("weight"), F.count("*").alias("n")).withColumn("large", F.expr(f"weight > {BLOCK_SHINGLES} or n > {BLOCK_SETS}"))
+
+
 def _sets(batches, n: int):
     known = Cache()
     for batch in batches:
@@ -375,8 +467,8 @@ def _grouped(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     groups = components(pairs, "a", "b").select(F.col("node").alias("class"), F.col("component").alias("group"))
 
     classes = told.where("class is not null and doc is not null").groupBy("class").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("size"))
-    chosen = stored(classes.join(groups, "class"), "chosen")
-    whole = chosen.groupBy("group").agg(F.sum("size").alias("weight"), F.count("*").alias("n")).withColumn("large", F.expr(f"weight > {BLOCK_SHINGLES} or n > {BLOCK_SETS}"))
+    chosen = _likely(plain, stored(classes.join(groups, "class"), "chosen"), n, threshold)
+    whole = _weights(chosen)
     bundles = 1 + 2 * (chosen.agg(F.sum("size")).first()[0] or 0) // BLOCK_SHINGLES + chosen.count() // BLOCK_SETS
     # small groups share a bundle; large ones are cut into bands of sizes, of which only neighbours can be similar, and those by hash
     band = F.floor(F.log("size") / (-BAND_STEPS * math.log(threshold)) + 1e-9)

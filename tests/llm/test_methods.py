@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,31 @@ def test_keep_one_keeps_each_text_of_an_id(spark):
     assert sorted(r.mark for r in jaccard_join.keep_one(docs).collect()) == ["x", "y", "z"]
 
 
+@pytest.mark.parametrize("held", [40, 400, 10**6])
+def test_shared_elements_equal_brute_force(monkeypatch, held):
+    monkeypatch.setattr(jaccard_join, "HELD_ELEMENTS", held)
+    texts, rng = near_texts(4, 150), random.Random(4)
+    rows = {jaccard_join._class(s): (rng.choice([-5, 7]), t, set(s.tolist())) for t in texts if len(s := jaccard_join.shingle_set(t, 2))}
+    batches = [pa.RecordBatch.from_pylist([{"group": g, "class": c, "text": t} for c, (g, t, _) in part]) for part in (list(rows.items())[::2], list(rows.items())[1::2])]
+    found = pa.Table.from_batches([out for b in batches for out in jaccard_join._held([b], 2, 3)]).to_pandas()
+    got = collections.Counter()
+    for _, frame in found.groupby("bucket"):
+        got.update(dict(jaccard_join._shared(frame).itertuples(index=False)))
+    times = {g: collections.Counter(x for own, _, s in rows.values() if own == g for x in s) for g in (-5, 7)}
+    assert {c: got[c] for c in rows} == {c: sum(times[g][x] > 1 for x in s) for c, (g, _, s) in rows.items()}
+
+
+def test_loners_leave_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 3)
+    passage = " ".join(f"p{i}" for i in range(20))
+    texts = [" ".join(f"w{k}x{i}" for i in range(60)) + " " + passage for k in range(8)]
+    texts.append(texts[0] + " more")
+    plain = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    chosen = [(jaccard_join._class(s), k, len(s), 1) for k, s in enumerate(jaccard_join.shingle_set(t, 5) for t in texts)]
+    likely = jaccard_join._likely(plain, spark.createDataFrame(chosen, "class long, doc long, size long, group long"), 5, 0.8)
+    assert sorted(r.doc for r in likely.collect()) == [0, 8]
+
+
 def test_signatures_meet_for_similar_sets():
     rng = np.random.default_rng(5)
     for t in (0.8, 0.85):
