@@ -30,7 +30,7 @@ BLANKS = r"[\s\x1c-\x1f\x85\xa0]"
 
 def _compatible() -> dict[str, str]:
     """Characters that NFKC replaces, by themselves, and what by."""
-    every = map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000)))
+    every = map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x30000)))
     return {x: n for x in every if (n := unicodedata.normalize("NFKC", x)) != x}
 
 

@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,8 +62,6 @@ def test_file_names(spark):
 
 
 def test_compatible_forms(spark):
-    import unicodedata
-
     odd = ["plain", "", None, "３００ ㎜", "ｃｍ²", "½ ﬁ ℃", "ﾊﾟ", "판독불가", "①Ⅳ…", "𝟙𝟚"]
     rows = spark.createDataFrame([(x,) for x in odd], "t string").select("t", text.compat(F.col("t")).alias("c")).collect()
     folded = lambda x: "".join(unicodedata.normalize("NFKC", ch) for ch in x)
@@ -82,3 +82,9 @@ def test_boxes_come_back(spark):
     both = got.withColumn("c", geometry.compose(F.col("i"), F.col("m"))).first()
     assert [round(x, 9) for x in both.c] == [1, 0, 0, 0, 1, 0]
     assert (both.r.width, both.r.height) == (112, 94)
+
+
+def test_compatible_ideographs_beyond_the_basic_plane(spark):
+    odd = [chr(x) for x in range(0x2F800, 0x2FA1E)]
+    rows = spark.createDataFrame([(f"a{x}b",) for x in odd], "t string").select("t", text.compat(F.col("t")).alias("c")).collect()
+    assert len(rows) == len(odd) and all(r.c == unicodedata.normalize("NFKC", r.t) for r in rows)
