@@ -10,7 +10,7 @@ from docsift.functions import geometry, tags, text
 from docsift.operators import evaluate, lookup, reports, resolve, triage, vocabulary
 from docsift.plans.catalog import GOLD_SQL, LINES, ORACLES, PATH_SQL, RECORDS_SQL, RUNS_SQL, _candidates, _paths, _runs, _stream, line_records, query, table
 from docsift.rules import DEFAULT, RuleSet
-from docsift.sources import layouts, runlog
+from docsift.sources import layouts, runlog, workbooks
 from docsift.sources.tables import shared_folder
 from docsift.streaming import events as stream
 
@@ -524,3 +524,48 @@ def q74b_revised_actions(spark, sf_dir):
     stream.write_stream(stream.revised_actions(log, "2024-01-01 00:00:00"), f"{folder}/changes", f"{folder}/checkpoint", "parquet", "update")
     changes = spark.read.schema(stream.ACTION).option("recursiveFileLookup", "true").parquet(f"{folder}/changes")
     return stream.current(changes).drop("human_value")
+
+
+#: Workbooks of customers: a sheet for each order that has lines, its lines as rows, and a merged heading in every other one.
+BOOKS_SQL = """
+WITH o AS (SELECT DISTINCT o_orderkey AS k, o_custkey AS c FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM (SELECT * FROM lineitem))),
+p AS (SELECT *, 'c' || c AS doc_id, row_number() OVER (PARTITION BY c ORDER BY k) AS page, 'Order <' || k || '>' AS sheet FROM o),
+l AS (SELECT p.*, l_linenumber + 1 AS row, l_shipmode AS mode, CAST(l_partkey AS VARCHAR) AS part, '"' || l_shipinstruct || '" & _x0041_' || chr(10) || l_returnflag AS said
+  FROM p JOIN (SELECT * FROM lineitem) ON l_orderkey = k),
+cells AS (SELECT doc_id, page, sheet, row, 2 AS col, mode AS value, true AS is_string FROM l
+  UNION ALL SELECT doc_id, page, sheet, row, 3, part, false FROM l UNION ALL SELECT doc_id, page, sheet, row, 30, said, true FROM l
+  UNION ALL SELECT doc_id, page, sheet, 1, 2, 'Lines', true FROM p WHERE k % 2 = 0) """
+
+
+def _books(spark, sf_dir):
+    """The workbooks, written by the tasks and read by the format."""
+    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").distinct()
+    kind = "row int, col int, row_end int, col_end int, value string, is_string boolean"
+    cell = lambda row, col, value, string, end=None: F.struct(row.cast("int").alias("row"), F.lit(col).alias("col"), *[F.lit(v).cast("int").alias(c) for c, v in zip(("row_end", "col_end"), end or (None, None), strict=True)], value.alias("value"), F.lit(string).alias("is_string"))
+    row, k = F.col("l_linenumber") + 1, F.col("o_orderkey")
+    said = F.concat(F.lit('"'), F.col("l_shipinstruct"), F.lit('" & _x0041_\n'), F.col("l_returnflag"))
+    lines = F.array(cell(row, 2, F.col("l_shipmode"), True), cell(row, 3, F.col("l_partkey").cast("string"), False), cell(row, 30, said, True))
+    head = F.array(cell(F.lit(1), 2, F.lit("Lines"), True, (1, 30))).cast(f"array<struct<{', '.join(x.replace(' ', ': ') for x in kind.split(', '))}>>")
+    page = [F.concat(F.lit("c"), F.col("o_custkey")).alias("doc_id"), k.alias("page"), F.concat(F.lit("Order <"), k, F.lit(">")).alias("sheet")]
+    filled = orders.join(line.select("l_orderkey").distinct(), k == F.col("l_orderkey"), "left_semi").where(k % 2 == 0)
+    cells = orders.join(line, k == F.col("l_orderkey")).select(*page, F.inline(lines)).unionByName(filled.select(*page, F.inline(head)))
+    folder = f"{shared_folder(spark)}/docsift/books-{uuid.uuid4().hex}"
+    workbooks.write_workbooks(cells, folder)
+    return workbooks.read_workbooks(spark, folder)
+
+
+@query(
+    BOOKS_SQL
+    + """SELECT doc_id, page, sheet, 'cell' AS kind, row, col, NULL AS row_end, NULL AS col_end, value, is_string FROM cells
+UNION ALL SELECT doc_id, page, sheet, 'sheet', NULL, NULL, NULL, NULL, NULL, NULL FROM p
+UNION ALL SELECT doc_id, page, sheet, 'merge', 1, 2, 1, 30, NULL, NULL FROM p WHERE k % 2 = 0"""
+)
+def q89_workbook_parts(spark, sf_dir):
+    """Sheets, cells and merged ranges of the customers' workbooks."""
+    return _books(spark, sf_dir)
+
+
+@query(BOOKS_SQL + "SELECT doc_id, page, any_value(sheet) AS sheet, string_agg(value, chr(10) ORDER BY row, col) AS text, CAST(NULL AS VARCHAR) AS error FROM cells GROUP BY doc_id, page")
+def q90_sheet_texts(spark, sf_dir):
+    """The sheets of the customers' workbooks as pages of text."""
+    return workbooks.sheet_texts(_books(spark, sf_dir))

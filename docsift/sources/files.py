@@ -8,85 +8,51 @@ Spark prunes the content of the rest.
 from __future__ import annotations
 
 import io
-import re
 import struct
-import zipfile
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsift.functions.text import document_id
+from docsift.sources import workbooks
 
-CELLS = "doc_id string, page int, sheet string, row int, col int, value string, is_string boolean"
-MERGES = "doc_id string, page int, r0 int, c0 int, r1 int, c1 int"
 EXTRACTION = "doc_id string, field_key string, raw_value string, raw_label string, page int, confidence double, parser string, source_locator string, note string"
-NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(doc_id, path, extension, content) of files; formats are told by extension."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+def named_files(files: DataFrame) -> DataFrame:
+    """(doc_id, path, extension, content) of rows of the binaryFile source; formats are told by extension."""
     return files.select(document_id(F.col("path")).alias("doc_id"), "path", F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)).alias("extension"), "content")
 
 
-def _place(ref: str) -> tuple[int, int]:
-    letters, digits = re.match(r"([A-Z]+)(\d+)", ref).groups()
-    col = 0
-    for ch in letters:
-        col = col * 26 + ord(ch) - 64
-    return int(digits), col
-
-
-def _sheets(content: bytes):
-    """(page, sheet name, cells, merges) of a workbook; cells are (row, col, value, is string)."""
-    book = zipfile.ZipFile(io.BytesIO(content))
-    names = [s.get("name")[:31] for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{NS}sheet")]
-    shared = []
-    if "xl/sharedStrings.xml" in book.namelist():
-        shared = ["".join(t.text or "" for t in si.iter(f"{NS}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{NS}si")]
-    for page, name in enumerate(names, 1):
-        root = ElementTree.fromstring(book.read(f"xl/worksheets/sheet{page}.xml"))
-        cells = []
-        for c in root.iter(f"{NS}c"):
-            kind, v = c.get("t"), c.find(f"{NS}v")
-            text = "".join(t.text or "" for t in c.iter(f"{NS}t")) if kind == "inlineStr" else v.text if v is not None else None
-            if text is not None:
-                cells.append((*_place(c.get("r")), shared[int(text)] if kind == "s" else text, kind in ("s", "str", "inlineStr")))
-        yield page, name, cells, [tuple(x for ref in m.get("ref").split(":") for x in _place(ref)) for m in root.iter(f"{NS}mergeCell")]
+def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """The files below a path."""
+    return named_files(spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path))
 
 
-def workbook_cells(files: DataFrame) -> DataFrame:
-    """One row for each non-empty cell of xlsx and xlsm files; a broken file gives none."""
+def workbook_parts(files: DataFrame) -> DataFrame:
+    """Sheets, cells, merged ranges and faults of xlsx and xlsm files, each file read once; also in a stream.
 
-    def read(frames):
-        for frame in frames:
-            rows = []
-            for doc, content in zip(frame["doc_id"], frame["content"], strict=True):
-                try:
-                    rows += [(doc, page, sheet, *cell) for page, sheet, cells, _ in _sheets(content) for cell in cells]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                    continue
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "sheet", "row", "col", "value", "is_string"])
+    Spark's binaryFile source leaves out files of no bytes, which the format ``workbook`` gives as errors.
+    """
+
+    def read(found):
+        for batch in found:
+            for doc, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from workbooks.batches(workbooks.parts(io.BytesIO(content or b""), doc), "doc_id")
 
-    return files.where(F.col("extension").isin("xlsx", "xlsm")).select("doc_id", "content").mapInPandas(read, CELLS)
+    return files.where(F.col("extension").isin("xlsx", "xlsm")).select("doc_id", "content").mapInArrow(read, f"doc_id string, {workbooks.PART}")
+
+
+def workbook_cells(files: DataFrame) -> DataFrame:
+    """One row for each non-empty cell of xlsx and xlsm files; a broken file gives none."""
+    return workbook_parts(files).where("kind = 'cell'").select("doc_id", "page", "sheet", "row", "col", "value", "is_string")
 
 
 def workbook_merges(files: DataFrame) -> DataFrame:
     """One row for each merged range."""
-
-    def read(frames):
-        for frame in frames:
-            rows = []
-            for doc, content in zip(frame["doc_id"], frame["content"], strict=True):
-                try:
-                    rows += [(doc, page, *merge) for page, _, _, merges in _sheets(content) for merge in merges]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                    continue
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "r0", "c0", "r1", "c1"])
-
-    return files.where(F.col("extension").isin("xlsx", "xlsm")).select("doc_id", "content").mapInPandas(read, MERGES)
+    ends = [F.col(a).alias(b) for a, b in (("row", "r0"), ("col", "c0"), ("row_end", "r1"), ("col_end", "c1"))]
+    return workbook_parts(files).where("kind = 'merge'").select("doc_id", "page", *ends)
 
 
 def merged_index(merges: DataFrame) -> DataFrame:
