@@ -365,6 +365,29 @@ def test_url_rules_need_pages_and_lift(spark):
     assert mined[0]["cut_share"] > 0
 
 
+def test_url_rules_see_all_items_of_a_page(spark):
+    """A pair that is bad together, while each part tells less than nine other items of its page."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(1600):
+        a, b, others = rng.random() < 0.3, rng.random() < 0.3, rng.random() < 0.5
+        bad = a and b
+        # nine items that lean to good pages, each with pages of its own
+        lean = [k for k in range(9) if rng.random() < (0.9 if a and b else 0.04)]
+        rows.append(("http:///" + "/".join(["aa"] * a + ["bb"] * b + [f"lean{chr(99 + k)}" for k in lean] + ["even"] * others), bad))
+    # the nine stand in good pages too, so that no one of them is a rule
+    rows += [("http:///" + "/".join(f"lean{chr(99 + k)}" for k in range(9) if k != i % 9), i % 3 == 0) for i in range(90)]
+    rows += [(f"http:///{x}", False) for x in ("aa", "bb") for _ in range(1500)]
+    pages = spark.createDataFrame(rows, "url string, bad boolean")
+    mined = url_rules.mine_rules(pages, confidence=0.99)
+    pair = [r for r in mined if r["tokens"] == ["path:aa", "path:bb"]]
+    assert pair and pair[0]["confidence"] == 1.0 and pair[0]["cut_share"] > 0
+    tokens = [({f"path:{x}" for x in u.split("/")[3:]}, y) for u, y in rows]
+    for r in mined:
+        held = [y for t, y in tokens if set(r["tokens"]) <= t]
+        assert abs(r["confidence"] - sum(held) / len(held)) < 1e-9 and abs(r["support"] - sum(held) / len(rows)) < 1e-9
+
+
 def test_adpcm_follows_a_sine():
     t = np.arange(121)
     wave = (8000 * np.sin(t / 9)).astype(int)
