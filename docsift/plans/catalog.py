@@ -42,13 +42,19 @@ LINEITEM_SQL = f"""(SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey
   FROM lineitem GROUP BY l_orderkey, l_linenumber) AS lineitem"""
 
 
+#: About so many lines meet in one task.
+TASK_ROWS = 250_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name != "lineitem":
         return found
     word = lambda words, n: F.element_at(F.array(*[F.lit(w) for w in words]), (n + 1).cast("int"))
     least = [F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")]
-    one = found.groupBy("l_orderkey", "l_linenumber").agg(*least)
+    # by order before duplicates are sorted out: what follows by order or by order and line needs no other shuffle, and a task's sort doesn't grow with the table
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.count() // TASK_ROWS + 1)
+    one = found.repartition(parts, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(*least)
     return one.withColumns({"l_shipmode": word(MODES, F.col("l_partkey") % 5), "l_shipinstruct": word(INSTRUCTIONS, F.col("l_suppkey") % 4)})
 
 

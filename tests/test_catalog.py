@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from docsift.plans import catalog
 
@@ -45,3 +46,17 @@ def test_query_runs(spark, name):
     if not Path(DATA).exists():
         pytest.skip("no test data")
     assert catalog.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_lines_are_spread_by_their_number(spark, monkeypatch):
+    """However many lines there are, a task gets about ``TASK_ROWS``; an order's lines meet in one, and results stay as they are."""
+    if not Path(DATA).exists():
+        pytest.skip("no test data")
+    few = catalog.table(spark, DATA, "lineitem")
+    before = catalog.q36_stability(spark, DATA).collect()
+    monkeypatch.setattr(catalog, "TASK_ROWS", 500)
+    many = catalog.table(spark, DATA, "lineitem")
+    assert many.rdd.getNumPartitions() > few.rdd.getNumPartitions()
+    assert many.exceptAll(few).count() == few.exceptAll(many).count() == 0
+    assert many.groupBy(F.spark_partition_id().alias("p"), "l_orderkey").count().groupBy("l_orderkey").count().where("count > 1").count() == 0
+    assert catalog.q36_stability(spark, DATA).collect() == before
