@@ -120,6 +120,11 @@ def write_extractions(extractions: DataFrame, path: str) -> None:
 
 
 def export_table(records: DataFrame, keys: list[str], attributes: list[str]) -> DataFrame:
-    """Attributes as rows and fields as columns, in the order of ``keys``, for each document."""
-    long = records.unpivot(["doc_id", "field_key"], attributes, "attribute", "shown")
-    return long.groupBy("doc_id", "attribute").pivot("field_key", keys).agg(F.first("shown"))
+    """Attributes as rows and fields as columns, in the order of ``keys``, for each document.
+
+    A document's attributes are gathered in one group and become rows after it, so rows aren't multiplied before the shuffle.
+    """
+    at = lambda k: F.first(F.when(F.col("field_key") == k, F.struct(*attributes)), ignorenulls=True)
+    wide = records.groupBy("doc_id").agg(*[at(k).alias(f"field{i}") for i, k in enumerate(keys)])
+    rows = [F.struct(F.lit(a).alias("attribute"), *[F.col(f"field{i}")[a].alias(k) for i, k in enumerate(keys)]) for a in attributes]
+    return wide.select("doc_id", F.inline(F.array(*rows)))

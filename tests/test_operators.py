@@ -171,3 +171,13 @@ def test_marks_of_a_crowded_page_do_not_meet_all_its_points(spark, at):
     if "band" in got.columns:
         assert {r.point_id: r.band for r in got.collect()} == {i: b[0] for i, b in want.items()}
     assert most_rows(got) < 50_000
+
+
+def test_export_gathers_documents_once(spark, capsys):
+    """Rows aren't multiplied by attributes before the shuffle; a document without any of the keys, or without an id, keeps its rows."""
+    rows = [("a", "f1", "x", None), ("a", "f2", None, "s"), ("b", "f9", "y", "t"), (None, "f2", "z", "u")]
+    got = files.export_table(spark.createDataFrame(rows, "doc_id string, field_key string, value string, state string"), ["f1", "f2"], ["value", "state"])
+    assert got.columns == ["doc_id", "attribute", "f1", "f2"]
+    assert {tuple(r) for r in got.collect()} == {("a", "value", "x", None), ("a", "state", None, "s"), ("b", "value", None, None), ("b", "state", None, None), (None, "value", None, "z"), (None, "state", None, "u")}
+    got.explain()
+    assert "Expand" not in capsys.readouterr().out
