@@ -84,7 +84,9 @@ def bare_label(c: Column) -> Column:
 
 def clean(c: Column) -> Column:
     """In compatible characters, stripped, without one leading question mark. Null gives ''."""
-    return strip(F.regexp_replace(strip(compat(F.coalesce(c, F.lit("")))), r"^\?", ""))
+    text = F.coalesce(c, F.lit(""))
+    # printed ASCII with nothing to take off, as most values are, is clean as it is
+    return F.when(text.rlike(r"\A[!->@-~](?:[ -~]*[!-~])?\z"), text).otherwise(strip(F.regexp_replace(strip(compat(text)), r"^\?", "")))
 
 
 def _token_in(c: Column, tokens) -> Column:
@@ -114,9 +116,11 @@ ROMAN = _roman()
 
 def roman_to_arabic(c: Column) -> Column:
     """Upper case, with words that are roman numbers up to XXIX as digits; a lone X or I counts."""
-    table = F.create_map(*[F.lit(x) for pair in ROMAN.items() for x in pair])
-    words = F.split(F.upper(c), r"(?U)\b")
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w)), "")
+    table, upper = F.create_map(*[F.lit(x) for pair in ROMAN.items() for x in pair]), F.upper(c)
+    words = F.split(upper, r"(?U)\b")
+    replaced = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w)), "")
+    # without a word of these letters alone the words are joined as they were
+    return F.when(~upper.rlike(r"(?U)(?=[IVX])\b[IVX]+\b"), upper).otherwise(replaced)
 
 
 def norm_text(cleaned: Column) -> Column:
@@ -129,10 +133,11 @@ def _plain_text(arabic: Column) -> Column:
 
 
 def _kept_tokens(arabic: Column, all_letters: bool) -> Column:
+    """What numbers are read from: '' for a text without digits, which holds none."""
     tokens = F.regexp_extract_all(arabic, F.lit(f"({TOKEN})"), 1)
     worded = lambda t: t.rlike(r"^[\p{L}°℃℉]")
     gone = worded if all_letters else (lambda t: worded(t) & F.lower(t).isin(*UNITS))
-    return F.array_join(F.filter(tokens, lambda t: ~gone(t)), "")
+    return F.when(~arabic.rlike("[0-9]"), "").otherwise(F.array_join(F.filter(tokens, lambda t: ~gone(t)), ""))
 
 
 def _numbers(kept: Column) -> Column:

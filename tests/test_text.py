@@ -88,3 +88,22 @@ def test_compatible_ideographs_beyond_the_basic_plane(spark):
     odd = [chr(x) for x in range(0x2F800, 0x2FA1E)]
     rows = spark.createDataFrame([(f"a{x}b",) for x in odd], "t string").select("t", text.compat(F.col("t")).alias("c")).collect()
     assert len(rows) == len(odd) and all(r.c == unicodedata.normalize("NFKC", r.t) for r in rows)
+
+
+def test_short_ways_give_the_same_forms(spark):
+    """Clean texts, texts without roman numbers and without digits go short ways, with the results of the long ones."""
+    odd = ["", " ", "?", "??", " ?x ", "x?", "x \u2028", "12 mm\u2028", "a\n", "\ta", "a\u00a0", "XIV", "xii bar", "SHIP IN IV", "IV_2", "x-i", "ÉIV", "ⅣX", "３００", "CLASS IV\u2029", "12\n3", "- 5 -7", "mm", "°C", "1e5 m3", "DELIVER IN PERSON", None]
+    table = F.create_map(*[F.lit(x) for pair in text.ROMAN.items() for x in pair])
+    plain = F.coalesce(F.col("v"), F.lit(""))
+    cleaned = text.strip(F.regexp_replace(text.strip(text.compat(plain)), r"^\?", ""))
+    words = F.split(F.upper(F.col("cleaned_long")), r"(?U)\b")
+    arabic = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w)), "")
+    tokens = F.regexp_extract_all(F.col("arabic_long"), F.lit(f"({text.TOKEN})"), 1)
+    kept = F.array_join(F.filter(tokens, lambda t: ~(t.rlike(r"^[\p{L}°℃℉]") & F.lower(t).isin(*text.UNITS))), "")
+    rows = spark.createDataFrame([(v,) for v in odd], "v string").withColumn("cleaned_long", cleaned).withColumn("arabic_long", arabic).withColumn("kept_long", kept)
+    rows, (forms,) = text.with_forms(rows, "v")
+    numbers = lambda c: (text._is_numeric(c), text._numbers(c))
+    got = rows.select("cleaned_long", forms.cleaned, "arabic_long", forms.arabic, *[x for c in (F.col("kept_long"), forms.kept) for x in numbers(c)], forms.kept).collect()
+    for r in got:
+        assert (r[0], r[2], r[4], r[5]) == (r[1], r[3], r[6], r[7])
+        assert any("0" <= x <= "9" for x in r[3]) or r[8] == ""
