@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,41 +53,25 @@ def last_actions(events: DataFrame) -> DataFrame:
 
 
 ACTION = "doc_id string, field_key string, action string, human_value string, ts double"
-LAST = "ts double, action string, human_value string"
-
-
-def _revise(key, frames, state):
-    """A row where the last action of a document and field has changed; what is behind the watermark is forgotten."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    before = state.get if state.exists else None
-    last = rank = None
-    if before is not None:
-        last, rank = before, (before[0], before[1] or "", before[2] or "")
-    for frame in frames:
-        for ts, action, value in zip(frame["ts"].tolist(), frame["action"].tolist(), frame["human_value"].tolist(), strict=True):
-            if rank is None or (ts, action or "", value or "") > rank:
-                last, rank = (ts, action, value), (ts, action or "", value or "")
-    state.update(last)
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(key[2]) + int(last[0] * 1000)))
-    if before is None or tuple(before) != tuple(last):
-        ts, action, value = last
-        undone = action == "undo"
-        yield pd.DataFrame({"doc_id": [key[0]], "field_key": [key[1]], "action": [None if undone else action], "human_value": [value if action == "override" else None], "ts": [ts]})
-
-
-def revised_actions(events: DataFrame, start: str, late: str = "10 minutes") -> DataFrame:
+
+
+def revised_actions(events: DataFrame, start: str, late: str = "10 minutes", span: str = "1 day") -> DataFrame:
     """The stream of changes of each document's and field's last human action, whatever order its events come in.
 
-    An undone action is revised to null, a late one that isn't the last says
-    nothing. State is a row for each document and field that was acted on
-    within ``late``: an older one can't be followed by an earlier action, so it
-    is forgotten without loss. ``current`` gives the state of what was sent.
+    An undone action is revised to null, a late one that isn't the last of its
+    ``span`` of event time says nothing. State is a row for each document, field
+    and span, kept by Spark's own aggregate and forgotten when the watermark,
+    ``late`` behind the newest event, has passed the span's end. ``current``
+    gives the state of what was sent.
     """
     get = lambda name: F.get_json_object("payload", f"$.{name}").alias(name)
-    acted = with_time(events.where((F.col("event") == "human_action") & F.col("ts").isNotNull()), start, late).select("doc_id", get("field").alias("field_key"), get("action"), get("human_value"), "ts", "at", (F.unix_timestamp(F.lit(start)) * 1000).alias("zero"))
-    return acted.groupBy("doc_id", "field_key", "zero").applyInPandasWithState(_revise, ACTION, LAST, "update", "EventTimeTimeout")
+    now = F.unix_micros(F.current_timestamp())  # one value for each batch, and the same when the batch is repeated
+    acted = with_time(events.where((F.col("event") == "human_action") & F.col("ts").isNotNull()), start, late).select("doc_id", get("field").alias("field_key"), get("action"), get("human_value"), "ts", "at", (-now).alias("earlier"))
+    rank = [F.col("ts"), *[F.coalesce(c, F.lit("")).alias(f"{c}_rank") for c in ("action", "human_value")], F.col("earlier")]
+    last = acted.groupBy(F.window("at", span), "doc_id", "field_key").agg(F.max(F.struct(*rank, "action", "human_value")).alias("a"))
+    # an action that was already the last one bears the time of the batch that told it
+    changed = last.where(F.col("a.earlier") == -now)
+    return changed.select("doc_id", "field_key", F.nullif(F.col("a.action"), F.lit("undo")).alias("action"), F.when(F.col("a.action") == "override", F.col("a.human_value")).alias("human_value"), "a.ts")
 
 
 def current(changes: DataFrame) -> DataFrame:

@@ -1,7 +1,12 @@
 import json
+import os
 import random
+from pathlib import Path
+
+import pytest
 
 from docsift.operators import gold, lookup
+from docsift.plans import reviews
 from docsift.rules import RuleSet
 from docsift.sources import files, runlog
 from docsift.streaming import events
@@ -64,6 +69,35 @@ def test_revised_actions_whatever_the_order(spark, tmp_path):
     assert changes.count() > len(want)  # what was sent early has been revised
 
 
+def test_revised_actions_keep_state_without_python(spark, tmp_path):
+    """State is Spark's own, a row for each document, field and day, and goes with the watermark; what isn't the last says nothing."""
+    day = 86_400.0
+    told = [[("a", day + 10, "override", "5")], [("a", day - 10, "approve", None), ("c", day, "approve", None)], [("a", day + 5, "undo", None)], [("c", day, "undo", None)], [("b", 5 * day, "approve", None)]]
+    folder = tmp_path / "log"
+    folder.mkdir()
+    for k, rows in enumerate(told):
+        path = folder / f"{k}.jsonl"
+        path.write_text("\n".join(json.dumps({"ts": t, "event": "human_action", "run_id": "r", "doc_id": d, "payload": json.dumps({"field": "tag", "action": a, "human_value": v})}) for d, t, a, v in rows))
+        os.utime(path, (1_700_000_000 + 60 * k,) * 2)
+    changes = events.revised_actions(events.read_events(spark, str(folder), per_trigger=1), "2024-01-01 00:00:00")
+    query = changes.writeStream.outputMode("update").format("memory").queryName("revised").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    state = query.lastProgress["stateOperators"]
+    assert [s["operatorName"] for s in state] == ["stateStoreSave"] and [s["numRowsTotal"] for s in state] == [1]
+    sent = spark.table("revised")
+    assert sorted((r.doc_id, r.ts, r.action or "", r.human_value or "") for r in sent.collect()) == [("a", day - 10, "approve", ""), ("a", day + 10, "override", "5"), ("b", 5 * day, "approve", ""), ("c", day, "", ""), ("c", day, "approve", "")]
+    assert {(r.doc_id, r.action, r.human_value) for r in events.current(sent).collect()} == {("a", "override", "5"), ("b", "approve", None), ("c", None, None)}
+
+
+def test_events_of_a_folder_are_read_whole(spark, tmp_path):
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("no test data")
+    spark.read.parquet(f"{data}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got, want = (sorted(map(str, reviews.q74b_revised_actions(spark, d).collect())) for d in (str(tmp_path), data))
+    assert got == want and got
+
+
 def test_a_batch_written_twice_counts_once(spark, tmp_path):
     rows = lambda *ts: spark.createDataFrame([(t, "retry", "r", "d", None) for t in ts], events.EVENT)
     path = str(tmp_path / "log")
