@@ -26,6 +26,7 @@ UNITS = (
 TOKEN = r"[A-Za-z°℃℉]+\d*|\d+(?:\.\d+)?|."
 NUMBER = r"-?\d+(?:\.\d+)?"
 BLANKS = r"[\s\x1c-\x1f\x85\xa0]"
+BLANK_CHARS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
 
 
 def _compatible() -> dict[str, str]:
@@ -52,12 +53,16 @@ def compat(c: Column) -> Column:
     return F.when(~c.rlike(r"[^\x00-\x7F]"), c).when(c.rlike(several), plain(spread)).otherwise(plain(c))
 
 
-def strip(c: Column) -> Column:
-    """All white space at both ends; Spark's trim takes spaces alone."""
+def strip(c: Column | str) -> Column:
+    """All white space at both ends; Spark's trim takes spaces alone. A column given by its name goes without a pattern."""
+    if isinstance(c, str):
+        # $ also stands before a separator that ends the text, which isn't white space here
+        separator = F.endswith(F.col(c), F.lit("\u2028")) | F.endswith(F.col(c), F.lit("\u2029"))
+        return F.when(separator, strip(F.col(c))).otherwise(F.btrim(F.col(c), F.lit(BLANK_CHARS)))
     return F.regexp_replace(c, f"^{BLANKS}+|{BLANKS}+$", "")
 
 
-def found(c: Column) -> Column:
+def found(c: Column | str) -> Column:
     """True where a value is neither null nor blank."""
     return F.coalesce(F.length(strip(c)) > 0, F.lit(False))
 
@@ -228,7 +233,7 @@ def norm_number(c: Column) -> Column:
 
 def join_notes(*parts: Column) -> Column:
     """Stripped notes that aren't blank, joined by ' | '."""
-    return F.array_join(F.filter(F.transform(F.array(*parts), strip), lambda x: F.coalesce(x != "", F.lit(False))), " | ")
+    return F.concat_ws(" | ", *[F.nullif(strip(p), F.lit("")) for p in parts])
 
 
 def document_id(path: Column) -> Column:

@@ -21,8 +21,10 @@ from docsift.sources.tables import stored
 
 def complete(extractions: DataFrame, docs: DataFrame, fields: DataFrame) -> DataFrame:
     """A row for each document and field: fields that were not extracted have a null value and a note."""
-    wanted = docs.select("doc_id").distinct().join(F.broadcast(fields), how="cross")
-    met = wanted.join(extractions, ["doc_id", "field_key"], "left")
+    # the field's other columns are joined afterwards, so that they are neither shuffled nor sorted
+    wanted = docs.select("doc_id").distinct().join(F.broadcast(fields.select("field_key").distinct()), how="cross")
+    met = wanted.join(extractions, ["doc_id", "field_key"], "left").join(F.broadcast(fields), "field_key")
+    met = met.select("doc_id", *fields.columns, *[c for c in extractions.columns if c not in ("doc_id", "field_key")])
     return met.withColumn("note", F.coalesce("note", F.when(F.col("raw_value").isNull(), "NOT_EXTRACTED")))
 
 
@@ -34,7 +36,7 @@ def normalise(rows: DataFrame, rules: RuleSet) -> DataFrame:
     comparison only, a leading zero. A value that wasn't found is null.
     """
     spark = rows.sparkSession
-    raw = strip(F.col("raw_value"))
+    raw = strip("raw_value")
     probe, got = norm_label(raw), norm_label(F.coalesce("raw_label", F.lit("")))
     direct = got.contains("FAIL") & ~got.rlike(r"AIRTO|ATO\b|ATC\b")
     # the few rules of a field fold into one array, so that a row meets one row and none is copied
@@ -49,36 +51,43 @@ def normalise(rows: DataFrame, rules: RuleSet) -> DataFrame:
     mapped = F.try_element_at(F.filter("domain", lambda d: (d["kind"] == "map") & F.col("probe_").startswith(d["norm"])), F.lit(1))["to"]
     straight = F.when(F.col("direct_"), F.try_element_at(F.filter("domain", lambda d: (d["kind"] == "direct_map") & (F.col("probe_") == d["norm"])), F.lit(1))["to"])
     fixed = norm_number(raw)
-    told = found(F.col("raw_value"))
+    told = found("raw_value")
     how = F.when(~told, "NONE").when(mapped.isNotNull(), "DOMAIN").when(straight.isNotNull(), "DIRECT").when(F.col("alias_to").isNotNull(), "ALIAS").when(fixed != raw, "NUMBER").otherwise("RAW")
     value = F.when(told, F.coalesce(mapped, straight, F.col("alias_to"), fixed))
-    missed = F.col("domain").isNotNull() & mapped.isNull() & straight.isNull()
-    trace = F.when(told, F.array_compact(F.array(F.concat(F.lit("raw "), raw), F.when(missed, "no domain rule"), how, F.concat(F.lit("value "), value)))).otherwise(F.array().cast("array<string>"))
-    return met.withColumns({"value": value, "how": how, "trace": trace}).drop("domain", "probe_", "direct_", "alias_norm", "alias_to")
+    met = met.withColumns({"value": value, "how": how, "raw_": raw})
+    # from columns that are there: the array's lambda would work each of them out again
+    how, missed = F.col("how"), F.col("domain").isNotNull() & ~F.col("how").isin("DOMAIN", "DIRECT")
+    steps = F.array(F.concat(F.lit("raw "), F.col("raw_")), F.when(missed, "no domain rule"), how, F.concat(F.lit("value "), F.col("value")))
+    trace = F.when(how != "NONE", F.array_compact(steps)).otherwise(F.array().cast("array<string>"))
+    return met.withColumn("trace", trace).drop("domain", "probe_", "direct_", "alias_norm", "alias_to", "raw_")
 
 
-def is_empty(c: Column) -> Column:
-    return F.coalesce(F.upper(strip(c)).isin(*EMPTY_VALUES), F.lit(True))
+def is_empty(c: Column | str) -> Column:
+    text = strip(c)
+    # upper case never shortens a text, so that a longer one needs none
+    return F.coalesce((F.length(text) <= max(map(len, EMPTY_VALUES))) & F.upper(text).isin(*EMPTY_VALUES), F.lit(True))
 
 
 def format_violations(rows: DataFrame, rules: RuleSet) -> DataFrame:
     """Adds violations (array, in rule order) to rows (field_key, value, required): required, numeric, tag, pattern, max_length."""
     formats = F.broadcast(rules.formats(rows.sparkSession))
-    text = strip(F.col("value"))
+    text = strip("value")
     # each field's pattern is a literal, so it is compiled once
     patterns = {k: r["pattern"] for k, r in (rules.rules.get("format_rules") or {}).items() if r.get("pattern")}
     misfits = reduce(or_, [(F.col("field_key") == k) & ~text.rlike(f"^(?:{p})$") for k, p in patterns.items()], F.lit(False))
-    broken = F.array_compact(
-        F.array(
-            F.when(F.col("need_number") & (~text.rlike(r"\d") | text.rlike("[가-힣]")), "numeric"),
-            F.when(F.col("need_tag") & parse_tag(text).isNull(), "tag"),
-            F.when(misfits, "pattern"),
-            F.when(F.length(text) > F.col("max_length"), "max_length"),
-        )
+    # most fields have no rule: null & x would still work out x, a tag's parts, on every value
+    asked = lambda c: F.coalesce(c, F.lit(False))
+    told = lambda when, name: F.when(when, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    # joined arrays, as the lambda of an array without nulls would be interpreted
+    broken = F.concat(
+        told(asked("need_number") & (~text.rlike(r"\d") | text.rlike("[가-힣]")), "numeric"),
+        told(asked("need_tag") & parse_tag(text).isNull(), "tag"),
+        told(misfits, "pattern"),
+        told(F.col("max_length") < F.length(text), "max_length"),
     )
     missing = F.when(F.col("required"), F.array(F.lit("required"))).otherwise(F.array().cast("array<string>"))
     met = rows.join(formats, "field_key", "left")
-    return met.withColumn("violations", F.when(is_empty(F.col("value")), missing).otherwise(broken)).drop("need_number", "need_tag", "pattern", "max_length")
+    return met.withColumn("violations", F.when(is_empty("value"), missing).otherwise(broken)).drop("need_number", "need_tag", "pattern", "max_length")
 
 
 def unknown_fields(rows: DataFrame, fields: DataFrame) -> DataFrame:
@@ -99,8 +108,8 @@ def fail_parity(raw: Column, value: Column) -> Column:
 
 def failure(rows: DataFrame, safety_field: str = "fail_action") -> DataFrame:
     """Adds failure: NO_EVIDENCE, EXTRACTION, FORMAT, CONSTRAINT or NONE; format comes before domain."""
-    empty = F.coalesce(strip(F.col("value")) == "", F.lit(True))
-    kind = F.when(empty & ~found(F.col("raw_value")), "NO_EVIDENCE").when(empty, "EXTRACTION").when(F.size("violations") > 0, "FORMAT")
+    empty = F.coalesce(strip("value") == "", F.lit(True))
+    kind = F.when(empty & ~found("raw_value"), "NO_EVIDENCE").when(empty, "EXTRACTION").when(F.size("violations") > 0, "FORMAT")
     kind = kind.when((F.col("field_key") == safety_field) & ~fail_parity(F.col("raw_value"), F.col("value")), "CONSTRAINT")
     return rows.withColumn("failure", kind.otherwise("NONE"))
 

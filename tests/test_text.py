@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pytest
@@ -107,3 +108,19 @@ def test_short_ways_give_the_same_forms(spark):
     for r in got:
         assert (r[0], r[2], r[4], r[5]) == (r[1], r[3], r[6], r[7])
         assert any("0" <= x <= "9" for x in r[3]) or r[8] == ""
+
+
+def test_named_columns_are_stripped_alike(spark):
+    """Without the pattern, whatever stands at the ends: all its blanks, blanks it doesn't know, and separators before which $ stands."""
+    rng = random.Random(4)
+    alphabet = [*text.BLANK_CHARS, *"ab한\u2028\u2029\u200b\u3000\x1b"]
+    values = [None, "", *("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 7))) for _ in range(5000))]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert df.where(~text.strip("v").eqNullSafe(text.strip(F.col("v")))).count() == 0
+
+
+def test_notes_are_joined_without_lambdas(spark):
+    df = spark.createDataFrame([(" a ", None, "b\n"), (None, " ", ""), ("\xa0", "x | y", None)], "p string, q string, r string")
+    joined = df.select(text.join_notes(F.col("p"), F.col("q"), F.col("r")).alias("n"))
+    assert [r.n for r in joined.collect()] == ["a | b", "", "x | y"]
+    assert "lambda" not in joined._jdf.queryExecution().analyzed().toString()
