@@ -38,15 +38,20 @@ def lookup_labels(labels: DataFrame, index: DataFrame, key: str = "label_id") ->
     return first.select(key, "field_key", "confidence", "matched_on")
 
 
-def label_table(spark: SparkSession, rules: RuleSet) -> DataFrame:
+def label_rows(spark: SparkSession, rules: RuleSet) -> list[tuple]:
     """(norm, own, field_key, confidence): what each label of the rules names in each section; own is '' where no section is known.
 
-    It has as many rows as labels times sections, whatever the data, so it is
-    worked out once for a rule set and held as a local table.
+    There are as many as labels times sections, whatever the data, so they are
+    worked out once for a rule set and held.
     """
     if rules.label_rows is None:
         rules.label_rows = [tuple(r) for r in _label_rows(spark, rules).collect()]
-    return spark.createDataFrame(rules.label_rows, "norm string, own string, field_key string, confidence double")
+    return rules.label_rows
+
+
+def label_table(spark: SparkSession, rules: RuleSet) -> DataFrame:
+    """``label_rows`` as a local table."""
+    return spark.createDataFrame(label_rows(spark, rules), "norm string, own string, field_key string, confidence double")
 
 
 def _label_rows(spark: SparkSession, rules: RuleSet) -> DataFrame:
