@@ -49,11 +49,6 @@ def label_rows(spark: SparkSession, rules: RuleSet) -> list[tuple]:
     return rules.label_rows
 
 
-def label_table(spark: SparkSession, rules: RuleSet) -> DataFrame:
-    """``label_rows`` as a local table."""
-    return spark.createDataFrame(label_rows(spark, rules), "norm string, own string, field_key string, confidence double")
-
-
 def _label_rows(spark: SparkSession, rules: RuleSet) -> DataFrame:
     allowed = rules.section_allowed()
     sections = [(None, None), *((s, allowed.get(s)) for s in dict.fromkeys([*rules.section_names(), *allowed]))]
@@ -120,14 +115,6 @@ def bands_at(points: DataFrame, marks: DataFrame, group: list[str]) -> DataFrame
     return _governed(points, marks, group).select("point_id", "m.section", F.col("m.mark_col").alias("band"))
 
 
-def bands_by_pairs(points: DataFrame, marks: DataFrame, group: list[str]) -> DataFrame:
-    """As ``bands_at``, for sheets and pages, where marks are few: each point meets the marks of its page."""
-    met = points.join(marks.select(*group, "section", "lo", "hi", F.col("col").alias("mark_col"), F.col("ord").alias("mark_ord")), group, "left")
-    inside = (F.col("lo") <= F.col("pos")) & (F.col("pos") <= F.col("hi")) & (F.col("mark_col") < F.col("col"))
-    best = F.max_by(F.when(inside, F.struct("section", F.col("mark_col").alias("band"))), F.when(inside, F.struct("mark_col", -F.col("mark_ord"))))
-    return met.groupBy("point_id").agg(best.alias("m")).select("point_id", "m.section", "m.band")
-
-
 def section_marks(cells: DataFrame, merges: DataFrame, aliases: DataFrame) -> DataFrame:
     """Marks of a sheet: ranges merged over two rows or more whose text names a section.
 
@@ -221,18 +208,17 @@ def header_kind(value: Column) -> Column:
     return F.when(up.isin("MAX", "MAXIMUM"), "max").when(up.isin("NOR", "NORM", "NORMAL"), "nor").when(up.isin("MIN", "MINIMUM"), "min").when(up.isin("DESIGN", "DES"), "design")
 
 
-def carry_header(cells: DataFrame, group: list[str], *, until_next: bool = False) -> DataFrame:
+def carry_header(cells: DataFrame, group: list[str]) -> DataFrame:
     """(group, row, anchor): the column of the last header row above that shows the normal operating value.
 
     A header row names at least two of maximum, normal, minimum and design. One
-    without a normal column ends the one before it, or with ``until_next`` is
-    no header; a header row itself then has no anchor.
+    without a normal column ends the one before it.
     """
     rows = cells.withColumn("kind", header_kind(F.col("value"))).groupBy(*group, "row").agg(F.count_distinct("kind").alias("kinds"), F.min(F.when(F.col("kind") == "nor", F.col("col"))).alias("nor"))
     # -1 stands for a header without a normal column
-    here = F.when(F.col("kinds") >= 2, F.col("nor") if until_next else F.coalesce("nor", F.lit(-1)))
+    here = F.when(F.col("kinds") >= 2, F.coalesce("nor", F.lit(-1)))
     above = F.nullif(F.last(here, ignorenulls=True).over(Window.partitionBy(*group).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    return rows.select(*group, "row", (F.when(here.isNull(), above) if until_next else above).alias("anchor"))
+    return rows.select(*group, "row", above.alias("anchor"))
 
 
 def first_hits(hits: DataFrame, order: list[str]) -> DataFrame:
