@@ -168,6 +168,7 @@ def composite_pieces(label: Column, value: Column, rules: RuleSet) -> Column:
     """
     norm, whole = ascii_label(label), strip(value)
     case = F.when(F.lit(False), F.array().cast(PIECES))
+    told = names_composite(label, rules)  # what no rule names meets none of them
     for key, rule in rules.composite_rules().items():
         piece = lambda field, name, part: F.struct(F.lit(field).alias("field_key"), name.alias("label"), strip(part).alias("piece"))
         if rule.get("pattern"):
@@ -183,7 +184,7 @@ def composite_pieces(label: Column, value: Column, rules: RuleSet) -> Column:
             fits = F.size(cut) == len(fields)
             parts = [piece(f, F.lit(names[i]) if len(names) == len(fields) else label, F.get(cut, F.lit(i))) for i, f in enumerate(fields) if f is not None]
         case = case.when((norm == key) & fits, F.filter(F.array(*parts).cast(PIECES), lambda p: p["piece"] != ""))
-    return case
+    return F.when(told, case)
 
 
 def split_composites(values: DataFrame, rules: RuleSet, key: str = "value_id") -> DataFrame:
@@ -192,19 +193,19 @@ def split_composites(values: DataFrame, rules: RuleSet, key: str = "value_id") -
     return values.select(key, F.inline(F.transform(pieces, lambda p: F.struct(p["field_key"].alias("field_key"), p["piece"].alias("piece")))))
 
 
-def is_unit(value: Column, units: list[str]) -> Column:
-    """A unit as it stands or but for punctuation, or a note in parentheses without a digit."""
+def is_unit(value: Column | str, units: list[str], label: Column | None = None) -> Column:
+    """A unit as it stands or but for punctuation, or a note in parentheses without a digit. ``label`` is its ``ascii_label``, where that is at hand."""
     up = F.upper(strip(value))
-    norm = ascii_label(value)
+    norm = ascii_label(F.col(value) if isinstance(value, str) else value) if label is None else label
     known = [u.upper() for u in units]
     loose = ["".join(ch for ch in u.upper() if ch.isascii() and ch.isalnum()) for u in units]
-    note = up.rlike(r"^\(.*\)$") & ~up.rlike(r"\d") & (F.length(up) > 2)
+    note = up.startswith("(") & up.rlike(r"^\(.*\)$") & ~up.rlike(r"\d") & (F.length(up) > 2)
     return F.coalesce(up.isin(*known) | ((norm != "") & norm.isin(*[x for x in loose if x])) | note, F.lit(False))
 
 
-def header_kind(value: Column) -> Column:
+def header_kind(value: Column | str) -> Column:
     """max, nor, min or design of a column's heading, else null."""
-    up = F.regexp_replace(F.upper(strip(value)), r"\.+$", "")
+    up = F.rtrim(F.upper(strip(value)), F.lit("."))
     return F.when(up.isin("MAX", "MAXIMUM"), "max").when(up.isin("NOR", "NORM", "NORMAL"), "nor").when(up.isin("MIN", "MINIMUM"), "min").when(up.isin("DESIGN", "DES"), "design")
 
 
